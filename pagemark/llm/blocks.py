@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import group_starts, mix, partitions, spread
 
-BLOCKS_PER_PARTITION = 8
+BLOCKS_PER_PARTITION = 4
 REQUEST = "bucket int, block int, names binary, keys binary, docs binary, base long"
 REPLY = "block int, step int, bucket int, bits binary"
 #: A document without an id counts as one after all others.
