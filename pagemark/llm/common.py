@@ -21,16 +21,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests on one
-    machine) a temporary one is made.
+    Only where none is set (tests on one machine) a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -21,14 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from .common import WordHashes, group_starts, join2, mix, partitions
 
-RESULT = "doc_id long, n_words long, n_removed long, kept string"
-RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+RESULT = "doc_id long, mark long, n_words long, n_removed long, kept string"
+RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 #: Rounds of pairing; a symbol spans up to 2 ** ROUNDS words, which must leave room in a window.
 ROUNDS = 3
 _RUN = np.uint64(0xD6E8FEB86659FD93)
@@ -96,6 +97,11 @@ def _span_names(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return out
 
 
+def _mark(data: bytes) -> int:
+    value = xxhash.xxh64_intdigest(data, 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 class Block:
     def __init__(self, tab: pa.Table, size: int, buckets: int):
         self.order, self.data, self.ids = B.block_rows(tab)
@@ -132,7 +138,7 @@ class Block:
 
 
 def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
+    """doc_id, mark (Spark's xxhash64 of the text), n_words, n_removed, kept (the words that stay, joined by one space)."""
     if size < 6:
         raise ValueError("size must be 6 at least")
     given = B.dealt(docs)
@@ -164,7 +170,7 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
         for i, words in enumerate(b.text):
             own = stay[b.bounds[i] : b.bounds[i + 1]]
             kept = words if own.all() else [words[j] for j in np.flatnonzero(own)]
-            yield {"doc_id": b.ids[i], "n_words": len(words), "n_removed": len(words) - len(kept), "kept": b" ".join(kept).decode("utf-8", "replace")}
+            yield {"doc_id": b.ids[i], "mark": _mark(b.data[i]), "n_words": len(words), "n_removed": len(words) - len(kept), "kept": b" ".join(kept).decode("utf-8", "replace")}
 
     replies = B.shared(B.each_block(given, None, first, B.REQUEST, B.REQUEST_ARROW), 1)
     replies = replies.unionByName(B.smaller(B.each_block(given, replies, second, B.REQUEST, B.REQUEST_ARROW), 2))
@@ -174,3 +180,14 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
 def digest(result: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     return result.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
+    """docs, all columns, with repeated words taken out of text, and n_chars brought up to date; other texts stay as they are."""
+    cut = remove_repeats(docs.select("doc_id", "text"), size).where("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_mark"])
+    same = docs["doc_id"].cast("long").eqNullSafe(cut["_id"]) & (F.xxhash64(docs["text"]) == cut["_mark"])
+    both = docs.join(cut, same, "left")
+    text = F.coalesce(cut["_kept"], docs["text"])
+    new = {"text": text, "n_chars": F.when(cut["_kept"].isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
+    return both.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
