@@ -1,12 +1,62 @@
-"""Corpus pipeline: STAGES, each over all that its predecessor kept."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+STAGES are applied in order; each takes (spark, docs, sf_dir), works on all that its predecessor
+kept, and all but the last return the columns of documents. Between stages the rows are written as
+Parquet to the session's shared checkpoint folder and read again. The result is the placement of each
+piece of the documents that are left. No SQL oracle: quality and packing are not expressible in
+SQL; the tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from pagemark.llm import decontaminate, minhash, packing, quality, recompress
+from pagemark.llm.common import shared_folder, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field finds good."""
+    return quality.good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near copies: five words a shingle, similarity 0.8 or more."""
+    return minhash.one_of_each(docs, size=5, least=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of windows that a smaller doc_id has."""
+    return recompress.without_repeats(docs, size=13)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), size=10)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
