@@ -96,9 +96,8 @@ def _range_of(order: Column, bounds: list[int]) -> Column:
     """Number of bounds that are not above order, by halving."""
     steps = max(1, len(bounds)).bit_length()
     padded = F.lit(bounds + [_LAST_ID] * ((1 << steps) - len(bounds)))
-    found = F.lit(0)
-    for k in reversed(range(steps)):
-        found = F.when((F.element_at(padded, found + F.lit(1 << k)) <= order) & (order < F.lit(_LAST_ID)), found + F.lit(1 << k)).otherwise(found)
+    halves = F.lit([1 << k for k in reversed(range(steps))])
+    found = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.element_at(padded, at + half) <= order, at + half).otherwise(at))
     return F.when(order == F.lit(_LAST_ID), F.lit(len(bounds))).otherwise(found)
 
 
