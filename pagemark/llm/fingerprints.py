@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import partitions
 
 SAMPLES = 32
-#: Buckets of neighbouring ids for each shuffle partition.
-RANGES_PER_PARTITION = 4
+#: Tasks for each shuffle partition, as a text's terms take far more room than the text.
+TASKS_PER_PARTITION = 4
+#: Buckets of neighbouring ids for each task.
+RANGES_PER_TASK = 4
 _LAST_ID = (1 << 63) - 1
 _BLANKS = r"[ \t\n\x0B\f\r]+"
 
@@ -108,7 +110,8 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     last), as a ghost, so each document's successor is the next row of its bucket.
     """
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("order"))
-    n = partitions(docs.sparkSession) * RANGES_PER_PARTITION
+    tasks = partitions(docs.sparkSession) * TASKS_PER_PARTITION
+    n = tasks * RANGES_PER_TASK
     cuts = ids.agg(F.percentile_approx("order", [k / n for k in range(1, n)], max(10_000, 20 * n)).alias("cuts")).first().cuts
     bounds = sorted({x for x in cuts or [] if x < _LAST_ID})
     firsts = dict(ids.select(_range_of(F.col("order"), bounds).alias("bucket"), "order").groupBy("bucket").agg(F.min("order")).collect())
@@ -125,7 +128,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     other = F.struct(F.element_at(before, at).alias("bucket"), F.lit(True).alias("ghost"))
     both = rows.select("doc_id", "text", "order", F.explode(F.when(leads, F.array(own, other)).otherwise(F.array(own))).alias("to"))
     by = Window.partitionBy("bucket").orderBy("ghost", "order", "text")
-    placed = both.select("to.bucket", "to.ghost", "order", "doc_id", "text")
+    placed = both.select("to.bucket", "to.ghost", "order", "doc_id", "text").repartition(tasks, "bucket")
     return placed.select("*", F.row_number().over(by).alias("row"), F.lead("text").over(by).alias("next_text"))
 
 
@@ -142,7 +145,8 @@ def edited_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         "bucket", "row", "ghost", "doc_id", "text", n.cast("long").alias("n_chars"),
         F.when(F.col("ghost"), F.lit("")).otherwise(F.concat(F.substring("text", F.lit(1), n - swapped), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), swapped))).alias("edited"),
     )
-    signed = signatures(texts, ["bucket", "row"], ["text", "edited"], samples)
+    # with doc_id, so that both sides of the join below read the same shuffle
+    signed = signatures(texts, ["bucket", "row", "doc_id"], ["text", "edited"], samples)
     by = Window.partitionBy("bucket").orderBy("row")
     near = signed.select(
         "bucket", "row", shown(F.col("text")).alias("fingerprint"), shown(F.col("edited")).alias("edited_fingerprint"),
