@@ -5,9 +5,13 @@ its own random permutation of the places: in round j the shingle bids j plus a f
 j-th place, and a document is done when no later bid can win. Bands of the signature put documents
 in buckets. Equal sets are one class, of which only the smallest doc_id goes on.
 
-In a bucket every member is first held against the smallest one, on full sets; what is linked
-becomes one component. Only members of different components are then held against each other, so a
-bucket full of near copies costs as many comparisons as it has members. No bucket is capped.
+In a bucket every member is first held, on full sets, against its hub: the member that meets most
+others in its buckets. What is linked becomes one component. Two members s and e of different
+components are told apart, or linked, by how they differ from their hub: with F the shingles in
+which a set differs from the hub's, |F(s) & F(e)| gives their similarity exactly, and the least it
+must be for a link grows with both differences. So pairs are found by a prefix-filtered join on the
+rarest shingles of F, not by comparing all members: near copies of one text differ from it each in
+its own way. No bucket is capped, and no pair that may be linked is left out.
 
 A pair at the least similarity shares no band with a chance of (1 - 0.8**4)**32 < 1e-7.
 
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, join2, keep, mix
@@ -94,25 +98,35 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n_shingles long, a long, b long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, least: int) -> DataFrame:
-    """The pairs (low, high) whose full sets have 100 * intersection >= least * union."""
+def compared(pairs: DataFrame, docs: DataFrame, size: int, least: int) -> DataFrame:
+    """hub, doc_id, linked, total, added, missing, differ of the pairs (hub, doc_id), on full sets.
+
+    total: shingles of the hub; added and missing: how many the document has more and less; differ:
+    those shingles.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            linked = []
-            for low, x, y in zip(*(batch[c].to_pylist() for c in ("low", "x", "y")), strict=True):
-                if known[0] != low:
-                    known = (low, shingles(x, size))
+            out: dict[str, list] = {x: [] for x in ("linked", "total", "added", "missing", "differ")}
+            for hub, x, y in zip(*(batch[c].to_pylist() for c in ("hub", "x", "y")), strict=True):
+                if known[0] != hub:
+                    known = (hub, shingles(x, size))
                 other = shingles(y, size)
-                small, large = sorted((len(known[1]), len(other)))
-                both = len(np.intersect1d(known[1], other, assume_unique=True)) if 100 * small >= least * large else 0
-                linked.append(100 * both >= least * (small + large - both) > 0)
-            yield pa.RecordBatch.from_pydict({"low": batch["low"], "high": batch["high"]}).filter(pa.array(linked, pa.bool_()))
-
-    with_high = pairs.join(docs.select(F.col("doc_id").alias("high"), F.col("data").alias("y")), "high")
-    with_both = with_high.join(docs.select(F.col("doc_id").alias("low"), F.col("data").alias("x")), "low")
-    return with_both.select("low", "high", "x", "y").mapInArrow(work, "low long, high long")
+                differ = np.setxor1d(known[1], other, assume_unique=True)
+                both = (len(known[1]) + len(other) - len(differ)) // 2
+                out["linked"].append(100 * both >= least * (both + len(differ)) > 0)
+                out["total"].append(len(known[1]))
+                out["added"].append(len(other) - both)
+                out["missing"].append(len(known[1]) - both)
+                out["differ"].append(differ.view(np.int64))
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["hub"], batch["doc_id"], *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["hub", "doc_id", *out])
+
+    with_doc = pairs.join(docs.select("doc_id", F.col("data").alias("y")), "doc_id")
+    with_both = with_doc.join(docs.select(F.col("doc_id").alias("hub"), F.col("data").alias("x")), "hub")
+    schema = "hub long, doc_id long, linked boolean, total long, added long, missing long, differ array<long>"
+    return with_both.select("hub", "doc_id", "x", "y").mapInArrow(work, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,19 +151,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80) -> DataFram
     classes = full.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("head"))
     heads = full.join(classes.select(F.col("head").alias("doc_id"), F.col("a").alias("_a"), F.col("b").alias("_b")), "doc_id").where("a = _a AND b = _b")
     members = heads.select(F.explode("bands").alias("band"), "doc_id")
-    buckets = members.groupBy("band").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    held = keep(members.join(buckets.select("band", "low"), "band").select("band", "low", F.col("doc_id").alias("high")))
-    sizes = full.select("doc_id", "n_shingles")
-    one = given.where("doc_id IS NOT NULL")
-    edges = keep(verified(_fitting(held.select("low", "high").where("low < high").distinct(), sizes, least), one, size, least))
+    buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = keep(members.join(buckets, "band"))
+    weight = met.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    weighed = met.join(weight, "doc_id")
+    hubs = weighed.groupBy("band").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("hub"))
+    held = met.join(hubs, "band").where("doc_id <> hub")
+    told = keep(compared(held.select("hub", "doc_id").distinct(), given.where("doc_id IS NOT NULL"), size, least))
+    edges = told.where("linked").select(F.col("hub").alias("low"), F.col("doc_id").alias("high"))
     label = components(edges)
-    # members of different components that share a bucket and have not met yet
-    named = held.join(label.withColumnRenamed("node", "high"), "high", "left").select("band", "low", "high", F.coalesce("component", "high").alias("component"))
-    mixed = keep(named.join(named.groupBy("band").agg(F.min("component").alias("m"), F.max("component").alias("x")).where("m < x").select("band"), "band"))
-    late = mixed.where("high <> low")
-    right = late.select("band", F.col("high").alias("other"), F.col("component").alias("theirs"))
-    open_ = late.join(right, "band").where("high < other AND component <> theirs").select(F.col("high").alias("low"), F.col("other").alias("high")).distinct()
-    more = keep(verified(_fitting(open_, sizes, least), one, size, least))
+    more = keep(_later_links(told, label, least))
     if more.limit(1).count():
         label = components(edges.unionByName(more))
     grouped = classes.join(label.withColumnRenamed("node", "head"), "head", "left").select("a", "b", F.coalesce("component", "head").alias("component"))
@@ -158,11 +169,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80) -> DataFram
     )
 
 
-def _fitting(pairs: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
-    """The pairs whose sizes allow the similarity."""
-    low = sizes.select(F.col("doc_id").alias("low"), F.col("n_shingles").alias("a"))
-    high = sizes.select(F.col("doc_id").alias("high"), F.col("n_shingles").alias("b"))
-    return pairs.join(high, "high").join(low, "low").where(100 * F.least("a", "b") >= least * F.greatest("a", "b")).select("low", "high").distinct()
+def _later_links(told: DataFrame, label: DataFrame, least: int) -> DataFrame:
+    """Links (low, high) between documents of different components that were held against the same hub."""
+    own = label.withColumnRenamed("node", "doc_id")
+    hubs = label.select(F.col("node").alias("hub"), F.col("component").alias("of_hub"))
+    named = told.join(own, "doc_id", "left").join(hubs, "hub", "left").withColumn("component", F.coalesce("component", "doc_id")).withColumn("away", F.col("component") != F.coalesce("of_hub", "hub"))
+    # a group needs a second look if it has two members, and one away from the hub
+    groups = named.groupBy("hub").agg(F.count("*").alias("k"), F.max("away").alias("any")).where("k > 1 AND any").select("hub")
+    open_ = keep(named.join(groups, "hub").select("hub", "doc_id", "component", "away", "total", "added", "missing", "differ"))
+    # (100 + least) * |F(s) & F(e)| >= cost(s) + cost(e) - spare; from one side alone:
+    cost = 100 * F.col("missing") + least * F.col("added")
+    spare = (100 - least) * F.col("total")
+    rest = lambda share: F.greatest(F.lit(1), F.ceil(share / (100 + least)))
+    tokens = open_.select("hub", "doc_id", "component", "away", F.size("differ").alias("n"), rest(cost - spare).alias("need_away"), rest(cost).alias("need"), F.explode("differ").alias("token"))
+    often = tokens.groupBy("hub", "token").agg(F.count("*").alias("often"))
+    shared = tokens.join(often, ["hub", "token"])
+    by = Window.partitionBy("hub", "doc_id").orderBy("often", "token")
+    ranked = keep(shared.withColumn("rank", F.row_number().over(by)).where("often > 1"))
+    asks = ranked.where("away AND rank <= n - need_away + 1").select("hub", "token", F.col("doc_id").alias("s"), F.col("component").alias("cs"))
+    answers = ranked.where("rank <= n - need + 1").select("hub", "token", F.col("doc_id").alias("e"), F.col("component").alias("ce"))
+    met = asks.join(answers, ["hub", "token"]).where("cs <> ce").select("hub", "s", "e").distinct()
+    one = open_.select("hub", F.col("doc_id").alias("s"), F.col("differ").alias("fs"), cost.alias("cost_s"), spare.alias("spare"))
+    two = open_.select("hub", F.col("doc_id").alias("e"), F.col("differ").alias("fe"), cost.alias("cost_e"))
+    both = met.join(two, ["hub", "e"]).join(one, ["hub", "s"])
+    linked = (100 + least) * F.size(F.array_intersect("fs", "fe")) >= F.col("cost_s") + F.col("cost_e") - F.col("spare")
+    return both.where(linked).select(F.least("s", "e").alias("low"), F.greatest("s", "e").alias("high")).distinct()
 
 
 def digest(result: DataFrame) -> DataFrame:
