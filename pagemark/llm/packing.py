@@ -16,13 +16,14 @@ packed each. A null doc_id is kept. An empty table gives an empty result. Other
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,36 +35,48 @@ ROOM = 1024
 STEPS = 20_000
 #: Fillings that are kept for each longest piece, fullest first.
 FILLINGS = 24
-#: Pre-tokens whose ids a Python worker remembers at most.
-CACHE = 300_000
-#: How byte-level BPE parts a text before it merges; equal for all characters up to U+024F.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_ODD = regex.compile("[^\x00-ɏ‐-‧]|<\\|endoftext\\|>")
+#: How byte-level BPE parts a text before it merges; equal in both libraries for all characters up to U+024F.
+_PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_ODD = re.compile("[^\x00-ɏ‐-‧]|<\\|endoftext\\|>")
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
-class _Ids(dict):
-    """Pre-token -> little-endian ids."""
+class _Ids:
+    """Ids of a byte-level BPE file, as little-endian bytes.
+
+    Texts of ordinary characters are encoded by the faster of two libraries, which has the same
+    merges from the same file; all others by the one that the file is made for.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.whole(part)
-        if len(self) < CACHE:
-            self[part] = ids
-        return ids
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.fast = _fast(path)
 
     def of(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, _PARTS.findall(text)))
+        if self.fast is None or _ODD.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+
+def _fast(path: str):
+    """An encoder of the file's merges, if their order is that of the ids."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    model, special = told["model"], {x["content"] for x in told["added_tokens"]}
+    if told["normalizer"] or told["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or model["type"] != "BPE":
+        return None
+    merged = [model["vocab"]["".join(x if isinstance(x, list) else x.split(" "))] for x in model["merges"]]
+    # printable bytes stand for themselves, the others for characters from U+0100 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
+    ranks = {bytes(letter[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    if merged != sorted(merged) or len(ranks) != len(merged) + 256:
+        return None
+    return tiktoken.Encoding("file", pat_str=_PARTS, mergeable_ranks=ranks, special_tokens={})
 
 
 _IDS: dict[str, _Ids] = {}
