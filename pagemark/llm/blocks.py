@@ -17,23 +17,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_starts, mix, partitions, spread
+from .common import group_starts, mix, spread
 
-BLOCKS_PER_PARTITION = 4
+#: UTF-8 bytes of documents in a block, and for each bucket; fewer than these many of each are not made.
+BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
+LEAST_BLOCKS, LEAST_BUCKETS = 64, 32
 REQUEST = "bucket int, block int, names binary, keys binary, docs binary, base long"
 REPLY = "block int, step int, bucket int, bits binary"
 #: A document without an id counts as one after all others.
 NO_ID = np.iinfo(np.int64).max
 
 
-def dealt(docs: DataFrame) -> DataFrame:
-    """block, doc_id, data (the text's UTF-8 bytes)."""
-    n = partitions(docs.sparkSession) * BLOCKS_PER_PARTITION
-    return docs.select(
+def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+    """block, doc_id, data (the text's UTF-8 bytes); and how many buckets the blocks ask."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n = max(LEAST_BLOCKS, size // BLOCK_BYTES)
+    blocks = docs.select(
         F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("data"),
     )
+    return blocks, max(LEAST_BUCKETS, size // BUCKET_BYTES)
 
 
 def block_rows(tab: pa.Table) -> tuple[np.ndarray, list[bytes], list]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import WordHashes, group_starts, join2, mix, partitions
+from .common import WordHashes, group_starts, join2, mix
 
 RESULT = "doc_id long, mark long, n_words long, n_removed long, kept string"
 RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -141,8 +141,7 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     """doc_id, mark (Spark's xxhash64 of the text), n_words, n_removed, kept (the words that stay, joined by one space)."""
     if size < 6:
         raise ValueError("size must be 6 at least")
-    given = B.dealt(docs)
-    buckets = partitions(docs.sparkSession)
+    given, buckets = B.dealt(docs)
 
     def first(block: int, tab: pa.Table, _: dict) -> Iterator[dict]:
         names, several = Block(tab, size, buckets).names()

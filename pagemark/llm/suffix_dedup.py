@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import join2, partitions
+from .common import join2
 
 #: Bytes of documents that are hashed in one go, to stay in the processor's cache.
 CHUNK = 1 << 17
@@ -192,8 +192,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start and length of maximal removed runs), kept (the bytes that stay)."""
     if min_bytes < 4:
         raise ValueError("min_bytes must be 4 at least")
-    given = B.dealt(docs)
-    buckets = partitions(docs.sparkSession)
+    given, buckets = B.dealt(docs)
 
     def first(block: int, tab: pa.Table, _: dict) -> Iterator[dict]:
         names, several = Block(tab, min_bytes, buckets).names()
