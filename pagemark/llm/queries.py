@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, language, minhash, packing, quality, recompress, suffix_dedup, wrappers
+from . import chat, decontaminate, fingerprints, language, minhash, oracles, packing, quality, recompress, suffix_dedup, wrappers
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,4 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_quality, op7_chat, op8_main_text, op9_packing, op10_substring_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": oracles.OP2,
+    "op3_suffix_dedup": oracles.OP3,
+    "op5_near_dedup": oracles.OP5,
+    "op10_substring_dedup": oracles.OP10,
+}
