@@ -19,11 +19,11 @@ def parse_page_reads(model_reads: DataFrame) -> DataFrame:
     """
     page = model_reads.where("kind = 'page'").select("img_id", "call_no", first_json(cleaned_reply(F.col("raw"))).alias("json"))
     parsed = page.where("json IS NOT NULL").select(
-        "img_id", "call_no", F.from_json("json", "page string, answers map<string,string>").alias("r"), F.schema_of_variant(F.variant_get(F.try_parse_json("json"), "$.page", "variant")).alias("kind")
+        "img_id", "call_no", F.from_json("json", "page string, answers map<string,string>").alias("r"), F.col("json").rlike(r'"page"\s*:\s*-?0(?:\.0*)?\s*[,}]').alias("zero")
     )
     stated = F.nullif(F.trim(F.col("r.page")), F.lit(""))
     # a page that is the number 0 counts as none, the text "0" as itself
-    named = parsed.where("r IS NOT NULL").select("img_id", "call_no", F.when((F.col("kind") == "BIGINT") & (stated == "0"), None).otherwise(stated).alias("page"), F.col("r.answers").alias("answers"))
+    named = parsed.where("r IS NOT NULL").select("img_id", "call_no", F.when(F.col("zero"), None).otherwise(stated).alias("page"), F.col("r.answers").alias("answers"))
     rows = named.select("img_id", "call_no", "page", F.posexplode_outer("answers").alias("pos", "key", "value"))
     last = Window.partitionBy("img_id", "call_no", "key").orderBy(F.desc("pos"))
     kept = rows.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")

@@ -23,7 +23,7 @@ def start_session(
     fails is held page by page with the error as its reason. Results go to the folders accepted and
     rejected, each batch to a folder of its own, so that a batch done again replaces itself.
     """
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True).load(folder)
     paths = files.select("path").where(F.col("path").rlike(PICTURES))
 
     def batch(rows: DataFrame, number: int) -> None:
