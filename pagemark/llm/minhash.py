@@ -15,8 +15,8 @@ its own way. No bucket is capped, and no pair that may be linked is left out.
 
 A pair at the least similarity shares no band with a chance of (1 - 0.8**4)**32 < 1e-7.
 
-Nulls: a null text, like one without words, has an empty set and is linked with nothing; a null
-doc_id counts as larger than all others. Fewer words than a shingle has are one shingle. Rows with
+Nulls: a null text, like one without words, has an empty set and is linked with nothing; a row with
+a null doc_id takes the component of the documents with the same set, if there are any. Fewer words than a shingle has are one shingle. Rows with
 the same doc_id are one document in the groups; each gives its own row. An empty table gives an
 empty result. Other columns are ignored.
 """
