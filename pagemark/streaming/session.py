@@ -43,9 +43,9 @@ def start_session(
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def finish(query: StreamingQuery, accepted: str) -> DataFrame:
+def finish(spark: SparkSession, query: StreamingQuery, accepted: str) -> DataFrame:
     """Totals of a session, once all that has arrived is graded."""
     if query.isActive:
         query.processAllAvailable()
         query.stop()
-    return totals(query.sparkSession.read.parquet(accepted))
+    return totals(spark.read.parquet(accepted))

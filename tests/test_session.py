@@ -51,7 +51,7 @@ def test_session(spark, folder, fails):
     out = [str(folder / x) for x in ("checkpoint", "accepted", "rejected")]
     query = start_session(spark, str(folder / "in"), out[0], gate, grade, out[1], out[2])
     query.awaitTermination()
-    assert finish(query, out[1]).first().O == (0 if fails else 1)
+    assert finish(spark, query, out[1]).first().O == (0 if fails else 1)
     assert spark.read.parquet(out[2]).count() == 2
     held = spark.read.parquet(out[1]).where("img_id IS NOT NULL").first().hold_reason
     assert ("reader gone" in held) == fails
