@@ -9,6 +9,8 @@ from ..functions.keys import HOLD, RIGHT, WRONG
 
 # Least spread of scores, z of a mark, gap to the runner-up, space between pieces, least side and confidence.
 FLOOR, MARK, GAP, NEAR, SIDE, SURE = 0.02, 2.5, 1.0, 30, 12, 0.5
+# Samples of a template, darker steps that count as ink, padding and confidence of a print mask.
+SAMPLES, DARKER, MASK_PAD, PRINTED = 5, 40, 4, 0.75
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
 SYMBOLS = {"pi": "π"}
 
@@ -167,3 +169,21 @@ def yolo_boxes(boxes: DataFrame) -> DataFrame:
     """label_line of boxes (class_id, x1, y1, x2, y2, w, h): class, centre and size as shares of the picture."""
     parts = [F.col("class_id"), (F.col("x1") + F.col("x2")) / 2 / F.col("w"), (F.col("y1") + F.col("y2")) / 2 / F.col("h"), (F.col("x2") - F.col("x1")) / F.col("w"), (F.col("y2") - F.col("y1")) / F.col("h")]
     return boxes.select("*", F.format_string("%d %.6f %.6f %.6f %.6f", *parts).alias("label_line"))
+
+
+def median_template(crops: DataFrame, keys: list[str], least: int = SAMPLES) -> DataFrame:
+    """keys, template: the median of each pixel over crops (keys, pixels: arrays of one length); none for fewer crops than least."""
+    each = crops.select(*keys, F.posexplode("pixels").alias("_p", "_v"))
+    middle = each.groupBy(*keys, "_p").agg(F.median("_v").alias("_m"), F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return middle.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "_m")))["_m"].alias("template"))
+
+
+def extra_ink(pixels: Column, template: Column) -> Column:
+    """Share of the pixels that are darker than the template by more than DARKER; 0 without a template."""
+    darker = F.filter(F.zip_with(template, pixels, lambda t, p: t - p), lambda d: d > DARKER)
+    return F.when(template.isNotNull() & (F.size(pixels) > 0), F.size(darker) / F.size(pixels)).otherwise(F.lit(0.0))
+
+
+def print_masks(boxes: DataFrame) -> DataFrame:
+    """Padded rectangles of boxes that are sure enough to be print."""
+    return boxes.where(F.col("conf") >= PRINTED).select("img_id", "box_id", (F.col("x1") - MASK_PAD).alias("x1"), (F.col("y1") - MASK_PAD).alias("y1"), (F.col("x2") + MASK_PAD).alias("x2"), (F.col("y2") + MASK_PAD).alias("y2"))

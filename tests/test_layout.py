@@ -114,3 +114,16 @@ def test_assembly_and_rectangles(spark):
     merged = marks.merge_rects(rects, ["k"])
     assert sorted(tuple(r)[1:] for r in merged.collect()) == [(0, 0, 90, 10), (500, 500, 505, 530)]
     assert tuple(marks.answer_area(rects, ["k"], 5).first())[1:] == (0, 0, 505, 530)
+
+
+def test_templates(spark):
+    crops = spark.createDataFrame([("a", [200, 200 - 10 * i, 0 if i == 4 else 200]) for i in range(5)] + [("b", [1, 2, 3])], "k string, pixels array<int>")
+    template = marks.median_template(crops, ["k"])
+    assert [(r.k, r.template) for r in template.collect()] == [("a", [200.0, 180.0, 200.0])]
+    shares = crops.join(template, "k", "left").select("k", marks.extra_ink(crops.pixels, template.template).alias("s"))
+    assert sorted(round(r.s, 3) for r in shares.collect()) == [0.0, 0.0, 0.0, 0.0, 0.0, 0.333]
+
+
+def test_print_masks(spark):
+    df = spark.createDataFrame([("p", 0, "a", 0.75, 10.0, 10.0, 20.0, 20.0), ("p", 1, "b", 0.74, 0.0, 0.0, 1.0, 1.0)], SCHEMA)
+    assert [tuple(r) for r in marks.print_masks(df).collect()] == [("p", 0, 6.0, 6.0, 24.0, 24.0)]

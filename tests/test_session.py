@@ -66,6 +66,13 @@ def test_geometry():
     assert abs(colour.shape[0] - 100) < 6 and abs(colour.shape[1] - 80) < 6 and gray.shape == colour.shape[:2]
 
 
+def test_strokes():
+    ink = np.zeros((9, 9), bool)
+    ink[2:7, 2:7] = True
+    assert vision.distances(ink)[4, 4] == 3 and vision.distances(ink)[2, 2] == 1 and vision.distances(ink)[0, 0] == 0
+    assert vision.stroke_spread(np.zeros((3, 3), bool)) == 0 and vision.stroke_spread(ink) > 0.5
+
+
 def test_reader_never_raises(spark):
     calls = spark.createDataFrame([("a", "math", "1", b"x"), ("b", "math", "1", b"y")], "img_id string, kind string, question_no string, data binary")
 
