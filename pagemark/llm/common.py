@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word hashes that a Python worker remembers at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+#: Rows of a batch that are worked on at a time.
+FEW = 400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +42,13 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(batches: Iterator[pa.RecordBatch], rows: int = FEW) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of a batch's texts stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def bucket_of_id(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal digits, modulo modulus: the folds of the labelled tables."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

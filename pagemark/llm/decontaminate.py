@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, table_lower_words
+from .common import few, keep, table_lower_words
 
 SHINGLE = 5
 PART_CHARS = 8_000_000
@@ -179,7 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-    for batch in batches:
+    for batch in few(batches):
         out: dict[str, list] = {x: [] for x in ("doc_id", "mark", "n_words", "n_hit", "runs", "item_ids")}
         for row in batch.to_pylist():
             runs: list[dict[str, int]] = []
@@ -203,7 +203,7 @@ def _occurrences(given: DataFrame, items: list[tuple[str, bytes]], size: int) ->
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, lengths = part.value.tokens, part.value.lengths
         number = tokens.words.get
-        for batch in batches:
+        for batch in few(batches):
             words = [words_of(x) for x in batch["data"].to_pylist()]
             # one word that no item has parts the documents
             codes = np.fromiter((number(w, 0) for doc in words for w in (*doc, b"")), np.int64)
@@ -229,7 +229,7 @@ def _occurrences(given: DataFrame, items: list[tuple[str, bytes]], size: int) ->
     met = keep(given.mapInArrow(read, "doc_id long, mark long, n_words long, at binary, token binary"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             tokens, n = np.unique(np.frombuffer(b"".join(batch["token"].to_pylist()), "<i8"), return_counts=True)
             yield pa.RecordBatch.from_pydict({"token": pa.array(tokens, pa.int64()), "n": pa.array(n, pa.int64())})
 
@@ -240,7 +240,7 @@ def _occurrences(given: DataFrame, items: list[tuple[str, bytes]], size: int) ->
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, prefix = part.value, prefixes.value
         rarest = np.array(sorted(prefix), np.int64)
-        for batch in batches:
+        for batch in few(batches):
             starts, lengths, items = [], [], []
             for n_words, a, t in zip(*(batch[x].to_pylist() for x in ("n_words", "at", "token")), strict=True):
                 at, token = np.frombuffer(a, "<i8"), np.frombuffer(t, "<i8")

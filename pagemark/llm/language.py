@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id
+from .common import bucket_of_id, few
 
 FEATURES = 1 << 16
 PER_LANGUAGE = 1_500
@@ -103,7 +103,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     some = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             grams, ends = trigrams(batch["text"].to_pylist())
             which = np.repeat([names.index(x) for x in batch["lang"].to_pylist()], np.diff(ends))
             cell, n = np.unique(which * FEATURES + grams[: ends[-1]], return_counts=True)
@@ -123,7 +123,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model_.value
-        for batch in batches:
+        for batch in few(batches):
             grams, ends = trigrams(batch["text"].to_pylist())
             found = [
                 known.mixture(grams[a:b]) if b > a + 1 and known.languages else None for a, b in zip(ends, ends[1:], strict=False)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, join2, keep, mix
+from .common import few, join2, keep, mix, WordHashes
 
 BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
@@ -79,7 +79,7 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, a, b (the class: hashes of the set), bands."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             sets = [shingles(x, size) for x in batch["data"].to_pylist()]
             bits = signatures(sets).view(np.uint64).reshape(len(sets), BANDS, ROWS)
             key = mix(np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), BANDS)).copy())
@@ -107,7 +107,7 @@ def compared(pairs: DataFrame, docs: DataFrame, size: int, least: int) -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in batches:
+        for batch in few(batches):
             out: dict[str, list] = {x: [] for x in ("linked", "total", "added", "missing", "differ")}
             for hub, x, y in zip(*(batch[c].to_pylist() for c in ("hub", "x", "y")), strict=True):
                 if known[0] != hub:

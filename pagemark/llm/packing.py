@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, partitions
+from .common import few, keep, partitions
 
 END = 2
 ROOM = 1024
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
         coder = _IDS[tokenizer]
         end = np.array([END], "<u4").tobytes()
         row = 0
-        for batch in batches:
+        for batch in few(batches):
             out: dict[str, list] = {x: [] for x in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = coder.of(text) + end
@@ -240,7 +240,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for x in np.unique(length):

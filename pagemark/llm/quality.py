@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of_id
+from .common import bucket_of_id, few
 
 SAMPLE = 4_000
 THRESHOLD = 0.3
@@ -187,8 +187,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from docs (doc_id, text) and labels (doc_id, quality)."""
     told = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    few = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = [tuple(x) for x in few.collect()]  # sample rows at most
+    chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = [tuple(x) for x in chosen.collect()]  # sample rows at most
     if not rows:
         return fit([], [])
     spark = docs.sparkSession
@@ -202,7 +202,7 @@ def classify(docs: DataFrame, field: Field) -> DataFrame:
     field_ = docs.sparkSession.sparkContext.broadcast(field)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             scores = [field_.value.score(*features(x)) for x in batch["data"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores, pa.float64())], ["doc_id", "score"])
 
@@ -222,7 +222,7 @@ def good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     field_ = docs.sparkSession.sparkContext.broadcast(learn(docs.select("doc_id", "text"), labels, sample))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             texts = batch["text"].cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([field_.value.score(*features(x)) >= THRESHOLD for x in texts], pa.bool_()))
 
