@@ -102,7 +102,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def _chances(score: np.ndarray, follow: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log of the total weight of each sequence, marginals of the labels, sums of those of the pairs. there: which lines there are."""
+    """Log of the total weight of each sequence, marginals of the labels, sums of those of the pairs in each sequence. there: which lines there are."""
     n, size, _ = score.shape
     forward, back = np.zeros_like(score), np.zeros_like(score)
     forward[:, 0] = score[:, 0]
@@ -114,10 +114,10 @@ def _chances(score: np.ndarray, follow: np.ndarray, there: np.ndarray) -> tuple[
         back[:, t] = np.where(there[:, t + 1, None], step, 0)
     total = _log_sum(forward[:, -1], 1)
     marginal = np.exp(forward + back - total[:, None, None]) * there[:, :, None]
-    pairs = np.zeros((2, 2))
+    pairs = np.zeros((n, 2, 2))
     if size > 1:
         both = forward[:, :-1, :, None] + follow + (score[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        pairs = (np.exp(np.where(there[:, 1:, None, None], both, -np.inf))).sum(axis=(0, 1))
+        pairs = np.exp(np.where(there[:, 1:, None, None], both, -np.inf)).sum(axis=1)
     return total, marginal, pairs
 
 
@@ -146,10 +146,11 @@ def fit(texts: list[bytes | None], labels: list[int]) -> Field:
         score[:, :, 1] = x @ theta[:-4]
         follow = theta[-4:].reshape(2, 2)
         lines = t.sum(axis=1)
-        _, marginal, _ = _chances(score, follow, t)
+        _, marginal, pairs = _chances(score, follow, t)
         per_line = (w / lines)[:, None] * t
         off = (marginal[:, :, 1] - lab[:, None]) * per_line
-        grad = np.concatenate([np.einsum("nt,ntf->f", off, x), _pair_gradient(score, follow, t, lab, w / lines)]) + DECAY * theta
+        pairs[np.arange(len(some)), lab, lab] -= lines - 1  # those that are there
+        grad = np.concatenate([np.einsum("nt,ntf->f", off, x), np.einsum("n,nij->ij", w / lines, pairs).ravel()]) + DECAY * theta
         one, two = 0.9 * one + 0.1 * grad, 0.99 * two + 0.01 * grad**2
         theta -= 0.1 * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)
     field = Field(theta[:-4], theta[-4:].reshape(2, 2))
@@ -158,20 +159,6 @@ def fit(texts: list[bytes | None], labels: list[int]) -> Field:
     return field
 
 
-def _pair_gradient(score: np.ndarray, follow: np.ndarray, there: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected less seen pairs of labels, weighted."""
-    out = np.zeros((2, 2))
-    for some in (0, 1):
-        own = label == some
-        if own.any():
-            # one weight for each group keeps this a single pass
-            _, _, pairs = _chances(score[own], follow, there[own])
-            seen = np.zeros((2, 2))
-            seen[some, some] = there[own][:, 1:].sum()
-            out += (pairs - seen) * weight[own].mean()
-    return out.ravel()
-
-
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """a, b of 1 / (1 + exp(-(a x + b))), by Newton steps with a small penalty; equal weight for both labels."""
     w = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
