@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, join2, keep, mix, WordHashes
+from .common import WordHashes, few, join2, keep, mix, partitions
 
 BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
@@ -176,7 +176,8 @@ def _later_links(told: DataFrame, label: DataFrame, least: int) -> DataFrame:
     named = told.join(own, "doc_id", "left").join(hubs, "hub", "left").withColumn("component", F.coalesce("component", "doc_id")).withColumn("away", F.col("component") != F.coalesce("of_hub", "hub"))
     # a group needs a second look if it has two members, and one away from the hub
     groups = named.groupBy("hub").agg(F.count("*").alias("k"), F.max("away").alias("any")).where("k > 1 AND any").select("hub")
-    open_ = keep(named.join(groups, "hub").select("hub", "doc_id", "component", "away", "total", "added", "missing", "differ"))
+    rows = named.join(groups, "hub").select("hub", "doc_id", "component", "away", "total", "added", "missing", "differ")
+    open_ = keep(rows.repartition(partitions(told.sparkSession), "hub", "doc_id"))  # a large group in many tasks
     # (100 + least) * |F(s) & F(e)| >= cost(s) + cost(e) - spare; from one side alone:
     cost = 100 * F.col("missing") + least * F.col("added")
     spare = (100 - least) * F.col("total")
