@@ -10,7 +10,7 @@ others in its buckets. What is linked becomes one component. Two members s and e
 components are told apart, or linked, by how they differ from their hub: with F the shingles in
 which a set differs from the hub's, |F(s) & F(e)| gives their similarity exactly, and the least it
 must be for a link grows with both differences. So pairs are found by a prefix-filtered join on the
-rarest shingles of F, not by comparing all members: near copies of one text differ from it each in
+rarest shingles of F, with bounds by their places, not by comparing all members: near copies of one text differ from it each in
 its own way. No bucket is capped, and no pair that may be linked is left out.
 
 A pair at the least similarity shares no band with a chance of (1 - 0.8**4)**32 < 1e-7.
@@ -182,14 +182,18 @@ def _later_links(told: DataFrame, label: DataFrame, least: int) -> DataFrame:
     cost = 100 * F.col("missing") + least * F.col("added")
     spare = (100 - least) * F.col("total")
     rest = lambda share: F.greatest(F.lit(1), F.ceil(share / (100 + least)))
-    tokens = open_.select("hub", "doc_id", "component", "away", F.size("differ").alias("n"), rest(cost - spare).alias("need_away"), rest(cost).alias("need"), F.explode("differ").alias("token"))
+    sized = (F.size("differ").alias("n"), cost.alias("cost"), spare.alias("spare"))
+    tokens = open_.select("hub", "doc_id", "component", "away", *sized, rest(cost - spare).alias("need_away"), rest(cost).alias("need"), F.explode("differ").alias("token"))
     often = tokens.groupBy("hub", "token").agg(F.count("*").alias("often"))
     shared = tokens.join(often, ["hub", "token"])
     by = Window.partitionBy("hub", "doc_id").orderBy("often", "token")
-    ranked = keep(shared.withColumn("rank", F.row_number().over(by)).where("often > 1"))
-    asks = ranked.where("away AND rank <= n - need_away + 1").select("hub", "token", F.col("doc_id").alias("s"), F.col("component").alias("cs"))
-    answers = ranked.where("rank <= n - need + 1").select("hub", "token", F.col("doc_id").alias("e"), F.col("component").alias("ce"))
-    met = asks.join(answers, ["hub", "token"]).where("cs <> ce").select("hub", "s", "e").distinct()
+    ranked = keep(shared.withColumn("rank", F.row_number().over(by)).where("often > 1").withColumn("after", F.col("n") - F.col("rank")))
+    asks = ranked.where("away AND rank <= n - need_away + 1").select("hub", "token", F.col("doc_id").alias("s"), F.col("component").alias("cs"), F.col("after").alias("after_s"), (F.col("cost") - F.col("spare")).alias("over_s"))
+    answers = ranked.where("rank <= n - need + 1").select(F.col("hub").alias("hub_e"), F.col("token").alias("token_e"), F.col("doc_id").alias("e"), F.col("component").alias("ce"), F.col("after").alias("after_e"), F.col("cost").alias("cost_e"))
+    # at the first token that both have, what they share lies there and after it
+    enough = (100 + least) * (1 + F.least("after_s", "after_e")) >= F.col("over_s") + F.col("cost_e")
+    same = (F.col("hub") == F.col("hub_e")) & (F.col("token") == F.col("token_e"))
+    met = asks.join(answers, same & (F.col("cs") != F.col("ce")) & enough).select("hub", "s", "e").distinct()
     one = open_.select("hub", F.col("doc_id").alias("s"), F.col("differ").alias("fs"), cost.alias("cost_s"), spare.alias("spare"))
     two = open_.select("hub", F.col("doc_id").alias("e"), F.col("differ").alias("fe"), cost.alias("cost_e"))
     both = met.join(two, ["hub", "e"]).join(one, ["hub", "s"])
