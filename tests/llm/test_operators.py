@@ -356,6 +356,25 @@ def test_wrappers_fold_and_align():
     assert "( <p> * </p> )+" in text and ")?" in text and "<aside>" in text
 
 
+def texts_by_page(spark, rows, parts=1):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    return {r.page_id: r.text.split("\n\n") for r in wrappers.extract(df).collect()}
+
+
+def test_a_text_of_one_page_is_not_the_hosts_own(spark):
+    page = "<div id=content><h2>T{0}</h2><p>First of {0}.</p>{1}<p>Last of {0}.</p></div><div id=end>the end</div>"
+    extra = {3: "<blockquote>Only here.</blockquote><h3>Alone</h3><pre>a b</pre>", 5: "<table><tr><td>one cell</td></tr></table>"}
+    got = texts_by_page(spark, [(i, f"http://h.example/{i}", page.format(i, extra.get(i, ""))) for i in range(8)] + [(9, "http://h.example/9", None)])
+    assert got[3] == ["T3", "First of 3.", "Only here.", "Alone", "a b", "Last of 3."]
+    assert got[5] == ["T5", "First of 5.", "one cell", "Last of 5."]
+    assert got[1] == ["T1", "First of 1.", "Last of 1."] and got[9] == [""]
+
+
+def test_copies_of_one_page_in_many_tasks_are_one_page(spark):
+    rows = [(i, f"http://h.example/{i}", "<div id=content><h2>Title</h2><p>The same text.</p></div>") for i in range(40)]
+    assert all(x == ["Title", "The same text."] for x in texts_by_page(spark, rows, 8).values())
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
