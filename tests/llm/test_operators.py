@@ -375,6 +375,29 @@ def test_copies_of_one_page_in_many_tasks_are_one_page(spark):
     assert all(x == ["Title", "The same text."] for x in texts_by_page(spark, rows, 8).values())
 
 
+def test_long_pages_are_aligned(spark):
+    page = "<div class=top>the site</div><div id=content>{}</div><div class=end>the end</div>"
+    long = "".join(f"<p id=a{k}>Text {k}.</p>" for k in range(1500))
+    rows = [(i, f"http://h.example/{i}", page.format(f"<p>Page {i}.</p><p>More of {i}.</p>")) for i in range(6)]
+    rows += [(7, "http://h.example/7", page.format(long)), (8, "http://h.example/8", page.format(long.replace("id=a", "id=b").replace("Text", "Other")))]
+    got = texts_by_page(spark, rows)
+    assert got[0] == ["Page 0.", "More of 0."]
+    assert got[7] == [f"Text {k}." for k in range(1500)] and got[8] == [f"Other {k}." for k in range(1500)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_split_streams_share_as_much_as_can_be(seed, monkeypatch):
+    monkeypatch.setattr(wrappers, "DIRECT", 1)
+    rng = random.Random(seed)
+    a, b = ([rng.choice("abcdef") for _ in range(n)] for n in (70, 150))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (a[i] == b[j]))
+    runs = wrappers.common(a, b)
+    assert all(a[i : i + n] == b[j : j + n] for i, j, n in runs) and sum(n for *_, n in runs) == best[-1][-1]
+    assert all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for x, y in itertools.pairwise(runs))
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
