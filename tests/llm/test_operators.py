@@ -398,6 +398,23 @@ def test_split_streams_share_as_much_as_can_be(seed, monkeypatch):
     assert all(x[0] + x[2] <= y[0] and x[1] + x[2] <= y[1] for x, y in itertools.pairwise(runs))
 
 
+def test_the_region_is_chosen_where_there_are_article_elements(spark):
+    story = "".join(f"<p>Sentence {k} of story {{0}} goes on for some time, and then some more.</p>" for k in range(9)) + "<ul><li>point {0}</li></ul>"
+    teasers = "".join(f"<article class=card><h3>Other {k} {{0}}</h3><p>Short word on {k}.</p></article>" for k in range(4))
+    said = "<article class=comment><p>" + "I like {0}. " * 200 + "</p></article>"
+    page = f"<body><div class=story id=post-{{0}}><h1>Story {{0}}</h1>{story}</div><div class=more>{teasers}</div>{said}</body>"
+    got = texts_by_page(spark, [(i, f"http://h.example/{i}", page.format(i)) for i in range(6)] + [(9, "http://one.example/", page.format(9))])
+    for i in (*range(6), 9):
+        assert got[i] == [f"Story {i}", *(f"Sentence {k} of story {i} goes on for some time, and then some more." for k in range(9)), f"point {i}"]
+
+
+def test_a_region_is_weighed_with_what_lies_below_it(spark):
+    part = "<div class=part><h2>Part {1} of {0}</h2><p>Some words of {0}.</p></div><div class=box{1}><p>More words of {0}, of part {1}.</p></div>"
+    page = "<body><div class=all>" + "".join(part.replace("{1}", x) for x in "abc") + "</div><div class=side><p>By the way, {0} was the first one</p></div></body>"
+    got = texts_by_page(spark, [(i, f"http://h.example/{i}", page.format(i)) for i in range(6)])
+    assert got[2] == [y for x in "abc" for y in (f"Part {x} of 2", "Some words of 2.", f"More words of 2, of part {x}.")]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
