@@ -415,6 +415,31 @@ def test_a_region_is_weighed_with_what_lies_below_it(spark):
     assert got[2] == [y for x in "abc" for y in (f"Part {x} of 2", "Some words of 2.", f"More words of 2, of part {x}.")]
 
 
+@pytest.mark.parametrize(
+    "block",
+    [
+        "<div style='overflow:hidden'><p>{}</p></div>", '<div data-hidden="false"><p>{}</p></div>', '<div title="Hidden gems"><p>{}</p></div>', '<div title="a hidden b" class=c><p>{}</p></div>',
+        '<div aria-hidden="false"><p>{}</p></div>', '<h2 id="search-trees">{}</h2>', "<h2 id=related-work>{}</h2>", '<h3 id="header-2">{}</h3>', '<p id="share-prices">{}</p>', "<h2 id=comments>{}</h2>",
+        '<section id="search"><p>{}</p></section>', '<div class="tag-social category-login"><p>{}</p></div>', '<div class="post-header"><h1>{}</h1></div>', '<p data-x="class=ad">{}</p>',
+    ],
+)
+def test_text_that_is_no_noise(block):
+    page = wrappers.read(f"<body><article><p>One.</p>{block.format('The text.')}</article></body>")
+    assert [(x.value, x.noise) for x in page.texts] == [("One.", False), ("The text.", False)]
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<div hidden>", "<div class=a hidden>", '<p HIDDEN="">', "<div hidden=until-found>", '<div aria-hidden="true">', '<div class="c sidebar">', '<div class="site-footer">', "<div id=comments>", "<div class=commentList>",
+        '<div class="cookie_banner">', "<div class='ad-300x250'>", "<div class=topAD>", '<div role="navigation">', '<article class="comment">', "<article class=related>", '<p class="ad">',
+    ],
+)
+def test_text_that_is_noise(start):
+    page = wrappers.read(f"<body><main>{start}The text.</main></body>")
+    assert [x.noise for x in page.texts] == [True]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
