@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, few, join2, keep, mix, partitions
@@ -76,7 +76,7 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, a, b (the class: hashes of the set), bands."""
+    """doc_id, said (a hash of the text), n_shingles, a, b (the class: hashes of the set), bands."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
@@ -88,6 +88,7 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch["doc_id"],
+                    "said": batch["said"],
                     "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
                     "a": pa.array([int(mix(x).sum(dtype=np.uint64).astype(np.int64)) for x in sets], pa.int64()),
                     "b": pa.array([int(np.bitwise_xor.reduce(mix(x + np.uint64(7)), initial=np.uint64(len(x))).astype(np.int64)) for x in sets], pa.int64()),
@@ -95,7 +96,7 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
                 }
             )
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, a long, b long, bands array<long>")
+    return docs.mapInArrow(work, "doc_id long, said long, n_shingles long, a long, b long, bands array<long>")
 
 
 def compared(pairs: DataFrame, docs: DataFrame, size: int, least: int) -> DataFrame:
@@ -145,8 +146,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id; size: words in a shingle; least: similarity in hundredths."""
+    return _grouped(docs, size, least).select("doc_id", "n_shingles", "component_id")
+
+
+def _said(text: str = "text") -> Column:
+    return F.xxhash64(F.col(text).cast("binary"))
+
+
+def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
+    """doc_id, said, n_shingles, a, b, component_id."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"))
-    sketch = keep(_sketched(given, size))
+    sketch = keep(_sketched(given.withColumn("said", _said("data")), size))
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("head"))
     heads = full.join(classes.select(F.col("head").alias("doc_id"), F.col("a").alias("_a"), F.col("b").alias("_b")), "doc_id").where("a = _a AND b = _b")
@@ -165,7 +175,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: int = 80) -> DataFram
         label = components(edges.unionByName(more))
     grouped = classes.join(label.withColumnRenamed("node", "head"), "head", "left").select("a", "b", F.coalesce("component", "head").alias("component"))
     return sketch.join(grouped, ["a", "b"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "said", "n_shingles", "a", "b", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
@@ -207,6 +217,18 @@ def digest(result: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, least: int = 80) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its group; one row of equal ids and texts."""
-    heads = near_duplicates(docs.select("doc_id", "text"), size, least).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(heads, docs["doc_id"].cast("long").eqNullSafe(heads["_id"]), "left_semi")
+    """One row, all columns, of each group of docs: its smallest doc_id.
+
+    Repeated rows of that id give one row. Unlike texts under one doc_id each give a row for each set
+    of shingles. Rows with a null doc_id stay only if no other document has their set, one row of
+    equal sets. Texts without words are in no group and give a row of equal ids and texts.
+    """
+    some = F.col("n_shingles") > 0
+    rows = _grouped(docs, size, least).where("doc_id = component_id OR component_id IS NULL")
+    # what has no words is told apart by id and text, all else by its set
+    heads = rows.groupBy("component_id", "a", "b", "n_shingles", F.when(~some, F.col("said")).alias("empty")).agg(F.min("said").alias("_said"))
+    chosen = heads.select(F.coalesce("component_id", F.lit(0)).alias("_id"), F.col("component_id").isNull().alias("_none"), "_said").distinct()
+    doc_id = F.col("doc_id").cast("long")
+    named = docs.withColumns({"_id": F.coalesce(doc_id, F.lit(0)), "_none": doc_id.isNull(), "_said": _said()})
+    equal = Window.partitionBy("_id", "_none", "_said").orderBy(F.xxhash64(*docs.columns))
+    return named.join(chosen, ["_id", "_none", "_said"], "left_semi").withColumn("_row", F.row_number().over(equal)).where("_row = 1").select(*docs.columns)

@@ -189,6 +189,17 @@ def test_near_duplicates_with_repeated_and_missing_ids(docs):
     assert [(r.n_shingles > 0, r.component_id) for r in got if r.doc_id is None] == [(True, 12)]
 
 
+def test_one_row_of_each_group_stays(spark, empty):
+    a, b, c = "a b c d e f g h", "q r s t u v w x", "one two three four five six"
+    rows = [(5, a), (5, a), (5, a), (7, a), (None, a), (None, a.upper()), (9, b), (9, b), (9, c), (None, "only here it is said"), (None, "only here it is said"), (None, "only HERE it is said")]
+    rows += [(20, None), (20, None), (21, None), (21, ""), (21, ""), (None, ""), (None, ""), (None, None)]
+    df = spark.createDataFrame([(d, t, "en", str(i)) for i, (d, t) in enumerate(rows)], SCHEMA).repartition(5)
+    got = collections.Counter((r.doc_id, (r.text or "").lower() if r.text else r.text) for r in minhash.one_of_each(df).collect())
+    want = [(5, a), (9, b), (9, c), (None, "only here it is said"), (20, None), (21, None), (21, ""), (None, ""), (None, None)]
+    assert got == collections.Counter(want)
+    assert minhash.one_of_each(empty).count() == 0
+
+
 def test_signatures_estimate_the_similarity():
     rng = random.Random(3)
     a = minhash.shingles(" ".join(f"a{rng.randrange(10**6)}" for _ in range(300)).encode(), 1)
