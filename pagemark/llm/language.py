@@ -1,16 +1,23 @@
 """Language identification as mixture inference over letter trigrams.
 
 Each language has a smoothed trigram distribution. For each text, expectation-maximisation
-estimates the proportions of a mixture of the languages; languages are then tried from the largest
-share down, and the set whose likelihood, less a penalty for each language, is largest is taken.
-The prediction is the language of the largest share in that set, the score its share.
+estimates the proportions of a mixture of all languages. Sets of languages, from that of the largest
+share to that of all, are then compared by their likelihood less a penalty for each language, and the
+best is taken; what no larger set can reach, by a bound on the likelihood of any mixture, is not
+tried. The prediction is the language of the largest share in that set. The score is its share there,
+or, where it is alone, its share in the mixture of all.
 
-The distributions are learnt from up to per_language documents of each language (about; a
-documented bound), chosen by a hash of the id, with whole texts.
+The distributions are learnt from about per_language documents of each language (a documented
+bound, the same at every size), chosen by a hash of id and text, with whole texts; equal rows count once.
+What is sent to tasks is languages x FEATURES numbers, for MOST languages at most.
+
+Trigrams never reach from one text into the next, so a prediction depends on its own text alone, however
+rows are dealt. Very long texts are read whole, a text at a time. Ties between languages go to the
+first by name.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. Rows with a null language are
 not learnt from. With nothing to learn from, all is `und`. Repeated rows each give a row. An empty
-table gives an empty result. Other columns are ignored.
+table gives an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +39,8 @@ SMOOTHING = 0.2
 #: Penalty for each language, in units of half the log of the number of trigrams.
 PENALTY = 4.0
 UNKNOWN = "und"
+#: Languages that a model may have; more are an error, as the model is sent to all tasks.
+MOST = 500
 _LETTERS: list[np.ndarray] = []
 
 
@@ -43,20 +52,27 @@ def letters() -> np.ndarray:
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of the texts' letters, and where each text's begin and end."""
-    codes, ends = [np.zeros(1, np.uint32)], [0]
+    """Hashed trigrams of each text's letters, a gap before and after them, and where each text's begin and end."""
+    codes, sizes = [], [0]
     for text in texts:
         own = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         own = np.where(letters()[own], own, np.uint32(0))
-        gap = own == 0
-        own = own[~(gap & np.append(True, gap[:-1]))] if len(own) else own
-        codes.append(np.append(own, np.uint32(0)) if len(own) and own[-1] else own)
-        ends.append(ends[-1] + len(codes[-1]))
-    c = np.concatenate([*codes, np.zeros(2, np.uint32)])
+        own = np.concatenate([own[:0], [np.uint32(0)], own, [np.uint32(0)]])
+        own = own[np.append(True, (own[1:] != 0) | (own[:-1] != 0))]  # one gap for several
+        some = len(own) > 2
+        codes += [own] if some else []
+        sizes.append(len(own) - 2 if some else 0)
+    ends = np.cumsum(sizes)
+    if not codes:
+        return np.zeros(0, np.int64), ends
+    c = np.concatenate(codes)
     h = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA77) + c[2:] * np.uint32(0xC2B2AE3D)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    return (h >> np.uint32(16)).astype(np.int64), np.array(ends)
+    inside = np.ones(len(c), bool)
+    last = np.cumsum([len(x) for x in codes])
+    inside[last - 1] = inside[last - 2] = False  # those would reach into the next text
+    return (h >> np.uint32(16))[inside[:-2]].astype(np.int64), ends
 
 
 @dataclass
@@ -65,22 +81,24 @@ class Model:
     chances: np.ndarray  #: trigrams x languages
 
     def mixture(self, grams: np.ndarray) -> tuple[int, float]:
-        """Language of the largest share, and its share."""
+        """Language of the largest share in the best set, and its share."""
         p = self.chances[grams]
+        n, cost = len(grams), PENALTY * np.log(len(grams) + 1) / 2
         share = _em(p, ROUNDS)
         order = np.argsort(-share, kind="stable")
-        order = order[: max(1, int((share > 0.02).sum()))]
-        best, result = -np.inf, (int(order[0]), 1.0)
+        p, share = p[:, order], share[order]
+        fit = p @ share
+        # no mixture is likelier than this: the likelihood is concave in the shares
+        most = float(np.log(fit).sum()) + n * max(0.0, float((p / fit[:, None]).mean(axis=0).max()) - 1)
+        best, result = -np.inf, (int(order[0]), float(share[0]))
         for k in range(1, len(order) + 1):
-            some = p[:, order[:k]]
-            own = _em(some, ROUNDS) if k > 1 else np.ones(1)
-            value = float(np.log(some @ own).sum()) - PENALTY * k * np.log(len(grams) + 1) / 2
-            if value <= best:
+            if most - cost * k <= best:
                 break
-            best, top = value, int(np.argmax(own))
-            result = (int(order[top]), float(own[top]))
-        if len(order) == 1:
-            result = (int(order[0]), float(share[order[0]]))
+            own = share if k == len(order) else np.ones(1, p.dtype) if k == 1 else _em(p[:, :k], ROUNDS)
+            value = float(np.log(p[:, :k] @ own).sum()) - cost * k
+            if value > best:
+                best, top = value, int(np.argmax(own))
+                result = (int(order[top]), float(share[0] if k == 1 else own[top]))
         return result
 
 
@@ -97,16 +115,19 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     there = dict(docs.where("lang IS NOT NULL").groupBy("lang").count().collect())
     if not there:
         return Model([], np.zeros((FEATURES, 0), np.float32))
+    if len(there) > MOST:
+        raise ValueError(f"{len(there)} languages; a model has {MOST} at most")
     names = sorted(there)
-    # about per_language rows of each
-    limit = F.element_at(F.create_map(*(F.lit(x) for k in names for x in (k, min(1_000_000, 1_000_000 * per_language // there[k] + 1)))), F.col("lang"))
-    some = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit)
+    # about per_language rows of each, by the first of their hashes
+    limit = F.element_at(F.create_map(*(F.lit(x) for k in names for x in (k, min(2**62, 2**62 * per_language // there[k])))), F.col("lang"))
+    first = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) < limit
+    some = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(first).dropDuplicates(["doc_id", "text", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
             grams, ends = trigrams(batch["text"].to_pylist())
             which = np.repeat([names.index(x) for x in batch["lang"].to_pylist()], np.diff(ends))
-            cell, n = np.unique(which * FEATURES + grams[: ends[-1]], return_counts=True)
+            cell, n = np.unique(which * FEATURES + grams, return_counts=True)
             yield pa.RecordBatch.from_pydict({"cell": pa.array(cell, pa.int64()), "n": pa.array(n, pa.int64())})
 
     # languages x FEATURES rows at most
@@ -126,7 +147,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in few(batches):
             grams, ends = trigrams(batch["text"].to_pylist())
             found = [
-                known.mixture(grams[a:b]) if b > a + 1 and known.languages else None for a, b in zip(ends, ends[1:], strict=False)
+                known.mixture(grams[a:b]) if b > a and known.languages else None for a, b in zip(ends, ends[1:], strict=False)
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([known.languages[x[0]] if x else UNKNOWN for x in found], pa.string()), pa.array([min(1.0, x[1]) if x else 0.0 for x in found], pa.float64())],
