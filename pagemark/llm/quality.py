@@ -6,15 +6,21 @@ to be good (forward-backward marginals), weighted by their length, brought to a
 logistic curve.
 
 The field is learnt from at most sample labelled documents (a documented bound), the first by a hash
-of their id, whose lines all carry the document's label.
+of their id, whose lines all carry the document's label. Their lines' features are made in the tasks;
+only those come to the driver. Sequences are whole documents, however many lines they have. Of
+several labels of one id the largest counts, of several texts the first by hash.
+
+Very long texts are read whole, a text at a time. A score that equals the threshold is good.
 
 Nulls: a null text is empty, and an empty text is one empty line. Rows with a null label are not
 learnt from; with nothing to learn from, each score is 0.5. Repeated rows each give a row. An
-empty table gives an empty result. Other columns are ignored.
+empty table gives an empty result. Other columns, whatever their names, are ignored, or kept as they are
+where rows are filtered.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +33,8 @@ from .common import bucket_of_id, few
 
 SAMPLE = 4_000
 THRESHOLD = 0.3
-#: Lines of a document that are learnt from together; longer documents give several sequences.
-SEQUENCE = 48
+#: Documents of a training step, and lines that are worked on together there, with those that fill up shorter documents.
+BATCH, LINES = 512, 1 << 17
 STEPS = 150
 #: Weight of the squared parameters.
 DECAY = 1e-3
@@ -55,7 +61,7 @@ def line_features(lines: list[bytes]) -> np.ndarray:
         row[4] = upper / (upper + lower + 1)
         row[5] = (size - len(line.translate(None, _DIGIT))) / size
         row[6] = 1 - len(set(words)) / n if n > 3 else 0
-        row[7] = min(1.0, max(map(words.count, set(words))) / n) if 3 < n < 40 else 0
+        row[7] = max(Counter(words).values()) / n if n > 3 else 0
         row[8] = min(2.0, size / n / 8)
         row[9] = np.log1p(n) / 8
         row[10] = line.rstrip()[-1:] in (b".", b"?", b"!", b":")
@@ -73,7 +79,12 @@ def with_neighbours(own: np.ndarray) -> np.ndarray:
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Features and lengths of a text's lines."""
     lines = (text or b"").split(b"\n")
-    return with_neighbours(line_features(lines)), np.array([max(1, len(x)) for x in lines], float)
+    return with_neighbours(line_features(lines)), line_lengths(lines)
+
+
+def line_lengths(lines: list[bytes]) -> np.ndarray:
+    """What each line weighs: its bytes, or 1 if it is empty."""
+    return np.array([max(1, len(x)) for x in lines], float)
 
 
 @dataclass
@@ -121,36 +132,22 @@ def _chances(score: np.ndarray, follow: np.ndarray, there: np.ndarray) -> tuple[
     return total, marginal, pairs
 
 
-def fit(texts: list[bytes | None], labels: list[int]) -> Field:
-    """A field that makes the labels likely; each line has its text's label."""
+def fit(told: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> Field:
+    """A field that makes the labels likely, from features and lengths of texts' lines; each line has its text's label."""
     if len(set(labels)) < 2:
         return Field(np.zeros(3 * OWN + 1), np.zeros((2, 2)), (0.0, 0.0 if not labels else (4.0 if labels[0] else -4.0)))
-    told = [features(x) for x in texts]
-    parts = [(x[a : a + SEQUENCE], y) for (x, _), y in zip(told, labels, strict=True) for a in range(0, len(x), SEQUENCE)]
-    size = max(len(x) for x, _ in parts)
-    xs, there = np.zeros((len(parts), size, 3 * OWN + 1)), np.zeros((len(parts), size), bool)
-    for i, (x, _) in enumerate(parts):
-        xs[i, : len(x)], there[i, : len(x)] = x, True
-    y = np.array([y for _, y in parts])
+    y = np.array(labels)
+    lines = np.array([len(x) for x, _ in told])
     # both labels weigh the same, and a document as much as another
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     theta, one, two = np.zeros(3 * OWN + 1 + 4), 0.0, 0.0
-    order = np.arange(len(parts))
     rng = np.random.default_rng(6)
     for step in range(1, STEPS + 1):
-        some = rng.permutation(order)[:512]
-        x, t, lab, w = xs[some], there[some], y[some], weight[some] / weight[some].sum()
-        long = int(t.sum(axis=1).max())
-        x, t = x[:, :long], t[:, :long]
-        score = np.zeros((len(some), long, 2))
-        score[:, :, 1] = x @ theta[:-4]
-        follow = theta[-4:].reshape(2, 2)
-        lines = t.sum(axis=1)
-        _, marginal, pairs = _chances(score, follow, t)
-        per_line = (w / lines)[:, None] * t
-        off = (marginal[:, :, 1] - lab[:, None]) * per_line
-        pairs[np.arange(len(some)), lab, lab] -= lines - 1  # those that are there
-        grad = np.concatenate([np.einsum("nt,ntf->f", off, x), np.einsum("n,nij->ij", w / lines, pairs).ravel()]) + DECAY * theta
+        some = rng.permutation(len(y))[:BATCH]
+        some = some[np.argsort(lines[some], kind="stable")]
+        grad, total = DECAY * theta, weight[some].sum()
+        for part in _alike(lines[some]):
+            grad = grad + _gradient(theta, [told[i][0] for i in some[part]], y[some[part]], weight[some[part]] / total)
         one, two = 0.9 * one + 0.1 * grad, 0.99 * two + 0.01 * grad**2
         theta -= 0.1 * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)
     field = Field(theta[:-4], theta[-4:].reshape(2, 2))
@@ -159,6 +156,31 @@ def fit(texts: list[bytes | None], labels: list[int]) -> Field:
     return field
 
 
+def _alike(lines: np.ndarray) -> Iterator[slice]:
+    """Parts of documents, ascending by lines, that differ little in length and fit LINES when filled up (one at least)."""
+    at = 0
+    while at < len(lines):
+        end = at + 1
+        while end < len(lines) and lines[end] <= 4 * lines[at] + 16 and lines[end] * (end + 1 - at) <= LINES:
+            end += 1
+        yield slice(at, end)
+        at = end
+
+
+def _gradient(theta: np.ndarray, xs: list[np.ndarray], y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Slope of the documents' mean negative log likelihood a line, each by its weight."""
+    lines = np.array([len(x) for x in xs])
+    there = np.arange(lines.max()) < lines[:, None]
+    x = np.zeros((*there.shape, xs[0].shape[1]))
+    x[there] = np.concatenate(xs)
+    score = np.zeros((*there.shape, 2))
+    score[:, :, 1] = x @ theta[:-4]
+    _, marginal, pairs = _chances(score, theta[-4:].reshape(2, 2), there)
+    off = (marginal[:, :, 1] - y[:, None]) * (w / lines)[:, None] * there
+    pairs[np.arange(len(y)), y, y] -= lines - 1  # those that are there
+    return np.concatenate([np.tensordot(off, x, 2), np.einsum("n,nij->ij", w / lines, pairs).ravel()])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """a, b of 1 / (1 + exp(-(a x + b))), by Newton steps with a small penalty; equal weight for both labels."""
     w = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
@@ -180,8 +202,22 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
         return fit([], [])
     spark = docs.sparkSession
     known = F.broadcast(spark.createDataFrame(rows, "id long, quality int"))
-    got = docs.join(known, docs["doc_id"] == known["id"]).select("id", "quality", F.col("text").cast("binary").alias("data")).toArrow().sort_by("id")
-    return fit(got["data"].to_pylist(), got["quality"].to_pylist())
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches):
+            lines = [(x or b"").split(b"\n") for x in batch["data"].to_pylist()]
+            told = [(line_features(x), line_lengths(x)) for x in lines]
+            made = [pa.array([x[k].astype("<f4").tobytes() for x in told], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["quality"], batch["mark"], *made], ["id", "quality", "mark", "own", "lengths"])
+
+    text = F.col("text").cast("binary")
+    joined = docs.join(known, docs["doc_id"] == known["id"]).select("id", "quality", text.alias("data"), F.xxhash64(text).alias("mark"))
+    made = joined.mapInArrow(described, "id long, quality int, mark long, own binary, lengths binary")
+    # one row of each id: sample rows at most
+    got = made.groupBy("id").agg(F.min_by(F.struct("quality", "own", "lengths"), "mark").alias("x")).select("id", "x.*").toArrow().sort_by("id")
+    read = lambda data, wide: np.frombuffer(data, "<f4").astype(float).reshape(-1, wide)
+    told = [(with_neighbours(read(own, OWN)), read(n, 1)[:, 0]) for own, n in zip(got["own"].to_pylist(), got["lengths"].to_pylist(), strict=True)]
+    return fit(told, got["quality"].to_pylist())
 
 
 def classify(docs: DataFrame, field: Field) -> DataFrame:
