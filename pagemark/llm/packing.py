@@ -2,28 +2,37 @@
 
 Documents are tokenised once; what does not fit a sequence is cut into full pieces, of which only
 the first may be shorter. Only the lengths matter for packing, and there are at most as many as a
-sequence has tokens, so the plan is made from their counts: take the longest piece left, enumerate
-the undominated fillings of the rest of its sequence, prefer the fullest, and repeat the sequence as
-often as the counts allow. Best-fit packing gives the first incumbent; branch and bound over the
-fillings looks for a better one and drops a branch as soon as its waste cannot beat the incumbent,
-or stops when the bound of total length is met. A plan is a list of sequence shapes with a number
-of copies each: its size does not grow with the corpus. Every piece then finds its place from
-its rank among the pieces of its length, by shuffles alone.
+sequence has tokens, so the plan is made from their counts: take the longest piece left and
+enumerate, by rising waste, the undominated fillings of the rest of its sequence. A filling is
+dominated if some of its pieces can give way to one longer piece that is left, or several to one as
+long. Best-fit packing gives the first incumbent; branch and bound over the fillings, each repeated as often
+as the counts allow or less often, looks for a better one and drops a branch as soon as its waste
+cannot beat the incumbent. It stops when a lower bound is met, or after STEPS fillings; a Plan tells
+its sequences and the bound, so that the gap is known. A plan is a list of sequence shapes with a
+number of copies each: its size does not grow with the corpus. Every piece then finds its place
+from its rank among the pieces of its length, by shuffles alone.
+
+Very long texts are tokenised whole, a few texts at a time. Ties: pieces of one length take places in the
+order of id, row and piece; equal plans are told apart by which was found first.
 
 Nulls: a null text is empty; every document has one token (the end) at least. Repeated rows are
-packed each. A null doc_id is kept. An empty table gives an empty result. Other columns are ignored.
+packed each. A null doc_id is kept. An empty table gives an empty result. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,52 +40,50 @@ from .common import few, keep, partitions
 
 END = 2
 ROOM = 1024
-#: Steps of branch and bound; the best-fit plan stands if they run out.
+#: Fillings that branch and bound looks at; the incumbent stands if they run out, and the gap to the bound is told.
 STEPS = 20_000
-#: Fillings that are kept for each longest piece, fullest first.
-FILLINGS = 24
-#: How byte-level BPE parts a text before it merges; equal in both libraries for all characters up to U+024F.
-_PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ODD = re.compile("[^\x00-ɏ‐-‧]|<\\|endoftext\\|>")
+#: Parts of texts whose ids a Python worker remembers.
+KNOWN = 200_000
+# How byte-level BPE parts a text before it merges; equal to the tokenizer's own for all characters up to U+024F.
+PARTS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+ORDINARY = "\x00-ɏ‐-‧"
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
 class _Ids:
-    """Ids of a byte-level BPE file, as little-endian bytes.
+    """Ids of a tokenizer's file, as little-endian bytes.
 
-    Texts of ordinary characters are encoded by the faster of two libraries, which has the same
-    merges from the same file; all others by the one that the file is made for.
+    Byte-level BPE never merges over the edge of a part, so texts of ordinary characters are put together from the
+    ids of their parts, each distinct part encoded once. All other texts, and all texts of other kinds
+    of files, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.fast = _fast(path)
-
-    def of(self, text: str) -> bytes:
-        if self.fast is None or _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
-
-
-def _fast(path: str):
-    """An encoder of the file's merges, if their order is that of the ids."""
-    import tiktoken
-
-    with open(path, encoding="utf-8") as file:
-        told = json.load(file)
-    model, special = told["model"], {x["content"] for x in told["added_tokens"]}
-    if told["normalizer"] or told["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or model["type"] != "BPE":
-        return None
-    merged = [model["vocab"]["".join(x if isinstance(x, list) else x.split(" "))] for x in model["merges"]]
-    # printable bytes stand for themselves, the others for characters from U+0100 on
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
-    ranks = {bytes(letter[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-    if merged != sorted(merged) or len(ranks) != len(merged) + 256:
-        return None
-    return tiktoken.Encoding("file", pat_str=_PARTS, mergeable_ranks=ranks, special_tokens={})
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.by_parts = not told["normalizer"] and told["pre_tokenizer"] == BYTE_LEVEL and told["model"]["type"] == "BPE"
+        self.odd = re.compile("|".join([f"[^{ORDINARY}]", *(re.escape(x["content"]) for x in told["added_tokens"])]))
+        self.known: dict[str, bytes] = {}
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        whole = [x for x in texts if not self.by_parts or self.odd.search(x)]
+        rest = iter(self.encoded(whole)) if whole else iter(())
+        parts = [None if not self.by_parts or self.odd.search(x) else PARTS.findall(x) for x in texts]
+        new = {x for p in parts if p for x in p if x not in self.known}
+        if len(self.known) + len(new) > KNOWN:
+            self.known.clear()
+            new = {x for p in parts if p for x in p}
+        if new:
+            listed = list(new)
+            self.known.update(zip(listed, self.encoded(listed), strict=True))
+        return [next(rest) if p is None else b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
 _IDS: dict[str, _Ids] = {}
@@ -92,10 +99,10 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
         coder = _IDS[tokenizer]
         end = np.array([END], "<u4").tobytes()
         row = 0
-        for batch in few(batches):
+        for batch in few(batches, 100):
             out: dict[str, list] = {x: [] for x in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = coder.of(text) + end
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), coder.of(batch["text"].to_pylist()), strict=True):
+                ids += end
                 n, at, k = len(ids) // 4, 0, 0
                 row += 1
                 size = n % room or room
@@ -141,74 +148,143 @@ def best_fit(counts: dict[int, int], room: int) -> list[tuple[Shape, int]]:
     return plan
 
 
-def fillings(free: int, lengths: list[int], left: dict[int, int], most: int = FILLINGS) -> list[Shape]:
-    """Undominated fillings of free with the pieces left, fullest first; lengths ascending.
+def lower_bound(counts: dict[int, int], room: int) -> int:
+    """Sequences that are needed at least: pieces of over half the room stand alone, and what is at least so long cannot go into less room than that."""
+    best = -(-sum(x * n for x, n in counts.items()) // room)
+    large = {x: n for x, n in counts.items() if 2 * x > room}
+    for least in (x for x in counts if 2 * x <= room):
+        spare = sum((room - x) * n for x, n in large.items() if x <= room - least)
+        small = sum(x * n for x, n in counts.items() if least <= x and 2 * x <= room)
+        best = max(best, sum(large.values()) + max(0, -(-(small - spare) // room)))
+    return max(best, sum(large.values()))
+
+
+def dominated(filling: Shape, free: int, left: dict[int, int]) -> bool:
+    """Can some pieces of a filling of free give way to one longer piece that is left, or several to one as long?"""
+    full = (1 << (free + 1)) - 1
+    one = several = 0
+    for x, m in filling:  # sums of one piece and of several, as bits
+        for _ in range(m):
+            several |= ((several | one) << x) & full
+            one |= 1 << x
+    waste = free - sum(x * m for x, m in filling)
+    longer = several | _shifted((several | one) << 1, waste - 1) if waste else several
+    taken = dict(filling)
+    return any(longer >> x & 1 for x, n in left.items() if x <= free and n > taken.get(x, 0))
+
+
+def _shifted(bits: int, most: int) -> int:
+    """bits moved up by 0 to most places, together."""
+    done = 0
+    while done < most:
+        step = min(done + 1, most - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def fillings(free: int, left: dict[int, int]) -> Iterator[Shape]:
+    """All fillings of free with the pieces left, one after the other by rising waste."""
+    lengths = sorted(x for x, n in left.items() if n and x <= free)
+    full = (1 << (free + 1)) - 1
+    reach = [1]  # sums of the shortest lengths, as bits
+    for x in lengths:
+        sums, rest, many = reach[-1], left[x], 1
+        while rest and x * many <= free:
+            many = min(many, rest)
+            sums |= (sums << (x * many)) & full
+            rest, many = rest - many, 2 * many
+        reach.append(sums)
+
+    def exactly(total: int, k: int) -> Iterator[Shape]:
+        if not total:
+            yield ()
+            return
+        for j in range(min(k, bisect_right(lengths, total)), 0, -1):
+            if not reach[j] >> total & 1:
+                return
+            x = lengths[j - 1]
+            for m in range(min(left[x], total // x), 0, -1):
+                if reach[j - 1] >> (total - m * x) & 1:
+                    for rest in exactly(total - m * x, j - 1):
+                        yield ((x, m), *rest)
+
+    for total in range(free, -1, -1):
+        if reach[-1] >> total & 1:
+            yield from exactly(total, len(lengths))
+
+
+@dataclass
+class Plan:
+    shapes: list[tuple[Shape, int]]  #: with how many copies of each
+    sequences: int
+    bound: int  #: sequences that any plan needs
+
+    @property
+    def gap(self) -> int:
+        return self.sequences - self.bound
+
+
+def _choices(left: dict[int, int], room: int) -> Iterator[tuple[Shape, int] | None]:
+    """Sequences around the longest piece left, with copies from as many as there can be down to one; None for a dominated filling."""
+    longest = max(x for x, n in left.items() if n)
+    left[longest] -= 1
+    found = fillings(room - longest, left)
+    while True:
+        filling = next(found, None)
+        off = filling is None or dominated(filling, room - longest, left)
+        left[longest] += 1  # as it was while others look at it
+        if filling is None:
+            return
+        if off:
+            yield None
+        else:
+            shape: dict[int, int] = {longest: 1}
+            for x, m in filling:
+                shape[x] = shape.get(x, 0) + m
+            copies = min(left[x] // m for x, m in shape.items())
+            while copies:
+                yield tuple(sorted(shape.items(), reverse=True)), copies
+                copies //= 2
+        left[longest] -= 1
 
-    A filling is dominated if a piece can be added to it, or if one of its pieces can be
-    swapped for a longer one; of equally full fillings those of fewer, longer pieces come first.
-    """
-    found: list[tuple[int, int, Shape]] = []
-    budget = [400]
 
-    def grow(room: int, top: int, taken: Shape) -> None:
-        if budget[0] <= 0 or found and found[0][0] == 0 and len(found) >= most:
-            return
-        budget[0] -= 1
-        k = bisect_right(lengths, min(room, top))
-        some = False
-        for x in reversed(lengths[max(0, k - 6) : k]):
-            some = True
-            many = min(room // x, left[x])
-            grow(room - many * x, x - 1, (*taken, (x, many)))
-            if many > 1:
-                grow(room - x, x - 1, (*taken, (x, 1)))
-        if not some or room == 0:
-            found.append((room, sum(m for _, m in taken), taken))
-
-    grow(free, free, ())
-    found.sort()
-    out: list[Shape] = []
-    for _, _, taken in found:
-        if taken not in out:
-            out.append(taken)
-    return out[:most]
-
-
-def complete(counts: dict[int, int], room: int = ROOM, steps: int = STEPS) -> list[tuple[Shape, int]]:
+def complete(counts: dict[int, int], room: int = ROOM, steps: int = STEPS) -> Plan:
     """Shapes and copies that hold all pieces in as few sequences as found: bin completion, branch and bound."""
     total = sum(x * n for x, n in counts.items())
-    incumbent = best_fit(counts, room)
-    best = sum(n for _, n in incumbent)
-    bound = -(-total // room)
-    spent = 0
-    stack: list[tuple[dict[int, int], list[tuple[Shape, int]], int, int]] = [(dict(counts), [], 0, 0)]
-    while stack and best > bound and spent < steps:
-        left, plan, used, waste = stack.pop()
-        spent += 1
-        if not left:
-            if used < best:
-                best, incumbent = used, plan
+    bound, shapes = lower_bound(counts, room), best_fit(counts, room)
+    best = sum(n for _, n in shapes)
+    left, plan, used, waste = dict(counts), [], 0, 0
+    open_ = [_choices(left, room)] if best > bound else []
+
+    def take(shape: Shape, copies: int) -> None:
+        nonlocal used, waste
+        for x, m in shape:
+            left[x] -= m * copies
+        used += copies
+        waste += copies * (room - sum(x * m for x, m in shape))
+
+    while open_ and steps and best > bound:
+        steps -= 1
+        choice = next(open_[-1], ())
+        if choice is None:
             continue
-        # what is wasted for good must leave room for a better plan
-        if waste > (best - 1) * room - total:
+        if not choice:
+            open_.pop()
+            if plan:
+                shape, copies = plan.pop()
+                take(shape, -copies)
             continue
-        longest = max(left)
-        lengths = sorted(left)
-        left[longest] -= 1
-        options = fillings(room - longest, [x for x in lengths if left[x]], left)
-        left[longest] += 1
-        branches = []
-        for taken in options or [()]:
-            shape: dict[int, int] = {longest: 1}
-            for x, m in taken:
-                shape[x] = shape.get(x, 0) + m
-            copies = min(left[x] // m for x, m in shape.items())
-            if not copies:
-                continue
-            rest = {x: n - shape.get(x, 0) * copies for x, n in left.items()}
-            branches.append(({x: n for x, n in rest.items() if n}, [*plan, (tuple(sorted(shape.items(), reverse=True)), copies)], used + copies, waste + copies * (room - sum(x * m for x, m in shape.items()))))
-        stack += reversed(branches)  # the fullest goes first
-    return incumbent
+        take(*choice)
+        if not any(left.values()) and used < best:
+            best, shapes = used, [*plan, choice]
+        # what is wasted for good must leave room for a better plan
+        if any(left.values()) and waste <= (best - 1) * room - total:
+            plan.append(choice)
+            open_.append(_choices(left, room))
+        else:
+            take(choice[0], -choice[1])
+    return Plan(shapes, best, bound)
 
 
 def pack(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
@@ -218,9 +294,10 @@ def pack(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
     there = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = dict(there.groupBy("length").agg(F.sum("n")).collect())
     plan = complete(counts, room)
+    logging.getLogger(__name__).info("%d sequences; no plan needs fewer than %d", plan.sequences, plan.bound)
     spark = docs.sparkSession
     slots, taken, base = [], dict.fromkeys(counts, 0), 0
-    for shape, copies in plan:
+    for shape, copies in plan.shapes:
         offset = 0
         for x, m in shape:
             slots.append((x, taken[x], base, m, offset))
