@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -28,18 +29,27 @@ def partitions(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors share: the session's spark.checkpoint.dir.
 
-    Only where none is set (tests on one machine) a temporary one is made.
+    Where none is set, as in tests, a session on one machine gets a temporary one; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and written to the shared folder; what was shuffled for it is let go."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    shared_folder(spark)
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
 
 
 def few(batches: Iterator[pa.RecordBatch], rows: int = FEW) -> Iterator[pa.RecordBatch]:
