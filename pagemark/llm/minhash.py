@@ -36,6 +36,8 @@ BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
 #: Shingles that are signed at a time.
 SLICE = 1 << 15
+#: Documents that are held against a copy of their hub's text.
+SHARE = 256
 _WORDS = WordHashes()
 
 
@@ -100,34 +102,42 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, docs: DataFrame, size: int, least: int) -> DataFrame:
-    """hub, doc_id, linked, total, added, missing, differ of the pairs (hub, doc_id), on full sets.
+    """hub, doc_id, linked, total, added, missing, differ of the pairs (hub, hub_said, doc_id, said), on full sets.
 
     total: shingles of the hub; added and missing: how many the document has more and less; differ:
-    those shingles.
+    those shingles. The documents of a hub are held against it SHARE at a time, so that a large group is
+    spread over many tasks. docs: doc_id, said, data. Each text is moved once to be found by its id, and once to be compared.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+        now: tuple | None = None
+        hub_set = np.zeros(0, np.uint64)
         for batch in few(batches):
-            out: dict[str, list] = {x: [] for x in ("linked", "total", "added", "missing", "differ")}
-            for hub, x, y in zip(*(batch[c].to_pylist() for c in ("hub", "x", "y")), strict=True):
-                if known[0] != hub:
-                    known = (hub, shingles(x, size))
-                other = shingles(y, size)
-                differ = np.setxor1d(known[1], other, assume_unique=True)
-                both = (len(known[1]) + len(other) - len(differ)) // 2
-                out["linked"].append(100 * both >= least * (both + len(differ)) > 0)
-                out["total"].append(len(known[1]))
-                out["added"].append(len(other) - both)
-                out["missing"].append(len(known[1]) - both)
-                out["differ"].append(differ.view(np.int64))
-            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["hub"], batch["doc_id"], *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["hub", "doc_id", *out])
-
-    with_doc = pairs.join(docs.select("doc_id", F.col("data").alias("y")), "doc_id")
-    with_both = with_doc.join(docs.select(F.col("doc_id").alias("hub"), F.col("data").alias("x")), "hub")
+            out: dict[str, list] = {x: [] for x in ("hub", "doc_id", "linked", "total", "added", "missing", "differ")}
+            for hub, hub_said, part, is_doc, doc_id, text in zip(*(batch[c].to_pylist() for c in ("hub", "hub_said", "part", "is_doc", "doc_id", "data")), strict=True):
+                if not is_doc:  # comes before the documents of the part
+                    now, hub_set = (hub, hub_said, part), shingles(text, size)
+                    continue
+                if now != (hub, hub_said, part):
+                    raise ValueError("a hub is missing")
+                other = shingles(text, size)
+                differ = np.setxor1d(hub_set, other, assume_unique=True)
+                both = (len(hub_set) + len(other) - len(differ)) // 2
+                values = (hub, doc_id, 100 * both >= least * (both + len(differ)) > 0, len(hub_set), len(other) - both, len(hub_set) - both, differ.view(np.int64))
+                for column, value in zip(out.values(), values, strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+
+    parts = pairs.groupBy("hub", "hub_said").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts"))
+    asked_hubs = parts.select("hub", "hub_said", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_doc"), F.col("hub").alias("doc_id"), F.col("hub_said").alias("said"))
+    asked = pairs.join(parts, ["hub", "hub_said"]).select("hub", "hub_said", F.pmod(F.xxhash64("doc_id", "said"), "parts").cast("int").alias("part"), F.lit(True).alias("is_doc"), "doc_id", "said")
+    one = docs.groupBy("doc_id", "said").agg(F.any_value("data").alias("data"))  # of repeated rows
+    found = asked.unionByName(asked_hubs).join(one, ["doc_id", "said"]).select("hub", "hub_said", "part", "is_doc", "doc_id", "data")
+    order = ("hub", "hub_said", "part")
+    dealt = found.repartition(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "is_doc")
     schema = "hub long, doc_id long, linked boolean, total long, added long, missing long, differ array<long>"
-    return with_both.select("hub", "doc_id", "x", "y").mapInArrow(work, schema)
+    return dealt.mapInArrow(work, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -155,60 +165,67 @@ def _said(text: str = "text") -> Column:
 
 def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
     """doc_id, said, n_shingles, a, b, component_id."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"))
-    sketch = keep(_sketched(given.withColumn("said", _said("data")), size))
-    full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("head"))
-    heads = full.join(classes.select(F.col("head").alias("doc_id"), F.col("a").alias("_a"), F.col("b").alias("_b")), "doc_id").where("a = _a AND b = _b")
-    members = heads.select(F.explode("bands").alias("band"), "doc_id")
-    buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = keep(members.join(buckets, "band"))
-    weight = met.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    weighed = met.join(weight, "doc_id")
-    hubs = weighed.groupBy("band").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("hub"))
-    held = met.join(hubs, "band").where("doc_id <> hub")
-    told = keep(compared(held.select("hub", "doc_id").distinct(), given.where("doc_id IS NOT NULL"), size, least))
-    edges = told.where("linked").select(F.col("hub").alias("low"), F.col("doc_id").alias("high"))
-    label = components(edges)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).withColumn("said", _said("data"))
+    sketch = keep(_sketched(given, size))
+    # of equal sets only the smallest document goes on
+    first = F.min(F.struct("doc_id", "said", "bands"))
+    classes = keep(sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a", "b", "n_shingles").agg(first.alias("h")).select("a", "b", "h.*"))
+    told = keep(compared(keep(_held_against_hubs(classes)), given.where("doc_id IS NOT NULL"), size, least))
+    label = components(told.where("linked").select(F.col("hub").alias("low"), F.col("doc_id").alias("high")))
+    named = classes.select("a", "b", "doc_id").join(label, classes["doc_id"] == label["node"], "left").select("a", "b", F.coalesce("component", "doc_id").alias("component"))
     more = keep(_later_links(told, label, least))
     if more.limit(1).count():
-        label = components(edges.unionByName(more))
-    grouped = classes.join(label.withColumnRenamed("node", "head"), "head", "left").select("a", "b", F.coalesce("component", "head").alias("component"))
-    return sketch.join(grouped, ["a", "b"], "left").select(
-        "doc_id", "said", "n_shingles", "a", "b", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+        # links between components join them as wholes
+        above = components(more).select(F.col("node").alias("component"), F.col("component").alias("_above"))
+        named = named.join(above, "component", "left").select("a", "b", F.coalesce("_above", "component").alias("component"))
+    return sketch.join(named, ["a", "b"], "left").select("doc_id", "said", "n_shingles", "a", "b", F.coalesce(F.col("component"), F.col("doc_id")).alias("component_id"))
+
+
+def _held_against_hubs(classes: DataFrame) -> DataFrame:
+    """hub, hub_said, doc_id, said: in each bucket each member and its hub, the one that meets most others in its buckets."""
+    members = classes.select(F.explode("bands").alias("band"), "doc_id", "said")
+    buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    # at most as many buckets as bands
+    met = members.join(buckets, "band").groupBy("doc_id", "said").agg(F.sum("n").alias("weight"), F.collect_list("band").alias("bands"))
+    weighed = keep(met.select("doc_id", "said", "weight", F.explode("bands").alias("band")))
+    hubs = weighed.groupBy("band").agg(F.min_by(F.struct("doc_id", "said"), F.struct(-F.col("weight"), "doc_id", "said")).alias("h")).select("band", F.col("h.doc_id").alias("hub"), F.col("h.said").alias("hub_said"))
+    other = (F.col("doc_id") != F.col("hub")) | (F.col("said") != F.col("hub_said"))
+    return weighed.join(hubs, "band").where(other).select("hub", "hub_said", "doc_id", "said").distinct()
 
 
 def _later_links(told: DataFrame, label: DataFrame, least: int) -> DataFrame:
-    """Links (low, high) between documents of different components that were held against the same hub."""
+    """Links (low, high) between components, by documents that were held against the same hub."""
     own = label.withColumnRenamed("node", "doc_id")
     hubs = label.select(F.col("node").alias("hub"), F.col("component").alias("of_hub"))
     named = told.join(own, "doc_id", "left").join(hubs, "hub", "left").withColumn("component", F.coalesce("component", "doc_id")).withColumn("away", F.col("component") != F.coalesce("of_hub", "hub"))
     # a group needs a second look if it has two members, and one away from the hub
     groups = named.groupBy("hub").agg(F.count("*").alias("k"), F.max("away").alias("any")).where("k > 1 AND any").select("hub")
-    rows = named.join(groups, "hub").select("hub", "doc_id", "component", "away", "total", "added", "missing", "differ")
-    open_ = keep(rows.repartition(partitions(told.sparkSession), "hub", "doc_id"))  # a large group in many tasks
-    # (100 + least) * |F(s) & F(e)| >= cost(s) + cost(e) - spare; from one side alone:
+    # (100 + least) * |F(s) & F(e)| >= cost(s) + cost(e) - spare
     cost = 100 * F.col("missing") + least * F.col("added")
     spare = (100 - least) * F.col("total")
+    rows = named.join(groups, "hub").select("hub", "doc_id", "component", "away", cost.alias("cost"), spare.alias("spare"), "differ")
+    open_ = keep(rows.repartition(partitions(told.sparkSession), "hub", "doc_id"))  # a large group in many tasks
+    # from one side alone; for members at the hub's component only what such a one must have for others
     rest = lambda share: F.greatest(F.lit(1), F.ceil(share / (100 + least)))
-    sized = (F.size("differ").alias("n"), cost.alias("cost"), spare.alias("spare"))
-    tokens = open_.select("hub", "doc_id", "component", "away", *sized, rest(cost - spare).alias("need_away"), rest(cost).alias("need"), F.explode("differ").alias("token"))
-    often = tokens.groupBy("hub", "token").agg(F.count("*").alias("often"))
-    shared = tokens.join(often, ["hub", "token"])
+    facts = open_.select("hub", "doc_id", "component", "away", "cost", "spare", F.size("differ").alias("n"))
+    tokens = open_.select("hub", "doc_id", F.explode("differ").alias("token"))
+    often = tokens.groupBy("hub", "token").agg(F.count("*").alias("often")).where("often > 1")
     by = Window.partitionBy("hub", "doc_id").orderBy("often", "token")
-    ranked = keep(shared.withColumn("rank", F.row_number().over(by)).where("often > 1").withColumn("after", F.col("n") - F.col("rank")))
-    asks = ranked.where("away AND rank <= n - need_away + 1").select("hub", "token", F.col("doc_id").alias("s"), F.col("component").alias("cs"), F.col("after").alias("after_s"), (F.col("cost") - F.col("spare")).alias("over_s"))
-    answers = ranked.where("rank <= n - need + 1").select(F.col("hub").alias("hub_e"), F.col("token").alias("token_e"), F.col("doc_id").alias("e"), F.col("component").alias("ce"), F.col("after").alias("after_e"), F.col("cost").alias("cost_e"))
+    # a token of one document meets nothing; it ranks before all others, so their ranks count from how many there are
+    shared = tokens.join(often, ["hub", "token"]).withColumn("place", F.row_number().over(by)).withColumn("last", F.count("*").over(Window.partitionBy("hub", "doc_id")))
+    placed = shared.join(facts, ["hub", "doc_id"]).withColumn("after", F.col("last") - F.col("place")).withColumn("rank", F.col("n") - F.col("after"))
+    asks_here = F.col("away") & (F.col("rank") <= F.col("n") - rest(F.col("cost") - F.col("spare")) + 1)
+    ranked = keep(placed.where(asks_here | (F.col("rank") <= F.col("n") - rest(F.col("cost")) + 1)).select("hub", "token", "doc_id", "component", "cost", "after", (F.col("cost") - F.col("spare")).alias("over"), asks_here.alias("asks"), (F.col("rank") <= F.col("n") - rest(F.col("cost")) + 1).alias("answers")))
+    asks = ranked.where("asks").select("hub", "token", F.col("doc_id").alias("s"), F.col("component").alias("cs"), F.col("after").alias("after_s"), F.col("over").alias("over_s"))
+    answers = ranked.where("answers").select("hub", "token", F.col("doc_id").alias("e"), F.col("component").alias("ce"), F.col("after").alias("after_e"), F.col("cost").alias("cost_e"))
     # at the first token that both have, what they share lies there and after it
     enough = (100 + least) * (1 + F.least("after_s", "after_e")) >= F.col("over_s") + F.col("cost_e")
-    same = (F.col("hub") == F.col("hub_e")) & (F.col("token") == F.col("token_e"))
-    met = asks.join(answers, same & (F.col("cs") != F.col("ce")) & enough).select("hub", "s", "e").distinct()
-    one = open_.select("hub", F.col("doc_id").alias("s"), F.col("differ").alias("fs"), cost.alias("cost_s"), spare.alias("spare"))
-    two = open_.select("hub", F.col("doc_id").alias("e"), F.col("differ").alias("fe"), cost.alias("cost_e"))
+    met = asks.join(answers, ["hub", "token"]).where((F.col("cs") != F.col("ce")) & enough).select("hub", "s", "e").distinct()
+    one = open_.select("hub", F.col("doc_id").alias("s"), F.col("differ").alias("fs"), F.col("cost").alias("cost_s"), "spare", F.col("component").alias("cs"))
+    two = open_.select("hub", F.col("doc_id").alias("e"), F.col("differ").alias("fe"), F.col("cost").alias("cost_e"), F.col("component").alias("ce"))
     both = met.join(two, ["hub", "e"]).join(one, ["hub", "s"])
     linked = (100 + least) * F.size(F.array_intersect("fs", "fe")) >= F.col("cost_s") + F.col("cost_e") - F.col("spare")
-    return both.where(linked).select(F.least("s", "e").alias("low"), F.greatest("s", "e").alias("high")).distinct()
+    return both.where(linked).select(F.least("cs", "ce").alias("low"), F.greatest("cs", "ce").alias("high")).distinct()
 
 
 def digest(result: DataFrame) -> DataFrame:
