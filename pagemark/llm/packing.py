@@ -29,10 +29,11 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +43,8 @@ END = 2
 ROOM = 1024
 #: Fillings that branch and bound looks at; the incumbent stands if they run out, and the gap to the bound is told.
 STEPS = 20_000
-#: Parts of texts whose ids a Python worker remembers.
-KNOWN = 200_000
-# How byte-level BPE parts a text before it merges; equal to the tokenizer's own for all characters up to U+024F.
-PARTS = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+# How byte-level BPE parts a text before it merges; equal in both libraries for all characters up to U+024F.
+PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ORDINARY = "\x00-ɏ‐-‧"
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -54,36 +53,62 @@ _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32
 class _Ids:
     """Ids of a tokenizer's file, as little-endian bytes.
 
-    Byte-level BPE never merges over the edge of a part, so texts of ordinary characters are put together from the
-    ids of their parts, each distinct part encoded once. All other texts, and all texts of other kinds
-    of files, are encoded whole.
+    Texts of ordinary characters are encoded by the faster of two libraries where ranks say that it gives the same
+    ids as the one that the file is made for; all others by that one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: dict[bytes, int] | None):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            told = json.load(file)
-        self.by_parts = not told["normalizer"] and told["pre_tokenizer"] == BYTE_LEVEL and told["model"]["type"] == "BPE"
-        self.odd = re.compile("|".join([f"[^{ORDINARY}]", *(re.escape(x["content"]) for x in told["added_tokens"])]))
-        self.known: dict[str, bytes] = {}
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        whole = [x for x in texts if not self.by_parts or self.odd.search(x)]
-        rest = iter(self.encoded(whole)) if whole else iter(())
-        parts = [None if not self.by_parts or self.odd.search(x) else PARTS.findall(x) for x in texts]
-        new = {x for p in parts if p for x in p if x not in self.known}
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = {x for p in parts if p for x in p}
-        if new:
-            listed = list(new)
-            self.known.update(zip(listed, self.encoded(listed), strict=True))
-        return [next(rest) if p is None else b"".join(map(self.known.__getitem__, p)) for p in parts]
+            special = [x["content"] for x in json.load(file)["added_tokens"]]
+        self.odd = re.compile("|".join([f"[^{ORDINARY}]", *map(re.escape, special)]))
+        self.fast = None if ranks is None else tiktoken.Encoding("file", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+
+    def of(self, text: str) -> bytes:
+        if self.fast is None or self.odd.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+
+
+@lru_cache(8)
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Ids of a byte-level BPE file's tokens, if merging by the rank of the joined token is merging by the file's list; else null.
+
+    It is if each token, put together by tokens of lower rank alone, comes to the pair that the file lists
+    for it: what is joined into a token was joined in its span as if that stood alone, as no merge has reached
+    over its edges; so whenever a token is made, it is made of the listed pair.
+    """
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    model, special = told["model"], {x["content"] for x in told["added_tokens"]}
+    if told["normalizer"] or told["pre_tokenizer"] != BYTE_LEVEL or model["type"] != "BPE":
+        return None
+    # printable bytes stand for themselves, the others for characters from U+0100 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
+    ranks = {bytes(letter[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    listed = {}
+    for x in model["merges"]:
+        left, right = (bytes(letter[c] for c in part) for part in (x if isinstance(x, list) else x.split(" ")))
+        listed[left + right] = (left, right)
+    in_order = [ranks[x] for x in listed]
+    if in_order != sorted(in_order) or len(listed) != len(model["merges"]) or len(ranks) != len(listed) + 256:
+        return None
+    return ranks if all(_joined(token, ranks) == list(pair) for token, pair in listed.items()) else None
+
+
+def _joined(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """A token's bytes joined by ranks below its own, the lowest first."""
+    parts, most = [token[i : i + 1] for i in range(len(token))], ranks[token]
+    while len(parts) > 2:
+        rank, k = min((ranks.get(a + b, most), i) for i, (a, b) in enumerate(pairwise(parts)))
+        if rank >= most:
+            break
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return parts
 
 
 _IDS: dict[str, _Ids] = {}
@@ -93,16 +118,18 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
     """doc_id, row, piece, start, length, ids_crc32 of each piece of each document; row is the same for pieces of one row."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
+    ranks = docs.sparkSession.sparkContext.broadcast(merge_ranks(tokenizer))  # of the file's tokens
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _IDS:
-            _IDS[tokenizer] = _Ids(tokenizer)
+            _IDS[tokenizer] = _Ids(tokenizer, ranks.value)
         coder = _IDS[tokenizer]
         end = np.array([END], "<u4").tobytes()
         row = 0
-        for batch in few(batches, 100):
+        for batch in few(batches):
             out: dict[str, list] = {x: [] for x in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), coder.of(batch["text"].to_pylist()), strict=True):
-                ids += end
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                ids = coder.of(text) + end
                 n, at, k = len(ids) // 4, 0, 0
                 row += 1
                 size = n % room or room

@@ -6,6 +6,8 @@ import collections
 import hashlib
 import html
 import itertools
+import json
+import pathlib
 import random
 import re
 import struct
@@ -477,8 +479,10 @@ def test_packing(docs, empty):
     assert len(at) - packing.lower_bound(collections.Counter(r.length for r in got), 1024) <= 0
 
 
-def test_ids_are_those_of_the_file(monkeypatch):
-    coder, rng = packing._Ids(TOKENIZER), random.Random(7)
+def test_ids_are_those_of_the_file():
+    ranks = packing.merge_ranks(TOKENIZER)
+    assert ranks is not None  # each token is made of the pair that the file lists
+    coder, rng = packing._Ids(TOKENIZER, ranks), random.Random(7)
     texts = []
     for _ in range(400):
         text = "".join(chr(rng.choice([rng.randrange(128), rng.randrange(0x250), 32, 10, rng.randrange(0x2000, 0x2100), rng.randrange(0x4E00, 0x4F00)])) for _ in range(rng.randrange(50)))
@@ -487,9 +491,20 @@ def test_ids_are_those_of_the_file(monkeypatch):
         c = chr(code)
         texts += [c, f"a{c}1", f" {c}", f"{c} {c}", f"x{c}{c}'s", f"1{c}\n"]
     want = [struct.pack(f"<{len(i)}I", *i) for i in (coder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts)]
-    assert coder.of(texts) == want and coder.of([]) == []
-    monkeypatch.setattr(packing, "KNOWN", 3)
-    assert [coder.of([x])[0] for x in texts] == want
+    slow = packing._Ids(TOKENIZER, None)
+    assert [coder.of(x) for x in texts] == want == [slow.of(x) for x in texts]
+
+
+def test_ranks_that_are_not_the_files_merges(tmp_path):
+    told = json.loads(pathlib.Path(TOKENIZER).read_text())
+    vocab = {k: v for k, v in told["model"]["vocab"].items() if v < 259}
+    for i, x in enumerate(("in", "ng", "ing")):
+        vocab[x] = len(vocab) + i
+    base = {k: told[k] for k in ("normalizer", "pre_tokenizer")} | {"added_tokens": told["added_tokens"]}
+    for pair, same in ((["in", "g"], True), (["i", "ng"], False)):
+        (tmp_path / "t.json").write_text(json.dumps(base | {"model": {"type": "BPE", "vocab": vocab, "merges": [["i", "n"], ["n", "g"], pair]}}))
+        packing.merge_ranks.cache_clear()
+        assert (packing.merge_ranks(str(tmp_path / "t.json")) is not None) == same
 
 
 def fillings_by_force(free, left):
