@@ -16,9 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest text, largest exponent and most terms that are worked on.
-LONGEST, POWER, TERMS = 200, 64, 400
-# What stands for an operator or a constant in answers.
+#: Safety limits, which a caller may set: longest text, largest exponent and most terms that are worked on, and the
+#: largest number that is searched for squares. Beyond them an answer is held for a person, never graded wrong.
+LONGEST, POWER, TERMS, SQUARES = 200, 64, 400, 10**10
+# What names an answer, as in `x =`, and what stands for an operator or a constant in answers.
+NAMED, NAMES_NEXT = r"^[a-zA-Z](?U)\w*=", r"\s+(?=[a-zA-Z](?U)\w*=)"
 SIGNS = (("×", "*"), ("÷", "/"), ("−", "-"), ("π", "pi"), ("^", "**"), (" ", ""))
 
 Term = tuple[tuple[str, int], ...]
@@ -29,10 +31,10 @@ def solution_set(answers: Column) -> Column:
     """Parts of an array of answers: split at commas and before `name=`, signs unified, `name=` dropped; null if none."""
 
     def one(text: Column) -> Column:
-        out = F.regexp_replace(text, r"\s+(?=[a-zA-Z](?U)\w*=)", ",")
+        out = F.regexp_replace(text, NAMES_NEXT, ",")
         for old, new in SIGNS:
             out = F.replace(out, F.lit(old), F.lit(new))
-        return F.transform(F.split(out, ","), lambda p: F.regexp_replace(p, r"^[a-zA-Z](?U)\w*=", ""))
+        return F.transform(F.split(out, ","), lambda p: F.regexp_replace(p, NAMED, ""))
 
     parts = F.filter(F.flatten(F.transform(F.filter(answers, lambda a: a.isNotNull()), one)), lambda p: p != "")
     return F.when(F.size(parts) > 0, parts)
@@ -85,7 +87,7 @@ def _add(a: Poly, b: Poly, sign: int = 1) -> Poly:
 
 def _square_free(n: int) -> tuple[int, int]:
     """a, b with n = a * a * b and b square-free."""
-    if n > 10**10:
+    if n > SQUARES:
         raise Unclear
     a, d = 1, 2
     while d * d <= n:
@@ -214,6 +216,8 @@ def math_equal(student: Column, answer: Column) -> Column:
 
 def with_equality(df: DataFrame, student: str, answer: str, out: str) -> DataFrame:
     """df with a column out: each distinct pair of the array columns is compared once."""
-    pairs = df.select(F.col(student).alias("_a"), F.col(answer).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL").distinct()
-    known = pairs.select("_a", "_b", math_equal(F.col("_a"), F.col("_b")).alias(out))
-    return df.join(known, (df[student] == known["_a"]) & (df[answer] == known["_b"]), "left").drop("_a", "_b")
+    sides = {f"_math_{out}_a": F.col(student), f"_math_{out}_b": F.col(answer)}  # out isn't in df, so these aren't either
+    a, b = sides
+    pairs = df.select(*(c.alias(n) for n, c in sides.items())).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
+    known = pairs.select(a, b, math_equal(F.col(a), F.col(b)).alias(out))
+    return df.join(known, (df[student] == known[a]) & (df[answer] == known[b]), "left").drop(known[a], known[b])

@@ -9,6 +9,9 @@ MCQ, SUBJECTIVE = "multiple_choice", "subjective"
 RIGHT, WRONG, HOLD = "O", "X", "HOLD"
 # Replies in which a reader declines to answer.
 DECLINED = ("UNSURE", "PRINTED")
+# How a question's number stands at a text's start (7. or 7-1), alone (7-1), or of four digits), and a page's at its start or end.
+ANCHORS = (r"^\s*(\d{1,3}(?:-\d{1,2})?)\s*[.)]", r"^\s*(\d{1,3}-\d{1,2})\s*$", r"^\s*(\d{4})")
+PAGES = (r"^\s*(\d{1,3})(?!\d)", r"(?<!\d)(\d{1,3})\s*$")
 
 
 def question_key(number: Column) -> Column:
@@ -47,12 +50,9 @@ def first_json(text: Column) -> Column:
 
 def anchor_number(text: Column) -> Column:
     """Question number with which a text begins: 7., 7-1), 7-1 alone, or four digits; else null."""
-    patterns = (r"^\s*(\d{1,3}(?:-\d{1,2})?)\s*[.)]", r"^\s*(\d{1,3}-\d{1,2})\s*$", r"^\s*(\d{4})")
-    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns))
+    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in ANCHORS))
 
 
 def page_candidates(text: Column) -> Column:
     """Numbers of up to three digits at a text's start and end, the start first; nulls where there is none."""
-    start = F.nullif(F.regexp_extract(text, r"^\s*(\d{1,3})(?!\d)", 1), F.lit(""))
-    end = F.nullif(F.regexp_extract(text, r"(?<!\d)(\d{1,3})\s*$", 1), F.lit(""))
-    return F.array(start, end)
+    return F.array(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in PAGES))

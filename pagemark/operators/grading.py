@@ -37,47 +37,73 @@ def infer_page(reads: DataFrame, answer_key: DataFrame) -> DataFrame:
 
 
 def resolve_page(submissions: DataFrame, merged: DataFrame, answer_key: DataFrame) -> DataFrame:
-    """img_id, book_key, page_no, known: hint, else inferred, else stated page; known if the book has it."""
+    """img_id, book_key, page_no, known, read, answers: hint, else inferred, else stated page; known if the book has it.
+
+    read: there is a read of the image; answers: its values by question key. The merged reads are gone through once, each
+    image's as one row (a page's answers).
+    """
     asked = submissions.select("img_id", book_key(F.col("book")).alias("book_key"), F.nullif("page_hint", F.lit("")).alias("hint"))
-    reads = merged.where("qkey IS NOT NULL").join(asked.select("img_id", "book_key"), "img_id")
-    stated = merged.groupBy("img_id").agg(F.first("page", True).alias("stated"))
+    said = F.when(F.col("qkey").isNotNull(), F.struct("qkey", "value"))
+    each = merged.groupBy("img_id").agg(F.first("page", True).alias("stated"), F.map_from_entries(F.collect_list(said)).alias("answers"))
+    rows = asked.join(each, "img_id", "left").select("img_id", F.struct("book_key", "hint", "stated", "answers").alias("f"), F.explode_outer(F.map_keys("answers")).alias("qkey"))
+    there = answer_key.where("qkey IS NOT NULL").select(F.col("book_key").alias("_book"), F.col("page").alias("_page"), F.col("qkey").alias("_qkey")).distinct()
+    hits = rows.join(there, (rows["f.book_key"] == there["_book"]) & (rows["qkey"] == there["_qkey"]), "left").groupBy("img_id", "f.book_key", "_page").agg(F.count("*").alias("n"), F.any_value("f").alias("f"))
+    best = F.min_by("_page", F.when(F.col("_page").isNotNull(), F.struct(-F.col("n"), F.col("_page")))).alias("inferred")
+    one = hits.groupBy("img_id", "book_key").agg(best, F.any_value("f").alias("f"))
     pages = answer_key.select("book_key", F.col("page").alias("page_no")).distinct().withColumn("known", F.lit(True))
-    out = asked.join(infer_page(reads, answer_key), ["img_id", "book_key"], "left").join(stated, "img_id", "left")
-    out = out.withColumn("page_no", F.coalesce("hint", "inferred", "stated"))
-    return out.join(pages, ["book_key", "page_no"], "left").select("img_id", "book_key", "page_no", F.coalesce("known", F.lit(False)).alias("known"))
+    named = one.select("img_id", "book_key", F.coalesce("f.hint", "inferred", "f.stated").alias("page_no"), F.col("f.answers").alias("answers"))
+    return named.join(pages, ["book_key", "page_no"], "left").select("img_id", "book_key", "page_no", F.coalesce("known", F.lit(False)).alias("known"), F.col("answers").isNotNull().alias("read"), "answers")
 
 
 def grade_questions(questions: DataFrame) -> DataFrame:
-    """verdict, student_answer and detail for rows with qtype, answer and raw (the full-page reading; null if absent)."""
-    raw = F.trim(F.coalesce("raw", F.lit("")))
-    rows = questions.withColumn("_raw", raw).withColumn("_picked", picked_digits(raw)).withColumn("_said", F.when((F.col("qtype") != MCQ) & (raw != ""), F.array(raw)))
-    rows = with_equality(rows, "_said", "answer", "_same")
-    mcq = F.col("qtype") == MCQ
-    equal = F.when(mcq, mcq_equal(F.col("_picked"), F.col("answer"))).otherwise(F.col("_same"))
-    marked = F.array_join(F.col("_picked").cast("array<string>"), ",")
+    """questions with verdict, student_answer and detail, from qtype, answer and raw (the full-page reading; null if absent)."""
+    raw, mcq = F.trim(F.coalesce("raw", F.lit(""))), F.col("qtype") == MCQ
+    picked = picked_digits(raw)
+    # columns that can clash with no other: they begin as no column here does
+    before = "_" + max((c for c in questions.columns), key=len)
+    said, equal_ = f"{before}_said", f"{before}_same"
+    rows = with_equality(questions.withColumn(said, F.when(~mcq & (raw != ""), F.array(raw))), said, "answer", equal_)
+    equal = F.when(mcq, mcq_equal(picked, F.col("answer"))).otherwise(F.col(equal_))
+    marked = F.array_join(picked.cast("array<string>"), ",")
     detail = (
-        F.when(F.col("_raw") == "", F.lit(UNCLEAR))
-        .when(mcq & (F.size("_picked") == 0), F.lit(NO_MARK))
+        F.when(raw == "", F.lit(UNCLEAR))
+        .when(mcq & (F.size(picked) == 0), F.lit(NO_MARK))
         .when(equal.isNull(), F.when(mcq, F.lit(BAD_KEY)).otherwise(F.lit(NOT_PARSED)))
         .otherwise(F.lit(""))
     )
-    return rows.select("*", verdict(F.when(F.col("_raw") != "", equal)).alias("verdict"), F.when(mcq, marked).otherwise(F.col("_raw")).alias("student_answer"), detail.alias("detail")).drop(
-        "_raw", "_picked", "_said", "_same"
-    )
+    return rows.select(*questions.columns, verdict(F.when(raw != "", equal)).alias("verdict"), F.when(mcq, marked).otherwise(raw).alias("student_answer"), detail.alias("detail"))
 
 
 def grade_fullpage(submissions: DataFrame, merged: DataFrame, answer_key: DataFrame) -> tuple[DataFrame, DataFrame]:
     """results and page_results from merged page reads (img_id, page, qkey, value). submissions: img_id, book, page_hint."""
     where = resolve_page(submissions, merged, answer_key)
-    expected = where.where("known").join(answer_key.where("question_no IS NOT NULL"), (where["book_key"] == answer_key["book_key"]) & (where["page_no"] == answer_key["page"])).select(
-        "img_id", "page_no", "ord", "question_no", "qkey", "qtype", "answer"
-    )
-    read = merged.where("qkey IS NOT NULL").select("img_id", "qkey", F.col("value").alias("raw"))
-    results = grade_questions(expected.join(read, ["img_id", "qkey"], "left")).select("img_id", "page_no", "ord", "question_no", "verdict", "student_answer", "detail")
-    known_images = merged.select("img_id").distinct().withColumn("_read", F.lit(True))
-    reason = F.when(F.col("_read").isNull(), F.lit(NO_READER)).when(~F.col("known"), F.lit(NO_PAGE)).otherwise(F.lit(""))
-    pages = where.join(known_images, "img_id", "left").select("img_id", F.coalesce("page_no", F.lit("")).alias("page_no"), reason.alias("hold_reason"))
-    return results.join(pages.where("hold_reason = ''").select("img_id"), "img_id", "left_semi"), page_counts(pages, results)
+    reason = F.when(~F.col("read"), F.lit(NO_READER)).when(~F.col("known"), F.lit(NO_PAGE)).otherwise(F.lit(""))
+    key = answer_key.where("question_no IS NOT NULL").select(F.col("book_key").alias("_book"), F.col("page").alias("_page"), "ord", "question_no", "qkey", "qtype", "answer")
+    listed = where.withColumn("hold_reason", reason).join(key, F.col("known") & (where["book_key"] == key["_book"]) & (where["page_no"] == key["_page"]), "left")
+    asked = listed.select("img_id", "page_no", "hold_reason", "ord", "question_no", "qtype", "answer", F.try_element_at("answers", F.col("qkey")).alias("raw"))
+    graded = grade_questions(asked)
+    results = graded.where("question_no IS NOT NULL AND hold_reason = ''").select("img_id", "page_no", "ord", "question_no", "verdict", "student_answer", "detail")
+    pages = graded.groupBy("img_id", F.coalesce("page_no", F.lit("")).alias("page_no"), "hold_reason").agg(*_counts(F.col("question_no").isNotNull(), F.col("hold_reason") != ""))
+    return results, pages
+
+
+def _counts(there: Column, held: Column) -> list[Column]:
+    """O, X and HOLD over the questions that are there; where a page is held all are HOLD."""
+    count = lambda name, some: F.count_if(there & some).cast("long").alias(name)
+    is_ = lambda v: F.col("verdict") == v
+    return [count("O", ~held & is_(RIGHT)), count("X", ~held & is_(WRONG)), count("HOLD", held | is_(HOLD))]
+
+
+def grade(mode: str, submissions: DataFrame, model_reads: DataFrame, answer_key: DataFrame, boxes: DataFrame | None = None, dims: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """results and page_results by `fullpage` (replies for whole pages) or `blocks` (OCR boxes and replies for each question)."""
+    from .layout import analyze_layout
+    from .reads import merge_votes, parse_page_reads
+
+    if mode == "fullpage":
+        return grade_fullpage(submissions, merge_votes(parse_page_reads(model_reads)), answer_key)
+    if mode == "blocks":
+        return grade_blocks(*analyze_layout(boxes, dims, answer_key, submissions), model_reads, answer_key, submissions)
+    raise ValueError(f"unknown mode {mode!r}")
 
 
 def page_counts(pages: DataFrame, results: DataFrame) -> DataFrame:

@@ -74,18 +74,24 @@ def split_columns(boxes: DataFrame, dims: DataFrame) -> DataFrame:
 
 
 def longest_chain(items: Column) -> Column:
-    """Of an array of (i, e) by i, the first of the longest chains whose e rise."""
+    """Of an array of (i, e) by i, the first of the longest chains whose e rise.
 
-    def longer(a: Column, b: Column) -> Column:
-        return F.when(F.size(b) > F.size(a), b).otherwise(a)
+    Lengths and predecessors are kept for each item, and the chain is walked back from its end.
+    """
+    made = lambda *values: F.struct(*(v.alias(n) for v, n in zip(values, ("len", "from"), strict=True)))
+    none = F.expr("CAST(array() AS array<int>)")
 
-    none = F.expr(f"CAST(array() AS array<{_ITEM}>)")
+    def add(told: Column, x: Column) -> Column:
+        before = F.array_max(F.transform(told["len"], lambda n, j: F.when(items[j]["e"] < x["e"], F.struct(n.alias("n"), (-j).alias("j")))))
+        return made(F.array_append(told["len"], F.coalesce(before["n"], F.lit(0)) + 1), F.array_append(told["from"], F.coalesce(-before["j"], F.lit(-1))))
 
-    def add(chains: Column, x: Column) -> Column:
-        fits = F.filter(chains, lambda c: F.element_at(c, -1)["e"] < x["e"])
-        return F.concat(chains, F.array(F.concat(F.aggregate(fits, none, longer), F.array(x))))
+    def walked(told: Column) -> Column:
+        last = (F.array_position(told["len"], F.array_max(told["len"])) - 1).cast("int")
+        start = F.struct(last.alias("at"), F.expr(f"CAST(array() AS array<{_ITEM}>)").alias("chain"))
+        back = lambda s, _: F.struct(told["from"][s["at"]].alias("at"), F.array_prepend(s["chain"], items[s["at"]]).alias("chain"))
+        return F.aggregate(F.sequence(F.lit(1), F.array_max(told["len"])), start, back, lambda s: s["chain"])
 
-    return F.aggregate(items, F.expr(f"CAST(array() AS array<array<{_ITEM}>>)"), add, lambda chains: F.aggregate(chains, none, longer))
+    return F.aggregate(items, made(none, none), add, walked)
 
 
 def match_in_order(items: DataFrame, keys: list[str]) -> DataFrame:

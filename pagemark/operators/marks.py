@@ -11,18 +11,33 @@ from ..functions.keys import HOLD, RIGHT, WRONG
 FLOOR, MARK, GAP, NEAR, SIDE, SURE = 0.02, 2.5, 1.0, 30, 12, 0.5
 # Samples of a template, darker steps that count as ink, padding and confidence of a print mask.
 SAMPLES, DARKER, MASK_PAD, PRINTED = 5, 40, 4, 0.75
-CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
+# Printed choice markers.
+CIRCLED, BRACKETED = "①②③④⑤⑥⑦⑧⑨⑩", r"\(?[1-9]\)"
+# Names of symbols.
 SYMBOLS = {"pi": "π"}
 
 
+def _middle(values: Column) -> Column:
+    """Median of a sorted array."""
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+
+
 def robust_z(scores: DataFrame, keys: list[str], item: str, score: str) -> DataFrame:
-    """keys, item, score, z: distance from the median of the others, in their median absolute deviations (FLOOR at least)."""
-    a, b = scores.select(*keys, F.col(item).alias("_i"), F.col(score).alias("_s")), scores.select(*keys, F.col(item).alias("_j"), F.col(score).alias("_r"))
-    others = a.join(b, keys).where("_i <> _j")
-    middle = others.groupBy(*keys, "_i").agg(F.median("_r").alias("_m"))
-    spread = others.join(middle, [*keys, "_i"]).groupBy(*keys, "_i", "_s", "_m").agg(F.median(F.abs(F.col("_r") - F.col("_m"))).alias("_d"))
-    z = (F.col("_s") - F.col("_m")) / F.greatest("_d", F.lit(FLOOR))
-    return spread.select(*keys, F.col("_i").alias(item), F.col("_s").alias(score), z.alias("z"))
+    """keys, item, score, z: distance from the median of the others, in their median absolute deviations (FLOOR at least).
+
+    A group is the choices of one question; an item without others has no row.
+    """
+    group = scores.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(score).alias("s"), F.col(item).alias("i")))).alias("_all"))
+
+    def told(x: Column, k: Column) -> Column:
+        before, after = F.slice("_all", 1, k), F.slice("_all", k + 2, F.size("_all"))
+        others = F.filter(F.transform(F.concat(before, after), lambda y: y["s"].cast("double")), lambda y: y.isNotNull())
+        spread = F.array_sort(F.transform(others, lambda y: F.abs(y - _middle(others))))
+        return F.struct(x["i"].alias("i"), x["s"].alias("s"), ((x["s"] - _middle(others)) / F.greatest(_middle(spread), F.lit(FLOOR))).alias("z"))
+
+    each = group.where(F.size("_all") > 1).select(*keys, F.explode(F.transform("_all", told)).alias("_x"))
+    return each.select(*keys, F.col("_x.i").alias(item), F.col("_x.s").alias(score), F.col("_x.z").alias("z"))
 
 
 def marked_choices(z: DataFrame, keys: list[str], item: str) -> DataFrame:
@@ -56,8 +71,8 @@ def marker_spans(text: Column, num_choices: Column) -> Column:
     """Array of (n, from, to): printed choice markers in a text, circled digits or else (1) and 1)."""
     spots = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda k: F.struct(F.instr(F.lit(CIRCLED), F.substring(text, k, F.lit(1))).alias("n"), (k - 1).alias("from"), k.alias("to")))
     circled = F.filter(spots, lambda s: (s["n"] > 0) & (s["n"] <= num_choices) & (s["to"] <= F.length(text)))
-    found = F.regexp_extract_all(text, F.lit(r"\(?[1-9]\)"), F.lit(0))
-    parts = F.split(text, r"\(?[1-9]\)")
+    found = F.regexp_extract_all(text, F.lit(BRACKETED), F.lit(0))
+    parts = F.split(text, BRACKETED)
 
     def place(k: Column) -> Column:
         """Characters before the k-th match, counted from 0."""
@@ -146,17 +161,29 @@ def merge_spans(spans: DataFrame, keys: list[str], near: int = NEAR) -> DataFram
 
 
 def merge_rects(rects: DataFrame, keys: list[str], near: int = NEAR) -> DataFrame:
-    """keys, x1, y1, x2, y2: rectangles that are near each other in both directions become their hull, until none are."""
-    now = rects.select(*keys, "x1", "y1", "x2", "y2").distinct()
+    """keys, x1, y1, x2, y2: rectangles that are near each other in both directions become their hull, until none are.
+
+    Only rectangles that touch the same cell of a grid, as wide as the largest of the group, are compared.
+    """
+    sides = ("x1", "y1", "x2", "y2")
+    saved = rects.sparkSession.sparkContext.getCheckpointDir() is not None
+    now, before = rects.select(*keys, *sides).distinct(), None
     while True:
-        now = now.withColumn("_id", F.struct("x1", "y1", "x2", "y2")).checkpoint() if now.sparkSession.sparkContext.getCheckpointDir() else now.withColumn("_id", F.struct("x1", "y1", "x2", "y2")).persist()
-        other = now.select(*keys, *(F.col(c).alias(f"o{c}") for c in ("x1", "y1", "x2", "y2")))
+        now = now.checkpoint() if saved else now.persist()
+        wide = now.groupBy(*keys).agg(F.greatest(F.lit(near), F.max(F.col("x2") - F.col("x1")), F.max(F.col("y2") - F.col("y1"))).alias("_w"))
+        touched = lambda a, b, pad: F.sequence(F.floor((F.col(a) - pad) / F.col("_w")), F.floor((F.col(b) + pad) / F.col("_w")))
+        cells = lambda df, pad: df.join(wide, keys).withColumn("_cx", F.explode(touched("x1", "x2", pad))).withColumn("_cy", F.explode(touched("y1", "y2", pad))).drop("_w")
+        other = cells(now, 0).select(*keys, "_cx", "_cy", *(F.col(c).alias(f"o{c}") for c in sides))
         close = (F.col("x1") - near <= F.col("ox2")) & (F.col("ox1") - near <= F.col("x2")) & (F.col("y1") - near <= F.col("oy2")) & (F.col("oy1") - near <= F.col("y2"))
-        hull = now.join(other, keys).where(close).groupBy(*keys, "_id").agg(F.min("ox1").alias("x1"), F.min("oy1").alias("y1"), F.max("ox2").alias("x2"), F.max("oy2").alias("y2"))
-        grown = hull.select(*keys, "x1", "y1", "x2", "y2", (F.struct("x1", "y1", "x2", "y2") != F.col("_id")).alias("_c"))
-        if grown.where("_c").limit(1).count() == 0:
-            return now.drop("_id")
-        now = grown.drop("_c").distinct()
+        met = cells(now, near).join(other, [*keys, "_cx", "_cy"]).where(close)
+        hull = met.groupBy(*keys, *sides).agg(F.min("ox1").alias("a"), F.min("oy1").alias("b"), F.max("ox2").alias("c"), F.max("oy2").alias("d"))
+        grown = hull.select(*keys, *(F.col(x).alias(y) for x, y in zip("abcd", sides, strict=True)), (F.struct(*"abcd") != F.struct(*sides)).alias("_grew"))
+        more = grown.where("_grew").limit(1).count() > 0
+        if before is not None and not saved:
+            before.unpersist()
+        if not more:
+            return now
+        now, before = grown.drop("_grew").distinct(), now
 
 
 def answer_area(rects: DataFrame, keys: list[str], least: int = SIDE) -> DataFrame:
@@ -187,3 +214,45 @@ def extra_ink(pixels: Column, template: Column) -> Column:
 def print_masks(boxes: DataFrame) -> DataFrame:
     """Padded rectangles of boxes that are sure enough to be print."""
     return boxes.where(F.col("conf") >= PRINTED).select("img_id", "box_id", (F.col("x1") - MASK_PAD).alias("x1"), (F.col("y1") - MASK_PAD).alias("y1"), (F.col("x2") + MASK_PAD).alias("x2"), (F.col("y2") + MASK_PAD).alias("y2"))
+
+
+def repeat_agreement(reads: DataFrame, expected: DataFrame, by: str = "name") -> DataFrame:
+    """For repeated reads (name, answer, seconds) of crops and what is expected: one row.
+
+    crops, repeated_alike (crops whose reads are all the same), matches (reads that are as expected, spaces
+    left out), reads, mean_seconds, max_seconds. expected: by, want, by a file's name or its stem; the name goes first.
+    """
+    plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(" "), F.lit(""))
+    told = with_expected(reads, expected, by)
+    crop = told.groupBy("name").agg(
+        (F.count_distinct(F.coalesce("answer", F.lit(""))) == 1).cast("long").alias("alike"), F.count_if(F.col("want").isNotNull() & (plain(F.col("answer")) == plain(F.col("want")))).alias("matches"),
+        F.count("*").alias("n"), F.sum("seconds").alias("seconds"), F.max("seconds").alias("longest"),
+    )
+    return crop.agg(
+        F.count("*").alias("crops"), F.coalesce(F.sum("alike"), F.lit(0)).alias("repeated_alike"), F.coalesce(F.sum("matches"), F.lit(0)).alias("matches"), F.coalesce(F.sum("n"), F.lit(0)).alias("reads"),
+        (F.sum("seconds") / F.sum("n")).alias("mean_seconds"), F.max("longest").alias("max_seconds"),
+    )
+
+
+def stem(path: Column) -> Column:
+    """A file's name without folders and its last ending."""
+    return F.regexp_replace(F.regexp_replace(path, r"^.*[/\\]", ""), r"(?<=.)\.[^.]*$", "")
+
+
+def with_expected(crops: DataFrame, expected: DataFrame, by: str = "name") -> DataFrame:
+    """crops (name) with want: what is expected (by, want) of the file's name, or else of its stem."""
+    known = expected.select(F.col(by).alias("_by"), "want")
+    named = crops.join(known.withColumnsRenamed({"_by": "_full", "want": "_of_name"}), crops["name"] == F.col("_full"), "left")
+    both = named.join(known.withColumnsRenamed({"_by": "_stem", "want": "_of_stem"}), stem(crops["name"]) == F.col("_stem"), "left")
+    return both.select(*(crops[c] for c in crops.columns), F.coalesce("_of_name", "_of_stem").alias("want"))
+
+
+def paired(truths: DataFrame, guesses: DataFrame, path: str = "path") -> DataFrame:
+    """stem, truth, guess: what files of two folders (path, text) with the same stem say; files without a partner are left out."""
+    said = lambda df, name: df.select(stem(F.col(path)).alias("stem"), F.col("text").alias(name))
+    return said(truths, "truth").join(said(guesses, "guess"), "stem")
+
+
+def write_labels(boxes: DataFrame, folder: str) -> None:
+    """A text file of label lines for each picture (img_id and what yolo_boxes takes), in a folder of its own."""
+    yolo_boxes(boxes).select("img_id", "label_line").repartition("img_id").sortWithinPartitions("img_id", "label_line").write.partitionBy("img_id").text(folder)

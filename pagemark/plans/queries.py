@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,24 +9,11 @@ from ..functions import keys as K
 from ..functions.equivalence import with_equality
 from ..operators import grading, layout, marks, reads
 from ..sources.answers import mapped_questions
+from . import mark_queries, page_queries  # noqa: F401  they add their queries
+from .registry import ORACLE_SQL, QUERIES, query
+from .registry import table as _table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 @query("""
@@ -48,10 +32,8 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") % 2 == 1, K.MCQ).otherwise(K.SUBJECTIVE).alias("qtype"),
         F.array((1 + F.col("l_quantity").cast("int") % 5).cast("string")).alias("answer"), read.alias("raw"),
     )
-    # equal questions with equal readings are graded once
-    few = rows.groupBy("qtype", "answer", "raw").agg(F.count("*").alias("n"))
-    graded = grading.grade_questions(few)
-    total = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias({"O": "o", "X": "x", "HOLD": "hold"}[v])
+    graded = grading.grade_questions(rows)
+    total = lambda v: F.count_if(F.col("verdict") == v).alias(v.lower())
     return graded.groupBy("qtype").agg(total("O"), total("X"), total("HOLD"))
 
 
@@ -231,12 +213,12 @@ WITH p AS (SELECT DISTINCT CAST(l_quantity AS INT) AS a, 1 + l_linenumber AS b,
 SELECT a, b, c, CASE WHEN b = 8 THEN NULL ELSE a * 20 = (2 * a + c % 2) * 10 END AS same FROM p""")
 def math_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fractions against decimals; what does not parse is null."""
-    pairs = _table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("a"), (1 + F.col("l_linenumber")).alias("b"), F.round(F.col("l_discount") * 100).cast("int").alias("c")).distinct()
+    pairs = _table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").alias("a"), (1 + F.col("l_linenumber")).alias("b"), F.round(F.col("l_discount") * 100).cast("int").alias("c"))
     said = F.when(F.col("b") == 8, "@#$!").otherwise(F.format_string("x = (%d*%d)/(%d*2)", F.col("a"), F.col("b"), F.col("b")))
     # a / 2 against (2a + c % 2) / 4, written with two decimals
     want = F.format_string("%s", F.concat(F.floor((2 * F.col("a") + F.col("c") % 2) / 4).cast("string"), F.lit("."), F.lpad(((2 * F.col("a") + F.col("c") % 2) % 4 * 25).cast("string"), 2, "0")))
     rows = pairs.withColumn("s", F.array(said)).withColumn("w", F.array(want))
-    return with_equality(rows, "s", "w", "same").select("a", "b", "c", "same")
+    return with_equality(rows, "s", "w", "same").groupBy("a", "b", "c").agg(F.any_value("same").alias("same"))
 
 
 @query("""
@@ -280,20 +262,3 @@ def grade_fullpage(spark: SparkSession, sf_dir: str) -> DataFrame:
     submissions = replies.select("img_id", F.lit(" Book ").alias("book"), F.lit(None).cast("string").alias("page_hint"))
     _, pages = grading.grade_fullpage(submissions, reads.merge_votes(reads.parse_page_reads(model_reads)), key)
     return pages.select("page_no", "O", "X", "HOLD")
-
-
-@query("""
-SELECT CAST(count(*) FILTER (WHERE event_id % 3 = 0 AND event_id % 10 <> 0) AS BIGINT) AS "O", CAST(count(*) FILTER (WHERE event_id % 3 = 1 AND event_id % 10 <> 0) AS BIGINT) AS "X",
-       CAST(count(*) FILTER (WHERE event_id % 3 = 2 AND event_id % 10 <> 0) AS BIGINT) AS "HOLD" FROM events""")
-def stream_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session over a stream of rows: rejected ones are left out, totals at the end."""
-    schema = _table(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    name = f"graded_{abs(hash(sf_dir)) % 10**8}"
-    verdict = F.element_at(F.array(F.lit(K.RIGHT), F.lit(K.WRONG), F.lit(K.HOLD)), (F.col("event_id") % 3 + 1).cast("int"))
-    counted = rows.where("event_id % 10 <> 0").select(verdict.alias("verdict")).groupBy("verdict").count()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="session-")
-    running = counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/{name}-{spark.sparkContext.startTime}-{id(rows)}").trigger(availableNow=True).start()
-    running.awaitTermination()
-    one = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("count"))), F.lit(0)).alias(v)
-    return spark.table(name).agg(one("O"), one("X"), one("HOLD"))

@@ -6,6 +6,8 @@ num_choices. A page without questions has one row whose question_no is null.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,18 +62,40 @@ def mapped_questions(questions: DataFrame, worksheets: DataFrame, title: str | N
     )
 
 
+#: Seconds until a database that does not answer counts as failed.
+TIMEOUT = "10"
+
+
+def _jdbc(spark: SparkSession, title: str | None, question: str, worksheet: str, options: dict[str, str]) -> DataFrame:
+    """The two tables, for one title only its worksheets and their questions: the title as it is given is asked of the database."""
+    read = lambda table: spark.read.format("jdbc").options(**{"queryTimeout": TIMEOUT, **options}, dbtable=table).load()
+    if title is None:
+        return mapped_questions(read(question), read(worksheet))
+    # a comparison with the plain column is one that the source can be asked
+    sheets = read(worksheet).where(F.col("title") == title)
+    ids = [r.id for r in sheets.select("id").distinct().limit(WORKSHEETS + 1).collect()]
+    if len(ids) > WORKSHEETS:
+        return mapped_questions(read(question), sheets)
+    return mapped_questions(read(question).where(F.col("worksheet_id").isin(ids)), sheets)
+
+
+#: Worksheets of one title whose questions are asked for by number.
+WORKSHEETS = 1_000
+
+
 def read_answer_key(spark: SparkSession, backend: str = "json", **options: str) -> DataFrame:
-    """answer_key from `json` (folder), `tables` (question, worksheet: names of tables or views) or `jdbc` (url, question, worksheet, ...)."""
-    if backend == "json":
-        return json_answer_key(spark, options["folder"])
+    """answer_key from `json` (folder), `tables` (question, worksheet: names of tables or views) or `jdbc` (url, question, worksheet, ...).
+
+    An unknown backend is `json`, with a warning. With a title, `jdbc` asks the database for that title as it is written.
+    """
     if backend == "tables":
         return mapped_questions(spark.table(options["question"]), spark.table(options["worksheet"]), options.get("title"))
     if backend == "jdbc":
         names = {"question", "worksheet", "title"}
-        shared = {k: v for k, v in options.items() if k not in names}
-        read = lambda name: spark.read.format("jdbc").options(**shared, dbtable=name).load()
-        return mapped_questions(read(options.get("question", "question")), read(options.get("worksheet", "worksheet")), options.get("title"))
-    raise ValueError(f"unknown backend {backend!r}")
+        return _jdbc(spark, options.get("title"), options.get("question", "question"), options.get("worksheet", "worksheet"), {k: v for k, v in options.items() if k not in names})
+    if backend != "json":
+        warnings.warn(f"unknown backend {backend!r}; json is used", stacklevel=2)
+    return json_answer_key(spark, options["folder"])
 
 
 def find_book(answer_key: DataFrame, name: str) -> DataFrame:
@@ -80,9 +104,9 @@ def find_book(answer_key: DataFrame, name: str) -> DataFrame:
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    """path, image of the pictures of a folder; one that can't be decoded has height -1."""
+    """path, image of the pictures of a folder, by path; one that can't be decoded has height -1."""
     found = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(folder)
-    return found.select(F.col("image.origin").alias("path"), "image").where(F.lower("path").rlike(r"\.(jpg|jpeg|png)$"))
+    return found.select(F.col("image.origin").alias("path"), "image").where(F.lower("path").rlike(r"\.(jpg|jpeg|png)$")).orderBy("path")
 
 
 def decoded_base64(text: Column) -> Column:

@@ -14,35 +14,61 @@ PICTURES = r"(?i)\.(jpg|jpeg|png)$"
 Grade = Callable[[DataFrame], DataFrame]
 
 
-def start_session(
-    spark: SparkSession, folder: str, checkpoint: str, gate: Grade, grade: Grade, accepted: str, rejected: str, per_batch: int = 4, interval: str | None = None
+def held(rows: DataFrame, reason: str) -> DataFrame:
+    """page_results of pages (path) that could not be graded."""
+    nothing = (F.lit(0).cast("long").alias(c) for c in ("O", "X", "HOLD"))
+    return rows.select(F.col("path").cast("string").alias("img_id"), F.lit("").alias("page_no"), F.lit(f"processing failed: {reason[:200]}").alias("hold_reason"), *nothing)
+
+
+def run_session(
+    rows: DataFrame, checkpoint: str, gate: Grade, grade: Grade, accepted: str, rejected: str, on_result: Callable[[DataFrame], None] | None = None, interval: str | None = None
 ) -> StreamingQuery:
-    """A query over the pictures that arrive in folder, `path` each.
+    """A query over a stream of rows (path, ...).
 
-    gate: path, ok, reason of paths. grade: page_results of the accepted paths. A batch whose grading
-    fails is held page by page with the error as its reason. Results go to the folders accepted and
-    rejected, each batch to a folder of its own, so that a batch done again replaces itself.
+    gate: the rows with ok and reason. grade: page_results of the accepted rows. If the grading of a batch fails, its
+    pages are graded one by one, and only those that fail are held, with the error as their reason. Results go to the
+    folders accepted and rejected, each batch to a folder of its own, so that a batch done again
+    replaces itself; on_result gets the page_results of each batch once they are written.
     """
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True).load(folder)
-    paths = files.select("path").where(F.col("path").rlike(PICTURES))
 
-    def batch(rows: DataFrame, number: int) -> None:
-        checked = gate(rows).persist()
+    def batch(given: DataFrame, number: int) -> None:
+        spark, out = given.sparkSession, f"{accepted}/batch={number}"
+        checked = gate(given).persist()
         try:
             checked.where("NOT ok").select("path", "reason").write.mode("overwrite").parquet(f"{rejected}/batch={number}")
-            good = checked.where("ok").select("path")
+            good = checked.where("ok").drop("ok", "reason")
             try:
-                grade(good).write.mode("overwrite").parquet(f"{accepted}/batch={number}")
-            except Exception as error:  # noqa: BLE001  a page is held, the session goes on
-                held = good.select(F.col("path").alias("img_id"), F.lit("").alias("page_no"), F.lit(f"processing failed: {str(error)[:200]}").alias("hold_reason"), *(F.lit(0).cast("long").alias(c) for c in ("O", "X", "HOLD")))
-                held.write.mode("overwrite").parquet(f"{accepted}/batch={number}")
+                grade(good).write.mode("overwrite").parquet(out)
+            except Exception:  # noqa: BLE001  the session goes on
+                held(good.limit(0), "").write.mode("overwrite").parquet(out)
+                for path in [r.path for r in good.select("path").distinct().orderBy("path").toLocalIterator()]:
+                    one = good.where(F.col("path") == path)
+                    try:
+                        grade(one).write.mode("append").parquet(out)
+                    except Exception as error:  # noqa: BLE001  this page is held
+                        held(one.select("path").distinct(), str(error)).write.mode("append").parquet(out)
+            if on_result is not None:
+                on_result(spark.read.parquet(out))
         finally:
             checked.unpersist()
 
-    writer = paths.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def start_session(
+    spark: SparkSession, folder: str, checkpoint: str, gate: Grade, grade: Grade, accepted: str, rejected: str, per_batch: int = 4, on_result: Callable[[DataFrame], None] | None = None, interval: str | None = None
+) -> StreamingQuery:
+    """A session over the pictures that arrive in folder, `path` each, per_batch at a time."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True).load(folder)
+    return run_session(files.select("path").where(F.col("path").rlike(PICTURES)), checkpoint, gate, grade, accepted, rejected, on_result, interval)
+
+
+def page_results(spark: SparkSession, accepted: str) -> DataFrame:
+    """What a session has graded so far, page by page."""
+    return spark.read.parquet(accepted).drop("batch")
+
+
 def finish(spark: SparkSession, query: StreamingQuery, accepted: str) -> DataFrame:
     """Totals of a session, once all that has arrived is graded."""
     if query.isActive:
