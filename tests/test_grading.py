@@ -11,16 +11,16 @@ from pagemark.plans import report
 from pagemark.sources import answers
 
 BOOK = {
-    "book": "Sample  Book",
+    "book": "Winter  Sheets",
     "pages": {
-        "12": [
-            {"question_no": "1", "type": "multiple_choice", "answer": 3, "num_choices": 5},
+        "31": [
+            {"question_no": "1", "type": "multiple_choice", "answer": 4, "num_choices": 6},
             {"question_no": "2", "type": "multiple_choice", "answer": 1},
-            {"question_no": "3", "type": "subjective", "answer": "-367"},
-            {"question_no": "7-1", "type": "subjective", "answer": ["-2", "3"]},
+            {"question_no": "3", "type": "subjective", "answer": "48/6"},
+            {"question_no": "7-1", "type": "subjective", "answer": ["0.5", "-9"]},
         ],
-        "13": [{"question_no": 21, "type": "multiple_choice", "answer": [2, 4]}, {"question_no": "22", "type": "multiple_choice", "answer": "word"}],
-        "14": [],
+        "32": [{"question_no": 21, "type": "multiple_choice", "answer": [2, 4]}, {"question_no": "22", "type": "multiple_choice", "answer": "word"}],
+        "33": [],
     },
 }
 
@@ -29,7 +29,7 @@ BOOK = {
 def key(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("books")
     for name, content in {
-        "a.json": json.dumps(BOOK), "b.json": json.dumps({**BOOK, "book": " sample book ", "pages": {}}), "c.json": "{broken", "d.json": json.dumps({"book": " ", "pages": {}}),
+        "a.json": json.dumps(BOOK), "b.json": json.dumps({**BOOK, "book": " winter sheets ", "pages": {}}), "c.json": "{broken", "d.json": json.dumps({"book": " ", "pages": {}}),
         "e.json": json.dumps({"book": "bad", "pages": {"1": [{"question_no": "1", "type": "essay", "answer": 1}]}}), "f.json": json.dumps({"book": "no pages"}),
     }.items():
         (folder / name).write_text(content)
@@ -38,11 +38,31 @@ def key(spark, tmp_path_factory):
 
 def test_answer_key(key):
     rows = {(r.page, r.ord): r for r in key.collect()}
-    assert {r.book_key for r in rows.values()} == {"sample book"}
-    assert rows["12", 0].answer == ["3"] and rows["12", 1].num_choices == 5 and rows["12", 3].answer == ["-2", "3"]
-    assert rows["13", 0].question_no == "21" and rows["13", 0].answer == ["2", "4"]
-    assert [r.question_no for (p, _), r in rows.items() if p == "14"] == [None]
-    assert answers.find_book(key, " SAMPLE book").count() == len(rows) and answers.find_book(key, "").count() == 0 and answers.find_book(key, "bad").count() == 0
+    assert {r.book_key for r in rows.values()} == {"winter sheets"}
+    assert rows["31", 0].answer == ["4"] and (rows["31", 0].num_choices, rows["31", 1].num_choices) == (6, 5) and rows["31", 3].answer == ["0.5", "-9"]
+    assert rows["32", 0].question_no == "21" and rows["32", 0].answer == ["2", "4"]
+    assert [r.question_no for (p, _), r in rows.items() if p == "33"] == [None]
+    assert answers.find_book(key, " WINTER sheets").count() == len(rows) and answers.find_book(key, "").count() == 0 and answers.find_book(key, "bad").count() == 0
+
+
+def test_an_unknown_backend_is_json_with_a_warning(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(BOOK))
+    with pytest.warns(UserWarning, match="unknown backend"):
+        assert answers.read_answer_key(spark, "oracle", folder=str(tmp_path)).count() == 7
+
+
+def test_a_title_is_asked_of_the_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame([(1, "Winter Sheets"), (2, "other")], "id long, title string").write.option("createTableColumnTypes", "title VARCHAR(99)").jdbc(url, "worksheet", properties=driver)
+    rows = [(1, 12, "46", "MULTIPLE_CHOICE", "2,4", 4), (2, 1, "1", "SUBJECTIVE", "9", 5)]
+    spark.createDataFrame(rows, "worksheet_id long, page int, question_number string, type string, correct_answer string, num_choices int").write.jdbc(url, "question", properties=driver)
+    one = answers.read_answer_key(spark, "jdbc", url=url, title="Winter Sheets", **driver)
+    assert [(r.question_no, r.answer) for r in one.collect()] == [("46", ["2", "4"])]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(worksheet_id,1)" in plan and "EqualTo(title,Winter Sheets)" in plan
+    assert answers.read_answer_key(spark, "jdbc", url=url, **driver).count() == 2
+    assert answers.read_answer_key(spark, "jdbc", url=url, title="none", **driver).count() == 0
 
 
 def test_mapped_questions(spark):
@@ -101,26 +121,33 @@ def test_two_reads(spark):
     assert agree("unsure", "unsure") is None and agree("PRINTED", "3") is None and agree(None, "3") is None and agree("3", "4") is None
 
 
-def submissions(spark, hint=None, book="sample BOOK"):
+def submissions(spark, hint=None, book="winter SHEETS"):
     return spark.createDataFrame([("a", book, hint)], "img_id string, book string, page_hint string")
 
 
-def graded(spark, key, raws, hint=None, book="sample BOOK"):
+def graded(spark, key, raws, hint=None, book="winter SHEETS"):
     results, pages = grading.grade_fullpage(submissions(spark, hint, book), reads.merge_votes(reads.parse_page_reads(page_reads(spark, raws))), key)
     p = pages.first()
     return {r.question_no: (r.verdict, r.student_answer) for r in results.collect()}, (p.page_no, p.hold_reason, p.O, p.X, p.HOLD)
 
 
 def test_full_page(spark, key):
-    got = graded(spark, key, [said("99", {"0001": "3", "2": "2", "3": "-367.0", "7-1": "x=3,-2"})])
-    assert got == ({"1": ("O", "3"), "2": ("X", "2"), "3": ("O", "-367.0"), "7-1": ("O", "x=3,-2")}, ("12", "", 3, 1, 0))
-    assert graded(spark, key, [said("12", {"1": "?", "3": "@#", "7-1": ""})])[0] == {"1": ("HOLD", ""), "2": ("HOLD", ""), "3": ("HOLD", "@#"), "7-1": ("HOLD", "")}
-    assert graded(spark, key, [said("13", {"21": "4,2", "22": "1"})])[0] == {"21": ("O", "2,4"), "22": ("HOLD", "1")}
+    got = graded(spark, key, [said("99", {"0001": "4", "2": "2", "3": "8.0", "7-1": "x=-9,1/2"})])
+    assert got == ({"1": ("O", "4"), "2": ("X", "2"), "3": ("O", "8.0"), "7-1": ("O", "x=-9,1/2")}, ("31", "", 3, 1, 0))
+    assert graded(spark, key, [said("31", {"1": "?", "3": "@#", "7-1": ""})])[0] == {"1": ("HOLD", ""), "2": ("HOLD", ""), "3": ("HOLD", "@#"), "7-1": ("HOLD", "")}
+    assert graded(spark, key, [said("32", {"21": "4,2", "22": "1"})])[0] == {"21": ("O", "2,4"), "22": ("HOLD", "1")}
+
+
+def test_modes(spark, key):
+    results, pages = grading.grade("fullpage", submissions(spark), page_reads(spark, [said("31", {"1": "4"})]), key)
+    assert pages.first().O == 1 and results.count() == 4
+    with pytest.raises(ValueError, match="unknown mode"):
+        grading.grade("other", submissions(spark), page_reads(spark, []), key)
 
 
 def test_page_holds(spark, key):
     assert graded(spark, key, [said("99", {"999": "1"})]) == ({}, ("99", grading.NO_PAGE, 0, 0, 0))
-    assert graded(spark, key, [said("99", {"1": "3"})], hint="13")[1][0] == "13"
+    assert graded(spark, key, [said("99", {"1": "4"})], hint="32")[1][0] == "32"
     assert graded(spark, key, [None]) == ({}, ("", grading.NO_READER, 0, 0, 0))
 
 
@@ -134,19 +161,19 @@ def test_counts_of_a_held_page(spark):
 
 def test_blocks(spark, key):
     kinds = "img_id string, kind string, question_no string, call_no int, raw string"
-    raw = spark.createDataFrame([("a", "mcq", "1", 0, "3"), ("a", "mcq", "2", 0, "NONE"), ("a", "math", "3", 0, "-367"), ("a", "math", "3", 1, "- 367"), ("a", "math", "7-1", 0, "1"), ("a", "math", "7-1", 1, "2")], kinds)
+    raw = spark.createDataFrame([("a", "mcq", "1", 0, "4"), ("a", "mcq", "2", 0, "NONE"), ("a", "math", "3", 0, "16/2"), ("a", "math", "3", 1, "16 / 2"), ("a", "math", "7-1", 0, "1"), ("a", "math", "7-1", 1, "2")], kinds)
     blocks = spark.createDataFrame([("a", q) for q in ("1", "2", "3")], "img_id string, question_no string")
-    holds = spark.createDataFrame([("a", "12", "")], "img_id string, page_no string, hold_reason string")
+    holds = spark.createDataFrame([("a", "31", "")], "img_id string, page_no string, hold_reason string")
     results, pages = grading.grade_blocks(blocks, holds, raw, key, submissions(spark))
     assert {r.question_no: (r.verdict, r.detail) for r in results.collect()} == {"1": ("O", ""), "2": ("HOLD", grading.UNCLEAR), "3": ("O", ""), "7-1": ("HOLD", grading.NO_BLOCK)}
-    held = spark.createDataFrame([("a", "12", "why")], "img_id string, page_no string, hold_reason string")
+    held = spark.createDataFrame([("a", "31", "why")], "img_id string, page_no string, hold_reason string")
     results, pages = grading.grade_blocks(blocks, held, raw, key, submissions(spark))
     assert {r.verdict for r in results.collect()} == {"HOLD"} and (pages.first().HOLD, pages.first().O) == (4, 0)
 
 
 def test_status_report_and_response(spark, key):
     requests = spark.createDataFrame(
-        [("1", "exam", "Sample Book", "aGk="), ("2", "EXAM", "sample book", "@@@"), ("3", None, "who", "aGk="), ("4", "x", "Sample Book", "aGk="), ("5", None, None, "aGk="), ("6", None, "sample book", "data:x;aGk="), ("7", None, "sample book", "")],
+        [("1", "exam", "Winter Sheets", "aGk="), ("2", "EXAM", "winter sheets", "@@@"), ("3", None, "who", "aGk="), ("4", "x", "Winter Sheets", "aGk="), ("5", None, None, "aGk="), ("6", None, "winter sheets", "data:x;aGk="), ("7", None, "winter sheets", "")],
         "img_id string, workSheetSource string, name string, image_base64 string",
     )
     told = grading.status(requests, key)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemark.operators import vision
 from pagemark.sources.answers import images
-from pagemark.streaming.session import finish, start_session
+from pagemark.streaming.session import finish, page_results, start_session
 
 
 def png(path, picture):
@@ -48,13 +48,30 @@ def test_session(spark, folder, fails):
             raise RuntimeError("reader gone")
         return paths.select(F.col("path").alias("img_id"), F.lit("1").alias("page_no"), F.lit("").alias("hold_reason"), F.lit(1).cast("long").alias("O"), F.lit(0).cast("long").alias("X"), F.lit(0).cast("long").alias("HOLD"))
 
-    out = [str(folder / x) for x in ("checkpoint", "accepted", "rejected")]
-    query = start_session(spark, str(folder / "in"), out[0], gate, grade, out[1], out[2])
+    out, told = [str(folder / x) for x in ("checkpoint", "accepted", "rejected")], []
+    query = start_session(spark, str(folder / "in"), out[0], gate, grade, out[1], out[2], on_result=lambda pages: told.extend(pages.collect()))
     query.awaitTermination()
     assert finish(spark, query, out[1]).first().O == (0 if fails else 1)
     assert spark.read.parquet(out[2]).count() == 2
-    held = spark.read.parquet(out[1]).where("img_id IS NOT NULL").first().hold_reason
-    assert ("reader gone" in held) == fails
+    pages = page_results(spark, out[1]).collect()
+    assert ("reader gone" in pages[0].hold_reason) == fails and sorted(told) == sorted(pages)
+
+
+def test_a_page_that_fails_is_held_alone(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in "abcd":
+        (tmp_path / "in" / f"{name}.png").write_bytes(b"x")
+
+    def grade(paths):
+        if any("b.png" in r.path for r in paths.collect()):
+            raise RuntimeError("b is broken")
+        return paths.select(F.col("path").alias("img_id"), F.lit("1").alias("page_no"), F.lit("").alias("hold_reason"), *(F.lit(int(c == "O")).cast("long").alias(c) for c in ("O", "X", "HOLD")))
+
+    out = [str(tmp_path / x) for x in ("checkpoint", "accepted", "rejected")]
+    query = start_session(spark, str(tmp_path / "in"), out[0], lambda rows: rows.withColumn("ok", F.lit(True)).withColumn("reason", F.lit("")), grade, out[1], out[2])
+    query.awaitTermination()
+    got = {r.img_id.rsplit("/", 1)[1]: (r.O, "b is broken" in r.hold_reason) for r in page_results(spark, out[1]).collect()}
+    assert got == {"a.png": (1, False), "b.png": (0, True), "c.png": (1, False), "d.png": (1, False)}
 
 
 def test_geometry():
