@@ -1,6 +1,6 @@
 """Questions that blocks of documents put to the whole corpus.
 
-Documents are dealt into blocks by a hash of their id. A block names what it holds (hashes of
+Documents are dealt into blocks by a hash of their id and text, so no id is one block. A block names what it holds (hashes of
 substrings), each name once with the smallest doc_id that has it, and sends the names, packed, to
 buckets by name. A bucket sees every block that has a name and answers with a bit or two for
 each, in the order it got them. However many documents share a passage, a block sends its names
@@ -33,7 +33,7 @@ def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n = max(LEAST_BLOCKS, size // BLOCK_BYTES)
     blocks = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("data"),
     )

@@ -84,6 +84,46 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Bytes of texts whose words are hashed in one go.
+WORD_CHUNK = 1 << 18
+_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_SEEDS = {}
+
+
+def _seeds(which: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random numbers for bytes, and powers of a random number and of its inverse."""
+    if which not in _SEEDS or len(_SEEDS[which][1]) < size:
+        rng = np.random.default_rng(1000 + which)
+        base = int(rng.integers(0, 2**61)) * 8 + 3
+        power = lambda x: np.cumprod(np.append(np.uint64(1), np.full(max(size, 2 * WORD_CHUNK), x, np.uint64)))
+        _SEEDS[which] = (rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), power(base), power(pow(base, -1, 2**64)))
+    return _SEEDS[which]
+
+
+def word_hashes(texts: list[bytes], which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words between white space of all texts, and how many words each text has.
+
+    which: hashes of different numbers are independent.
+    """
+    hashes, counts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < WORD_CHUNK):
+            size += len(texts[end]) + 1
+            end += 1
+        data = np.frombuffer(b" ".join(texts[at:end]) + b" ", np.uint8)
+        letters, powers, inverses = _seeds(which, len(data))
+        blank = _BLANK[data]
+        before = np.append(True, blank[:-1])
+        first, last = np.flatnonzero(before & ~blank), np.flatnonzero(blank & ~before)
+        sums = np.append(np.uint64(0), np.cumsum(letters[data] * powers[: len(data)]))
+        hashes.append(mix((sums[last] - sums[first]) * inverses[first] + (last - first).astype(np.uint64)))
+        bounds = np.cumsum([len(x) + 1 for x in texts[at:end]])
+        counts.append(np.diff(np.searchsorted(first, np.append(0, bounds))))
+        at = end
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     out = values ^ (values >> np.uint64(32))

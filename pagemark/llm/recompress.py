@@ -1,23 +1,30 @@
 """Exact removal of repeated word windows, by recompression.
 
 A word goes if a window of size words covers it whose words also start in a document with a
-smaller doc_id. Each document's words are recompressed in rounds: runs of one symbol and pairs of
-neighbouring symbols (one of the left, one of the right half of the alphabet, by a hash of the
-symbol) become new symbols. Names are hashes, hence the same in all documents, and each symbol
-carries the span of words that decided it, so that equal windows have equal symbols wherever that
-span lies inside. A symbol that no other document shares rules out all windows around it. The
-windows that are left are compared whole across all documents.
+smaller doc_id. Each document's words are recompressed in rounds: in the first, runs of one symbol become
+symbols; in each, pairs of neighbouring symbols (one of the left, one of the right half of the alphabet,
+by a hash of the symbol) do. Each symbol carries the span of words that decided it, so that equal
+windows have equal symbols wherever that span lies inside, and is named by it, alike in all documents.
 
-Names are 64-bit hashes; two different windows among n are confused with a chance of n * n / 2**65.
+After each round all documents are asked which names of open symbols several of them share. A
+symbol that no other document shares is closed: it never pairs again, rules out all windows around
+it, and nothing that holds it is asked about later. So the symbols of later rounds, longer and fewer, are
+shared ones only, and reveal where repeats can be. The windows that have no closed symbol inside are
+then compared whole across all documents, by a second, independent hash of their words besides the first.
 
-Nulls: a null text has no words and null ids count as larger than all others. Repeated rows: rows
+Names are 64-bit hashes and may only fail to close a symbol when they collide. Windows are told apart by
+103 bits; two different ones among n are confused with a chance of n * n / 2**104.
+
+Nulls: a null text has no words and null ids count as larger than all others. Ties, repeated rows: rows
 with the same doc_id never remove each other's words; each gives its own result row. Texts with
-fewer words than size stay whole. An empty table gives an empty result. Other columns are ignored.
+fewer words than size stay whole. Very long texts are worked on whole, in one block of their own size. An
+empty table gives an empty result. Other columns are ignored, or kept as they are by without_repeats, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,115 +33,125 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import WordHashes, group_starts, join2, mix
+from .common import group_starts, join2, mix, spread, word_hashes
 
 RESULT = "doc_id long, mark long, n_words long, n_removed long, kept string"
 RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 #: Rounds of pairing; a symbol spans up to 2 ** ROUNDS words, which must leave room in a window.
 ROUNDS = 3
 _RUN = np.uint64(0xD6E8FEB86659FD93)
-_WORDS = WordHashes()
-
-
-def symbols(words: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name, and first and end word of what decides it, for each symbol of the last round.
-
-    bounds: where documents start and the last ends. The name is that of all words in the span.
-    """
-    n = len(words)
-    # an edge between documents is a symbol of its own: it never pairs, and no window reaches over it
-    edges = np.unique(bounds)
-    at = np.arange(n) + np.searchsorted(edges, np.arange(n), "right")
-    total = n + len(edges)
-    name, edge = np.zeros(total, np.uint64), np.ones(total, bool)
-    name[at] = words
-    edge[at] = False
-    lo = np.arange(total)
-    hi = lo + 1
-    for step in range(rounds):
-        if step == 0:
-            same = np.zeros(len(name), bool)
-            same[1:] = (name[1:] == name[:-1]) & ~edge[1:] & ~edge[:-1]
-            first = np.flatnonzero(~same)
-            size = np.diff(np.append(first, len(name)))
-            end = first + size - 1
-            name, edge = np.where(size > 1, join2(name[first], size.astype(np.uint64) * _RUN), name[first]), edge[first]
-            # that a run ends is decided by the words beside it
-            lo, hi = np.maximum(lo[first] - 1, 0), np.minimum(hi[end] + 1, total)
+
+
+class Symbols:
+    """Symbols of some documents, one after the other; bounds: where documents start and the last ends."""
+
+    def __init__(self, words: np.ndarray, bounds: np.ndarray):
+        # an edge between documents is a symbol of its own: it never pairs, and no window reaches over it
+        edges = np.unique(bounds)
+        at = np.arange(len(words)) + np.searchsorted(edges, np.arange(len(words)), "right")
+        total = len(words) + len(edges)
+        self.words = np.zeros(total, np.uint64)
+        self.words[at] = mix(words)
+        self.name, self.edge = np.zeros(total, np.uint64), np.ones(total, bool)
+        self.name[at] = words
+        self.edge[at] = False
+        self.lo = np.arange(total)
+        self.hi = self.lo + 1
+        # places back to words; spans that include an edge are inside no window
+        self.before = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=total) == 0)])
+
+    def runs(self) -> None:
+        name, edge = self.name, self.edge
+        same = np.zeros(len(name), bool)
+        same[1:] = (name[1:] == name[:-1]) & ~edge[1:] & ~edge[:-1]
+        first = np.flatnonzero(~same)
+        size = np.diff(np.append(first, len(name)))
+        last = first + size - 1
+        self.name, self.edge = np.where(size > 1, join2(name[first], size.astype(np.uint64) * _RUN), name[first]), edge[first]
+        # that a run ends is decided by the words beside it
+        self.lo, self.hi = np.maximum(self.lo[first] - 1, 0), np.minimum(self.hi[last] + 1, len(self.words))
+
+    def pairs(self, step: int) -> None:
+        name, edge, lo, hi = self.name, self.edge, self.lo, self.hi
         right = (mix(name ^ np.uint64(step)) & np.uint64(1)).astype(bool)
-        pair = np.zeros(len(name), bool)
+        pair, second = np.zeros(len(name), bool), np.zeros(len(name), bool)
         pair[:-1] = ~right[:-1] & right[1:] & ~edge[:-1] & ~edge[1:]
-        second = np.zeros(len(name), bool)
         second[1:] = pair[:-1]
-        low, high = lo.copy(), hi.copy()
         alone = ~pair & ~second & ~edge
-        after, before = np.append(hi[1:], hi[-1]), np.append(lo[:1], lo[:-1])
-        wait_right, wait_left = alone & ~right, alone & right
-        high[wait_right] = after[wait_right]
-        low[wait_left] = before[wait_left]
+        low, high = lo.copy(), hi.copy()
+        waits = np.flatnonzero(alone & ~right)
+        high[waits] = hi[np.minimum(waits + 1, len(hi) - 1)]
+        waits = np.flatnonzero(alone & right)
+        low[waits] = lo[np.maximum(waits - 1, 0)]
         k = np.flatnonzero(pair)
-        name[k] = join2(name[k], name[k + 1])
+        self.name = name.copy()
+        self.name[k] = join2(name[k], name[k + 1])
         high[k] = hi[k + 1]
         stay = ~second
-        name, edge, lo, hi = name[stay], edge[stay], low[stay], high[stay]
-    # positions back to words; spans that include an edge are inside no window
-    inside = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=total) == 0)])
-    good = ~edge & (inside[hi] == inside[lo])
-    lo, hi = lo[good] - inside[lo[good]], hi[good] - inside[hi[good]]
-    return _span_names(words, lo, hi), lo, hi
-
-
-def _span_names(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hash of all words from lo to hi."""
-    out, longest = np.zeros(len(lo), np.uint64), int((hi - lo).max(initial=0))
-    scrambled = mix(words)
-    for k in range(min(longest, 64)):
-        more = lo + k < hi
-        out[more] = join2(out[more], scrambled[lo[more] + k])
-    rest = np.flatnonzero(hi - lo > 64)  # long runs
-    for i in rest:
-        out[i] = join2(out[i : i + 1], np.array([hi[i] - lo[i]], np.uint64))[0]
-    return out
+        self.name, self.edge, self.lo, self.hi = self.name[stay], edge[stay], low[stay], high[stay]
 
+    def open(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which symbols' spans fit in a window, and the names of those spans: all their words."""
+        at = np.flatnonzero(~self.edge & (self.hi - self.lo <= size) & (self.before[self.hi] == self.before[self.lo]))
+        lo, long = self.lo[at], self.hi[at] - self.lo[at]
+        out = np.zeros(len(at), np.uint64)
+        for k in range(int(long.max(initial=0))):
+            more = np.flatnonzero(long > k)
+            out[more] = join2(out[more], self.words[lo[more] + k])
+        return at, out
 
-def _mark(data: bytes) -> int:
-    value = xxhash.xxh64_intdigest(data, 42)
-    return value - (1 << 64) if value >> 63 else value
+    def spans(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end word of symbols."""
+        return self.lo[at] - self.before[self.lo[at]], self.hi[at] - self.before[self.hi[at]]
 
 
 class Block:
+    """One block's documents, round by round."""
+
     def __init__(self, tab: pa.Table, size: int, buckets: int):
         self.order, self.data, self.ids = B.block_rows(tab)
         self.size, self.buckets = size, buckets
-        words = [x.split() for x in self.data]
-        self.counts = np.array([len(x) for x in words], np.int64)
+        self.words, self.counts = word_hashes(self.data)
         self.bounds = np.concatenate([[0], np.cumsum(self.counts)])
-        self.words = np.concatenate([np.zeros(0, np.uint64), *(_WORDS.of(x) for x in words)])
-        self.doc = np.repeat(np.arange(len(words)), self.counts)
-        self.text = words
+        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
         n = max(0, len(self.words) - size + 1)
         self.valid = self.doc[:n] == self.doc[size - 1 : size - 1 + n]
-        self.name, self.lo, self.hi = symbols(self.words, self.bounds) if n else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        some = self.hi - self.lo <= size
-        self.name, self.lo, self.hi = self.name[some], self.lo[some], self.hi[some]
-
-    def names(self) -> tuple[np.ndarray, np.ndarray]:
-        (out,), _, several = B.least((self.name,), self.order[self.doc[self.lo]])
-        return out, several
-
-    def windows(self, names: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and name of the windows in which all symbols are shared."""
+        self.closed = np.zeros(n + 1, np.int32)  #: by start of a window, as differences: closed symbols inside
+        self.symbols, self.done = Symbols(self.words, self.bounds), 0
+
+    def next_round(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Open symbols after one more round, the names of each; distinct names, and whether several documents here have each."""
+        if not self.done:
+            self.symbols.runs()
+        self.symbols.pairs(self.done)
+        self.done += 1
+        at, name = self.symbols.open(self.size)
+        (names,), _, several = B.least((name,), self.order[self.doc[self.symbols.spans(at)[0]]])
+        return at, name, names, several
+
+    def close(self, at: np.ndarray, name: np.ndarray, names: np.ndarray, shared: np.ndarray) -> None:
+        """Close the symbols whose names no other document has."""
+        off = at[~shared[np.searchsorted(names, name)]]
+        lo, hi = self.symbols.spans(off)
         n = len(self.valid)
-        bad = ~shared[np.searchsorted(names, self.name)]
-        delta = np.zeros(n + 1, np.int32)
-        np.add.at(delta, np.minimum(np.maximum(self.hi[bad] - self.size, 0), n), 1)
-        np.add.at(delta, np.minimum(self.lo[bad] + 1, n), -1)
-        at = np.flatnonzero(self.valid & (np.cumsum(delta[:-1]) == 0))
-        out = np.zeros(len(at), np.uint64)
-        scrambled = mix(self.words)
+        np.add.at(self.closed, np.minimum(np.maximum(hi - self.size, 0), n), 1)
+        np.add.at(self.closed, np.minimum(lo + 1, n), -1)
+        self.symbols.edge[off] = True
+
+    def replay(self, replies: dict[int, dict[int, bytes]], rounds: int) -> None:
+        """Do the first rounds, which have been answered."""
+        for step in range(1, rounds + 1):
+            at, name, names, _ = self.next_round()
+            self.close(at, name, names, B.answered(replies.get(step, {}), self.buckets, names, 1)[:, 0])
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and two names of the windows without a closed symbol."""
+        at = np.flatnonzero(self.valid & (np.cumsum(self.closed[:-1]) == 0))
+        out, check = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        one, two = mix(self.words), word_hashes(self.data, 1)[0]
         for k in range(self.size):
-            out = join2(out, scrambled[at + k])
-        return at, out
+            out, check = join2(out, one[at + k]), join2(check, two[at + k])
+        return at, out, check
 
 
 def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
@@ -143,39 +160,55 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
         raise ValueError("size must be 6 at least")
     given, buckets = B.dealt(docs)
 
-    def first(block: int, tab: pa.Table, _: dict) -> Iterator[dict]:
-        names, several = Block(tab, size, buckets).names()
-        yield from B.asked(block, buckets, names, several)
+    def named(step: int) -> Callable:
+        def work(block: int, tab: pa.Table, got: dict) -> Iterator[dict]:
+            b = Block(tab, size, buckets)
+            b.replay(got, step - 1)
+            _, _, names, several = b.next_round()
+            yield from B.asked(block, buckets, names, several)
+
+        return work
 
     def open_windows(tab: pa.Table, got: dict) -> tuple:
         b = Block(tab, size, buckets)
-        names, _ = b.names()
-        at, window = b.windows(names, B.answered(got.get(1, {}), buckets, names, 1)[:, 0])
-        (key,), doc, _ = B.least((window,), b.order[b.doc[at]])
-        return b, at, window, key, doc
+        b.replay(got, ROUNDS)
+        at, window, check = b.windows()
+        (check_, key), doc, _ = B.least((check, window), b.order[b.doc[at]])
+        return b, at, window, check, key, check_, doc
 
-    def second(block: int, tab: pa.Table, got: dict) -> Iterator[dict]:
-        *_, key, doc = open_windows(tab, got)
-        yield from B.asked(block, buckets, key, None, key, doc)
+    def whole(block: int, tab: pa.Table, got: dict) -> Iterator[dict]:
+        *_, key, check, doc = open_windows(tab, got)
+        yield from B.asked(block, buckets, check, None, key, doc)
 
     def last(block: int, tab: pa.Table, got: dict) -> Iterator[dict]:
-        b, at, window, key, doc = open_windows(tab, got)
-        which = np.searchsorted(key, window)
-        repeat = at[B.answered(got.get(2, {}), buckets, key, 1)[which, 0] | (doc[which] < b.order[b.doc[at]])]
+        b, at, window, check, key, check_, doc = open_windows(tab, got)
+        # distinct windows are sorted by both names
+        order = np.lexsort((window, check))
+        same = group_starts(check[order], window[order])
+        which = np.zeros(len(at), np.int64)
+        which[order] = spread(np.arange(len(same)), same, len(at))
+        repeat = at[B.answered(got.get(ROUNDS + 1, {}), buckets, check_, 2)[which, 0] | (doc[which] < b.order[b.doc[at]])]
         delta = np.zeros(len(b.words) + 1, np.int32)
         np.add.at(delta, repeat, 1)
         np.add.at(delta, repeat + size, -1)
         stay = np.cumsum(delta[:-1]) == 0
-        for i, words in enumerate(b.text):
-            own = stay[b.bounds[i] : b.bounds[i + 1]]
+        for i, data in enumerate(b.data):
+            own, words = stay[b.bounds[i] : b.bounds[i + 1]], data.split()
             kept = words if own.all() else [words[j] for j in np.flatnonzero(own)]
-            yield {"doc_id": b.ids[i], "mark": _mark(b.data[i]), "n_words": len(words), "n_removed": len(words) - len(kept), "kept": b" ".join(kept).decode("utf-8", "replace")}
+            yield {"doc_id": b.ids[i], "mark": _mark(data), "n_words": len(words), "n_removed": len(words) - len(kept), "kept": b" ".join(kept).decode("utf-8", "replace")}
 
-    replies = B.shared(B.each_block(given, None, first, B.REQUEST, B.REQUEST_ARROW), 1)
-    replies = replies.unionByName(B.smaller(B.each_block(given, replies, second, B.REQUEST, B.REQUEST_ARROW), 2))
+    replies = B.shared(B.each_block(given, None, named(1), B.REQUEST, B.REQUEST_ARROW), 1)
+    for step in range(2, ROUNDS + 1):
+        replies = replies.unionByName(B.shared(B.each_block(given, replies, named(step), B.REQUEST, B.REQUEST_ARROW), step))
+    replies = replies.unionByName(B.smaller(B.each_block(given, replies, whole, B.REQUEST, B.REQUEST_ARROW), ROUNDS + 1))
     return B.each_block(given, replies, last, RESULT, RESULT_ARROW)
 
 
+def _mark(data: bytes) -> int:
+    value = xxhash.xxh64_intdigest(data, 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def digest(result: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     return result.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
