@@ -3,17 +3,21 @@
 A byte goes if a string of min_bytes bytes covers it that also starts in a document with a smaller
 doc_id. Suffixes of all documents are first put in buckets by a q-gram; every string of min_bytes
 bytes is represented by the suffix that starts at its least q-gram (by hash), so equal strings
-meet in one bucket. Buckets of one document are done. The rest are refined by the buckets of the
-suffixes at fixed later (and earlier) offsets, which together span all strings that the suffix
+meet in one bucket. Buckets of one document are done. The rest are refined, each inside its own bucket only: first
+by the names of the strings at the fixed outermost offsets, which together span all strings that the suffix
 represents: where these agree with a smaller document, all strings are repeats at once. Buckets
 that this splits are refined once more, at the full depth of min_bytes bytes. Each refinement works
-only on what the one before left open.
+only on what the one before left open. A name of 2k bytes is made of the names of k bytes at an
+offset and k bytes later, down to single bytes, so names of short strings serve those of longer ones.
 
-Names are 64-bit hashes; two different strings among n are confused with a chance of n * n / 2**65.
+Names are hashes, alike in all documents, not ranks: no suffix is sorted among all others. A string is named by 39 bits for
+its bucket and 64 for its bytes; two different ones are confused with a chance of 2**-64 for each pair that
+shares a least q-gram, and of 2**-103 for any other.
 
-Nulls: a null text is empty and null ids count as larger than all others. Repeated rows: rows with
+Nulls: a null text is empty and null ids count as larger than all others. Ties, repeated rows: rows with
 the same doc_id never remove each other's bytes; each gives its own result row. Texts shorter than
-min_bytes stay whole. An empty table gives an empty result. Other columns are ignored.
+min_bytes stay whole. Very long texts are worked on whole, in one block of their own size. An empty table
+gives an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import join2
+from .common import group_starts, join2, spread
 
 #: Bytes of documents that are hashed in one go, to stay in the processor's cache.
 CHUNK = 1 << 17
@@ -55,6 +59,11 @@ class Chunk:
     gram: np.ndarray  #: hash of the q-gram
     least: np.ndarray  #: hash of the least q-gram of the string
     level: np.ndarray  #: hash of the longest string of a power of two bytes that fits in the string
+    run: np.ndarray  #: where the least q-gram or the document changes, by position of a string's start
+
+    def of_runs(self, values: np.ndarray) -> np.ndarray:
+        """Values of the runs, for each position."""
+        return np.repeat(values, np.diff(np.append(self.run, len(self.least))))
 
     def hashes(self, length: int, at: np.ndarray) -> np.ndarray:
         """Hashes of the strings that start at at; length: once to twice that of level."""
@@ -91,7 +100,8 @@ def chunks(data: list[bytes], min_bytes: int) -> Iterator[Chunk]:
                 low, span = np.minimum(low[:-span], low[span:]), 2 * span
             least = np.minimum(low[:n], low[w - span : w - span + n])
             doc = np.repeat(np.arange(first, last, dtype=np.int32), sizes)
-            yield Chunk(first, bounds, doc[:n], doc[:n] == doc[min_bytes - 1 :], gram, least, level)
+            run = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (doc[1:n] != doc[: n - 1])))
+            yield Chunk(first, bounds, doc[:n], doc[:n] == doc[min_bytes - 1 :], gram, least, level, run)
         first = last
 
 
@@ -105,20 +115,26 @@ class Block:
 
     def names(self) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of the first refinement: least q-grams, and whether several documents here have each."""
-        names, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for c in self.chunks:
-            at = np.flatnonzero(c.valid)
-            at = at[np.append(True, (c.least[at[1:]] != c.least[at[:-1]]) | (c.doc[at[1:]] != c.doc[at[:-1]]))] if len(at) else at
-            names.append(c.least[at])
-            docs.append(self.order[c.doc[at]])
-        (out,), _, several = B.least((np.concatenate(names),), np.concatenate(docs))
-        return out, several
-
-    def open_strings(self, kept: np.ndarray, c: Chunk) -> np.ndarray:
-        """Strings whose bucket has several documents."""
-        at = np.searchsorted(kept, c.least)
-        at[at == len(kept)] = 0
-        return c.valid & (kept[at] == c.least) if len(kept) else np.zeros(len(c.valid), bool)
+        # a document's strings come before those that reach over its end
+        starts = [c.run[c.valid[c.run]] for c in self.chunks]
+        name = np.concatenate([np.zeros(0, np.uint64), *(c.least[at] for c, at in zip(self.chunks, starts, strict=True))])
+        doc = np.concatenate([np.zeros(0, np.int64), *(self.order[c.doc[at]] for c, at in zip(self.chunks, starts, strict=True))])
+        order = np.lexsort((doc, name))
+        at = group_starts(name[order])
+        last = np.append(at[1:], len(order))[: len(at)] - 1
+        self.distinct = name[order][at]
+        which = np.zeros(len(name), np.int64)
+        which[order] = spread(np.arange(len(at)), at, len(order))
+        self.which = np.split(which, np.cumsum([len(x) for x in starts]))[: len(starts)]  #: number of the bucket of each run with strings
+        return self.distinct, doc[order][at] != doc[order][last]
+
+    def strings_in(self, buckets: np.ndarray, k: int) -> np.ndarray:
+        """Strings of a chunk whose buckets are among some (a truth value for each bucket)."""
+        c = self.chunks[k]
+        there = c.valid[c.run]
+        of_run = np.zeros(len(c.run), bool)
+        of_run[there] = buckets[self.which[k]]
+        return c.valid & c.of_runs(of_run)
 
     def suffixes(self, open_: np.ndarray, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sampled suffixes in open buckets: position, bucket, key of what all their strings span (0 if cut off), first and last string."""
@@ -143,24 +159,24 @@ class Block:
     def spans(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Second refinement: distinct (bucket, key) of the suffixes, and their smallest document."""
         names, keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for c in self.chunks:
-            at, name, key, lo, _ = self.suffixes(self.open_strings(kept, c), c)
+        self.found = [self.suffixes(self.strings_in(kept, k), c) for k, c in enumerate(self.chunks)]
+        for c, (_, name, key, lo, _) in zip(self.chunks, self.found, strict=True):
             names.append(name)
             keys.append(key)
             docs.append(self.order[c.doc[lo]])
         (name, key), doc, _ = B.least((np.concatenate(names), np.concatenate(keys)), np.concatenate(docs))
         return name, key, doc
 
-    def after_spans(self, kept: np.ndarray, replies: dict[int, bytes], name: np.ndarray, key: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
+    def after_spans(self, replies: dict[int, bytes], name: np.ndarray, key: np.ndarray, doc: np.ndarray) -> Iterator[tuple]:
         """For each chunk: strings found to be repeats, and those that are still open."""
         bits = B.answered(replies, self.buckets, name, 2)
-        split = np.unique(name[bits[:, 1]])
+        split = np.zeros(len(self.distinct), bool)
+        split[np.searchsorted(self.distinct, np.unique(name[bits[:, 1]]))] = True
         pair = join2(name, key)
         order = np.argsort(pair)
         pair = pair[order]
-        for c in self.chunks:
-            open_ = self.open_strings(kept, c)
-            at, nm, k, lo, hi = self.suffixes(open_, c)
+        for i, c in enumerate(self.chunks):
+            _, nm, k, lo, hi = self.found[i]
             found = np.searchsorted(pair, join2(nm, k))
             which = order[found] if len(order) else found
             mine = self.order[c.doc[lo]]
@@ -169,23 +185,19 @@ class Block:
             np.add.at(delta, lo[gone], 1)
             np.add.at(delta, hi[gone] + 1, -1)
             repeat = np.cumsum(delta[:-1]) > 0
-            still = np.zeros(len(c.valid), bool)
-            if len(split):
-                i = np.flatnonzero(open_ & ~repeat)
-                found = np.searchsorted(split, c.least[i])
-                found[found == len(split)] = 0
-                still[i[split[found] == c.least[i]]] = True
-            yield c, repeat, still
-
-    def strings(self, parts: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """Third refinement: distinct open strings and their smallest document."""
-        keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for c, _, still in parts:
-            at = np.flatnonzero(still)
-            keys.append(c.hashes(self.size, at))
-            docs.append(self.order[c.doc[at]])
-        (key,), doc, _ = B.least((np.concatenate(keys),), np.concatenate(docs))
-        return key, doc
+            yield c, repeat, ~repeat & self.strings_in(split, i)
+
+    def strings(self, parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Third refinement: bucket, hash and smallest document of the distinct open strings, and which of them each open string is."""
+        at = [np.flatnonzero(still) for _, _, still in parts]
+        some = [(c.least[x], c.hashes(self.size, x), self.order[c.doc[x]]) for (c, _, _), x in zip(parts, at, strict=True)]
+        name, key, doc = (np.concatenate([np.zeros(0, kind), *(x[k] for x in some)]) for k, kind in enumerate((np.uint64, np.uint64, np.int64)))
+        order = np.lexsort((doc, key, name))
+        first = group_starts(name[order], key[order])
+        which = np.zeros(len(name), np.int64)
+        which[order] = spread(np.arange(len(first)), first, len(order))
+        one = order[first]
+        return name[one], key[one], doc[one], which
 
 
 def suffix_dedup(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
@@ -200,32 +212,32 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
 
     def opened(b: Block, got: dict) -> np.ndarray:
         names, _ = b.names()
-        return names[B.answered(got.get(1, {}), buckets, names, 1)[:, 0]]
+        return B.answered(got.get(1, {}), buckets, names, 1)[:, 0]
 
     def second(block: int, tab: pa.Table, got: dict) -> Iterator[dict]:
         b = Block(tab, min_bytes, buckets)
         name, key, doc = b.spans(opened(b, got))
         yield from B.asked(block, buckets, name, None, key, doc)
 
-    def parts(b: Block, got: dict) -> Iterator[tuple]:
-        kept = opened(b, got)
-        return b.after_spans(kept, got.get(2, {}), *b.spans(kept))
+    def parts(b: Block, got: dict) -> list[tuple]:
+        return list(b.after_spans(got.get(2, {}), *b.spans(opened(b, got))))
 
     def third(block: int, tab: pa.Table, got: dict) -> Iterator[dict]:
         b = Block(tab, min_bytes, buckets)
-        key, doc = b.strings(parts(b, got))
-        yield from B.asked(block, buckets, key, None, key, doc)
+        name, key, doc, _ = b.strings(parts(b, got))
+        yield from B.asked(block, buckets, name, None, key, doc)
 
     def last(block: int, tab: pa.Table, got: dict) -> Iterator[dict]:
         b = Block(tab, min_bytes, buckets)
-        known = list(parts(b, got))
-        key, doc = b.strings(iter(known))
-        bits = B.answered(got.get(3, {}), buckets, key, 1)[:, 0]
-        done = 0
+        known = parts(b, got)
+        name, _, doc, which = b.strings(known)
+        bits = B.answered(got.get(3, {}), buckets, name, 2)[:, 0]
+        done = past = 0
         for c, repeat, still in known:
             at = np.flatnonzero(still)
-            which = np.searchsorted(key, c.hashes(min_bytes, at))
-            repeat[at[bits[which] | (doc[which] < b.order[c.doc[at]])]] = True
+            mine = which[past : past + len(at)]
+            past += len(at)
+            repeat[at[bits[mine] | (doc[mine] < b.order[c.doc[at]])]] = True
             delta = np.zeros(int(c.bounds[-1]) + 1, np.int32)
             starts = np.flatnonzero(repeat & c.valid)
             np.add.at(delta, starts, 1)
