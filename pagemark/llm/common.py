@@ -134,6 +134,20 @@ def mix(values: np.ndarray) -> np.ndarray:
     return out
 
 
+class Sums:
+    """Hashes of all stretches of a sequence of 64-bit hashes, each by two lookups."""
+
+    def __init__(self, values: np.ndarray, which: int = 0):
+        _, powers, self.inverses = _seeds(which, len(values) + 1)
+        self.sums = np.append(np.uint64(0), np.cumsum(mix(values) * powers[: len(values)]))
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of the stretches from lo to hi (not included)."""
+        out = self.sums[hi] - self.sums[lo]
+        out *= self.inverses[lo]
+        return mix(out)
+
+
 def join2(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Order-sensitive combination of two arrays of 64-bit hashes."""
     out = left * np.uint64(0x9E3779B97F4A7C15)
@@ -156,3 +170,14 @@ def group_starts(*sorted_keys: np.ndarray) -> np.ndarray:
 def spread(values: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """values of groups, one for each member."""
     return np.repeat(values, np.diff(np.append(starts, length)))
+
+
+def numbered(docs: np.ndarray, *keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted; the smallest document of each; whether several documents have it; which of them each row has."""
+    order = np.lexsort((docs, *reversed(keys)))
+    sorted_ = [k[order] for k in keys]
+    at = group_starts(*sorted_)
+    which = np.zeros(len(order), np.int64)
+    which[order] = spread(np.arange(len(at)), at, len(order))
+    first, last = order[at], order[np.append(at[1:], len(order))[: len(at)] - 1]
+    return [k[at] for k in sorted_], docs[first], docs[first] != docs[last], which

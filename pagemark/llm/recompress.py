@@ -12,8 +12,8 @@ it, and nothing that holds it is asked about later. So the symbols of later roun
 shared ones only, and reveal where repeats can be. The windows that have no closed symbol inside are
 then compared whole across all documents, by a second, independent hash of their words besides the first.
 
-Names are 64-bit hashes and may only fail to close a symbol when they collide. Windows are told apart by
-103 bits; two different ones among n are confused with a chance of n * n / 2**104.
+Names are hashes. Symbols have 64 bits, and when two collide they only fail to be closed. Words have 64 bits, and windows
+of different words 103; two of n words are confused with a chance of n * n / 2**65, two of n windows with n * n / 2**104.
 
 Nulls: a null text has no words and null ids count as larger than all others. Ties, repeated rows: rows
 with the same doc_id never remove each other's words; each gives its own result row. Texts with
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import group_starts, join2, mix, spread, word_hashes
+from .common import Sums, join2, mix, numbered, word_hashes
 
 RESULT = "doc_id long, mark long, n_words long, n_removed long, kept string"
 RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -50,8 +50,9 @@ class Symbols:
         edges = np.unique(bounds)
         at = np.arange(len(words)) + np.searchsorted(edges, np.arange(len(words)), "right")
         total = len(words) + len(edges)
-        self.words = np.zeros(total, np.uint64)
-        self.words[at] = mix(words)
+        held = np.zeros(total, np.uint64)
+        held[at] = words
+        self.sums = Sums(held)
         self.name, self.edge = np.zeros(total, np.uint64), np.ones(total, bool)
         self.name[at] = words
         self.edge[at] = False
@@ -69,7 +70,7 @@ class Symbols:
         last = first + size - 1
         self.name, self.edge = np.where(size > 1, join2(name[first], size.astype(np.uint64) * _RUN), name[first]), edge[first]
         # that a run ends is decided by the words beside it
-        self.lo, self.hi = np.maximum(self.lo[first] - 1, 0), np.minimum(self.hi[last] + 1, len(self.words))
+        self.lo, self.hi = np.maximum(self.lo[first] - 1, 0), np.minimum(self.hi[last] + 1, len(self.before) - 1)
 
     def pairs(self, step: int) -> None:
         name, edge, lo, hi = self.name, self.edge, self.lo, self.hi
@@ -93,12 +94,7 @@ class Symbols:
     def open(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Which symbols' spans fit in a window, and the names of those spans: all their words."""
         at = np.flatnonzero(~self.edge & (self.hi - self.lo <= size) & (self.before[self.hi] == self.before[self.lo]))
-        lo, long = self.lo[at], self.hi[at] - self.lo[at]
-        out = np.zeros(len(at), np.uint64)
-        for k in range(int(long.max(initial=0))):
-            more = np.flatnonzero(long > k)
-            out[more] = join2(out[more], self.words[lo[more] + k])
-        return at, out
+        return at, self.sums.of(self.lo[at], self.hi[at])
 
     def spans(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and end word of symbols."""
@@ -120,38 +116,35 @@ class Block:
         self.symbols, self.done = Symbols(self.words, self.bounds), 0
 
     def next_round(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Open symbols after one more round, the names of each; distinct names, and whether several documents here have each."""
+        """Open symbols after one more round, distinct names of theirs, whether several documents here have each, and which name each symbol has."""
         if not self.done:
             self.symbols.runs()
         self.symbols.pairs(self.done)
         self.done += 1
         at, name = self.symbols.open(self.size)
-        (names,), _, several = B.least((name,), self.order[self.doc[self.symbols.spans(at)[0]]])
-        return at, name, names, several
+        (names,), _, several, which = numbered(self.order[self.doc[self.symbols.spans(at)[0]]], name)
+        return at, names, several, which
 
-    def close(self, at: np.ndarray, name: np.ndarray, names: np.ndarray, shared: np.ndarray) -> None:
-        """Close the symbols whose names no other document has."""
-        off = at[~shared[np.searchsorted(names, name)]]
-        lo, hi = self.symbols.spans(off)
+    def close(self, at: np.ndarray, off: np.ndarray) -> None:
+        """Close those of the symbols whose names no other document has."""
+        at = at[off]
+        lo, hi = self.symbols.spans(at)
         n = len(self.valid)
-        np.add.at(self.closed, np.minimum(np.maximum(hi - self.size, 0), n), 1)
-        np.add.at(self.closed, np.minimum(lo + 1, n), -1)
-        self.symbols.edge[off] = True
+        self.closed += np.bincount(np.minimum(np.maximum(hi - self.size, 0), n), minlength=n + 1).astype(np.int32)
+        self.closed -= np.bincount(np.minimum(lo + 1, n), minlength=n + 1).astype(np.int32)
+        self.symbols.edge[at] = True
 
     def replay(self, replies: dict[int, dict[int, bytes]], rounds: int) -> None:
         """Do the first rounds, which have been answered."""
         for step in range(1, rounds + 1):
-            at, name, names, _ = self.next_round()
-            self.close(at, name, names, B.answered(replies.get(step, {}), self.buckets, names, 1)[:, 0])
+            at, names, _, which = self.next_round()
+            self.close(at, ~B.answered(replies.get(step, {}), self.buckets, names, 1)[which, 0])
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and two names of the windows without a closed symbol."""
         at = np.flatnonzero(self.valid & (np.cumsum(self.closed[:-1]) == 0))
-        out, check = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        one, two = mix(self.words), word_hashes(self.data, 1)[0]
-        for k in range(self.size):
-            out, check = join2(out, one[at + k]), join2(check, two[at + k])
-        return at, out, check
+        name = Sums(self.words).of(at, at + self.size)
+        return at, name, Sums(~self.words, 1).of(at, at + self.size)
 
 
 def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
@@ -164,7 +157,7 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
         def work(block: int, tab: pa.Table, got: dict) -> Iterator[dict]:
             b = Block(tab, size, buckets)
             b.replay(got, step - 1)
-            _, _, names, several = b.next_round()
+            _, names, several, _ = b.next_round()
             yield from B.asked(block, buckets, names, several)
 
         return work
@@ -173,21 +166,16 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
         b = Block(tab, size, buckets)
         b.replay(got, ROUNDS)
         at, window, check = b.windows()
-        (check_, key), doc, _ = B.least((check, window), b.order[b.doc[at]])
-        return b, at, window, check, key, check_, doc
+        (check, window), doc, _, which = numbered(b.order[b.doc[at]], check, window)
+        return b, at, check, window, doc, which
 
     def whole(block: int, tab: pa.Table, got: dict) -> Iterator[dict]:
-        *_, key, check, doc = open_windows(tab, got)
-        yield from B.asked(block, buckets, check, None, key, doc)
+        _, _, check, window, doc, _ = open_windows(tab, got)
+        yield from B.asked(block, buckets, check, None, window, doc)
 
     def last(block: int, tab: pa.Table, got: dict) -> Iterator[dict]:
-        b, at, window, check, key, check_, doc = open_windows(tab, got)
-        # distinct windows are sorted by both names
-        order = np.lexsort((window, check))
-        same = group_starts(check[order], window[order])
-        which = np.zeros(len(at), np.int64)
-        which[order] = spread(np.arange(len(same)), same, len(at))
-        repeat = at[B.answered(got.get(ROUNDS + 1, {}), buckets, check_, 2)[which, 0] | (doc[which] < b.order[b.doc[at]])]
+        b, at, check, _, doc, which = open_windows(tab, got)
+        repeat = at[B.answered(got.get(ROUNDS + 1, {}), buckets, check, 2)[which, 0] | (doc[which] < b.order[b.doc[at]])]
         delta = np.zeros(len(b.words) + 1, np.int32)
         np.add.at(delta, repeat, 1)
         np.add.at(delta, repeat + size, -1)

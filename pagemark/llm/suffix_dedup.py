@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import group_starts, join2, spread
+from .common import join2, numbered
 
 #: Bytes of documents that are hashed in one go, to stay in the processor's cache.
 CHUNK = 1 << 17
@@ -119,14 +119,9 @@ class Block:
         starts = [c.run[c.valid[c.run]] for c in self.chunks]
         name = np.concatenate([np.zeros(0, np.uint64), *(c.least[at] for c, at in zip(self.chunks, starts, strict=True))])
         doc = np.concatenate([np.zeros(0, np.int64), *(self.order[c.doc[at]] for c, at in zip(self.chunks, starts, strict=True))])
-        order = np.lexsort((doc, name))
-        at = group_starts(name[order])
-        last = np.append(at[1:], len(order))[: len(at)] - 1
-        self.distinct = name[order][at]
-        which = np.zeros(len(name), np.int64)
-        which[order] = spread(np.arange(len(at)), at, len(order))
+        (self.distinct,), _, several, which = numbered(doc, name)
         self.which = np.split(which, np.cumsum([len(x) for x in starts]))[: len(starts)]  #: number of the bucket of each run with strings
-        return self.distinct, doc[order][at] != doc[order][last]
+        return self.distinct, several
 
     def strings_in(self, buckets: np.ndarray, k: int) -> np.ndarray:
         """Strings of a chunk whose buckets are among some (a truth value for each bucket)."""
@@ -192,12 +187,8 @@ class Block:
         at = [np.flatnonzero(still) for _, _, still in parts]
         some = [(c.least[x], c.hashes(self.size, x), self.order[c.doc[x]]) for (c, _, _), x in zip(parts, at, strict=True)]
         name, key, doc = (np.concatenate([np.zeros(0, kind), *(x[k] for x in some)]) for k, kind in enumerate((np.uint64, np.uint64, np.int64)))
-        order = np.lexsort((doc, key, name))
-        first = group_starts(name[order], key[order])
-        which = np.zeros(len(name), np.int64)
-        which[order] = spread(np.arange(len(first)), first, len(order))
-        one = order[first]
-        return name[one], key[one], doc[one], which
+        (name, key), doc, _, which = numbered(doc, name, key)
+        return name, key, doc, which
 
 
 def suffix_dedup(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
