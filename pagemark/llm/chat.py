@@ -14,7 +14,9 @@ turn; the rendered pieces of a conversation, in order, are its text.
 
 Nulls: a null text is empty; a null role, like an unknown one, is guessed; null ids are one
 conversation, and a null turn comes first. Equal turns are ordered by role and text. An empty table
-gives an empty result. Other columns are ignored.
+gives an empty result. Very long texts are passed on whole. Other columns, whatever their names, are ignored.
+A conversation may be longer than a task can hold, so it is never put together in one row: its text is its
+turns' `rendered`, in the order of turn, role and text, one after the other.
 """
 
 from __future__ import annotations

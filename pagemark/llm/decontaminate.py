@@ -11,8 +11,9 @@ The benchmark is taken in parts of at most PART_CHARS characters (one item at le
 all tasks; a larger benchmark means more passes over the documents, not larger parts.
 
 Nulls: a null text has no words; an item without words is never met; a null item_id is ignored.
-Items with equal ids count once. Repeated document rows each give a row. Empty tables: no rows, or
-rows with nothing hit. Other columns are ignored.
+Items with equal ids count once. Repeated document rows each give a row. Ties: of equally rare tokens the first
+in the window is its prefix, which decides no hit. Very long texts are read whole, a text at a time. Empty tables: no
+rows, or rows with nothing hit. Other columns are ignored, or kept as they are by clean, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ generalised Jaccard similarity: the sum of the smaller weights over that of the
 
 Nulls: a null text is empty; null ids count as larger than all others. Texts without words have an
 empty fingerprint, which is like another empty one (1.0) and unlike all others (0.0). Repeated
-rows stand side by side in the order of (doc_id, text). A lone document is its own neighbour. An
-empty table gives an empty result. Other columns are ignored.
+rows stand side by side in the order of (doc_id, text). A lone document is its own neighbour. Very long texts are
+exploded into words as any other, and grouped in parts. An empty table gives an empty result. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -17,8 +17,10 @@ A pair at the least similarity shares no band with a chance of (1 - 0.8**4)**32
 
 Nulls: a null text, like one without words, has an empty set and is linked with nothing; a row with
 a null doc_id takes the component of the documents with the same set, if there are any. Fewer words than a shingle has are one shingle. Rows with
-the same doc_id are one document in the groups; each gives its own row. An empty table gives an
-empty result. Other columns are ignored.
+the same doc_id are one document in the groups; each gives its own row, and equal ones are compared once. Ties: of two hubs
+that meet as many, the smaller doc_id, then the smaller hash of the text, is the hub; that decides no link. Very long texts are
+read whole, a text at a time. An empty table gives an empty result. Other columns are ignored, or kept as they
+are by one_of_each, whatever their names.
 """
 
 from __future__ import annotations
@@ -246,6 +248,7 @@ def one_of_each(docs: DataFrame, size: int = 5, least: int = 80) -> DataFrame:
     heads = rows.groupBy("component_id", "a", "b", "n_shingles", F.when(~some, F.col("said")).alias("empty")).agg(F.min("said").alias("_said"))
     chosen = heads.select(F.coalesce("component_id", F.lit(0)).alias("_id"), F.col("component_id").isNull().alias("_none"), "_said").distinct()
     doc_id = F.col("doc_id").cast("long")
-    named = docs.withColumns({"_id": F.coalesce(doc_id, F.lit(0)), "_none": doc_id.isNull(), "_said": _said()})
-    equal = Window.partitionBy("_id", "_none", "_said").orderBy(F.xxhash64(*docs.columns))
-    return named.join(chosen, ["_id", "_none", "_said"], "left_semi").withColumn("_row", F.row_number().over(equal)).where("_row = 1").select(*docs.columns)
+    # the rows as one column, whatever the names in them
+    named = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_none"), _said().alias("_said"), F.xxhash64(*docs.columns).alias("_all"))
+    equal = Window.partitionBy("_id", "_none", "_said").orderBy("_all")
+    return named.join(chosen, ["_id", "_none", "_said"], "left_semi").withColumn("_row", F.row_number().over(equal)).where("_row = 1").select("doc.*")
