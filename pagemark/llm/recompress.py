@@ -38,7 +38,7 @@ from .common import Sums, join2, mix, numbered, word_hashes
 RESULT = "doc_id long, mark long, n_words long, n_removed long, kept string"
 RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 #: Rounds of pairing; a symbol spans up to 2 ** ROUNDS words, which must leave room in a window.
-ROUNDS = 3
+ROUNDS = 2
 _RUN = np.uint64(0xD6E8FEB86659FD93)
 
 
