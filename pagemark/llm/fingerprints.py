@@ -119,7 +119,8 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     filled = sorted(firsts)
     first = F.lit([firsts.get(b, -1) for b in range(len(bounds) + 1)])
     known = F.lit([b in firsts for b in range(len(bounds) + 1)])
-    before = F.lit([filled[filled.index(b) - 1] if b in firsts else 0 for b in range(len(bounds) + 1)])
+    previous = dict(zip(filled, filled[-1:] + filled[:-1], strict=True))
+    before = F.lit([previous.get(b, 0) for b in range(len(bounds) + 1)])
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST_ID)).alias("order")
     ).withColumn("bucket", _range_of(F.col("order"), bounds))
