@@ -1,6 +1,6 @@
 """Mathematical equality of answers with three values: equal, different, not provable (null).
 
-Solution sets are tokenised in Spark; distinct pairs only are compared, in exact arithmetic over
+Solution sets are tokenised in Spark and compared in exact arithmetic over
 a whitelisted grammar: numbers, names, + - * / **, unary signs, sqrt and parentheses. Values are
 quotients of polynomials with rational coefficients over names and square roots of square-free
 integers. What does not parse, or is too large, is null.
@@ -205,19 +205,26 @@ def same_sets(got: list[str] | None, want: list[str] | None) -> bool | None:
     return True
 
 
+#: Between the parts of a set on the way to a worker; no part holds it.
+BETWEEN = "\x1f"
+
+
+@lru_cache(maxsize=100_000)
+def _same_parts(got: str, want: str) -> bool | None:
+    return same_sets(got.split(BETWEEN), want.split(BETWEEN))
+
+
 def _equal(got: pd.Series, want: pd.Series) -> pd.Series:
-    return pd.Series([same_sets(a, b) for a, b in zip(got, want, strict=True)], dtype="object")
+    return pd.Series([None if a is None or b is None else _same_parts(a, b) for a, b in zip(got, want, strict=True)], dtype="object")
 
 
 def math_equal(student: Column, answer: Column) -> Column:
-    """Are two arrays of answers the same solution set?"""
-    return F.pandas_udf(_equal, "boolean")(solution_set(student), solution_set(answer))
+    """Are two arrays of answers the same solution set? Workers remember the pairs that they have compared."""
+    listed = lambda answers: F.array_join(F.transform(solution_set(answers), lambda p: F.translate(p, BETWEEN, "")), BETWEEN)
+    return F.pandas_udf(_equal, "boolean")(listed(student), listed(answer))
 
 
 def with_equality(df: DataFrame, student: str, answer: str, out: str) -> DataFrame:
-    """df with a column out: each distinct pair of the array columns is compared once."""
-    sides = {f"_math_{out}_a": F.col(student), f"_math_{out}_b": F.col(answer)}  # out isn't in df, so these aren't either
-    a, b = sides
-    pairs = df.select(*(c.alias(n) for n, c in sides.items())).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
-    known = pairs.select(a, b, math_equal(F.col(a), F.col(b)).alias(out))
-    return df.join(known, (df[student] == known[a]) & (df[answer] == known[b]), "left").drop(known[a], known[b])
+    """df with a column out: the comparison of two array columns, row by row where they are, without a shuffle; null if either is."""
+    both = F.col(student).isNotNull() & F.col(answer).isNotNull()
+    return df.withColumn(out, math_equal(F.when(both, F.col(student)), F.when(both, F.col(answer))))

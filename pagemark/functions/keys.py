@@ -26,7 +26,7 @@ def book_key(name: Column) -> Column:
 
 def picked_digits(text: Column) -> Column:
     """The distinct digits 1 to 9 of a text, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("[1-9]"), F.lit(0)))).cast("array<int>")
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit("[1-9]"), F.lit(0)))).cast("array<int>")
 
 
 def cleaned_reply(text: Column) -> Column:
@@ -40,7 +40,7 @@ def declined(text: Column) -> Column:
 
 def same_set(a: Column, b: Column) -> Column:
     """Do two arrays have the same elements, whatever their order and repeats?"""
-    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+    return F.sort_array(F.array_distinct(a)) == F.sort_array(F.array_distinct(b))
 
 
 def first_json(text: Column) -> Column:

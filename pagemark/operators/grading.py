@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.equivalence import with_equality
-from ..functions.keys import HOLD, MCQ, RIGHT, WRONG, book_key, picked_digits, same_set
+from ..functions.keys import HOLD, MCQ, RIGHT, WRONG, book_key, picked_digits
 
 # Reasons for a hold.
 UNCLEAR, NO_MARK, NOT_PARSED, BAD_KEY = "unclear reading", "unclear marking", "not parsed", "answer key is not a number"
@@ -23,10 +23,10 @@ def verdict(equal: Column) -> Column:
 
 
 def mcq_equal(picked: Column, answer: Column) -> Column:
-    """Is the set of picked digits the key's? Null without either, or if the key is not all numbers."""
+    """Is the set of picked digits (distinct ones) the key's? Null without either, or if the key is not all numbers."""
     key = F.transform(answer, lambda a: a.try_cast("int"))
     usable = (F.size(picked) > 0) & (F.size(key) > 0) & ~F.exists(key, lambda k: k.isNull())
-    return F.when(usable, same_set(picked, key))
+    return F.when(usable, F.sort_array(picked) == F.sort_array(F.array_distinct(key)))
 
 
 def infer_page(reads: DataFrame, answer_key: DataFrame) -> DataFrame:
@@ -58,11 +58,11 @@ def resolve_page(submissions: DataFrame, merged: DataFrame, answer_key: DataFram
 def grade_questions(questions: DataFrame) -> DataFrame:
     """questions with verdict, student_answer and detail, from qtype, answer and raw (the full-page reading; null if absent)."""
     raw, mcq = F.trim(F.coalesce("raw", F.lit(""))), F.col("qtype") == MCQ
-    picked = picked_digits(raw)
-    # columns that can clash with no other: they begin as no column here does
-    before = "_" + max((c for c in questions.columns), key=len)
-    said, equal_ = f"{before}_said", f"{before}_same"
-    rows = with_equality(questions.withColumn(said, F.when(~mcq & (raw != ""), F.array(raw))), said, "answer", equal_)
+    # columns that can clash with no other: longer than any here
+    before = "_" + max(questions.columns, key=len)
+    said, equal_, picks = f"{before}_said", f"{before}_same", f"{before}_picks"
+    rows = with_equality(questions.withColumns({said: F.when(~mcq & (raw != ""), F.array(raw)), picks: F.when(mcq, picked_digits(raw))}), said, "answer", equal_)
+    picked = F.col(picks)
     equal = F.when(mcq, mcq_equal(picked, F.col("answer"))).otherwise(F.col(equal_))
     marked = F.array_join(picked.cast("array<string>"), ",")
     detail = (

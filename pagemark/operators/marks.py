@@ -17,27 +17,28 @@ CIRCLED, BRACKETED = "①②③④⑤⑥⑦⑧⑨⑩", r"\(?[1-9]\)"
 SYMBOLS = {"pi": "π"}
 
 
-def _middle(values: Column) -> Column:
-    """Median of a sorted array."""
-    n = F.size(values)
-    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+def _middle_without(values: Column, n: Column, place: Column) -> Column:
+    """Median of a sorted array of n values without the one at place (from 0)."""
+    at = lambda k: F.get(values, k + F.when(k >= place, 1).otherwise(0))
+    low, high = F.floor((n - 2) / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    return (at(low) + at(high)) / 2
 
 
 def robust_z(scores: DataFrame, keys: list[str], item: str, score: str) -> DataFrame:
     """keys, item, score, z: distance from the median of the others, in their median absolute deviations (FLOOR at least).
 
-    A group is the choices of one question; an item without others has no row.
+    A group is the choices of one question, gathered once and sorted; the medians of the others follow from places. An item
+    without others, or without a score, has no row.
     """
-    group = scores.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(score).alias("s"), F.col(item).alias("i")))).alias("_all"))
-
-    def told(x: Column, k: Column) -> Column:
-        before, after = F.slice("_all", 1, k), F.slice("_all", k + 2, F.size("_all"))
-        others = F.filter(F.transform(F.concat(before, after), lambda y: y["s"].cast("double")), lambda y: y.isNotNull())
-        spread = F.array_sort(F.transform(others, lambda y: F.abs(y - _middle(others))))
-        return F.struct(x["i"].alias("i"), x["s"].alias("s"), ((x["s"] - _middle(others)) / F.greatest(_middle(spread), F.lit(FLOOR))).alias("z"))
-
-    each = group.where(F.size("_all") > 1).select(*keys, F.explode(F.transform("_all", told)).alias("_x"))
-    return each.select(*keys, F.col("_x.i").alias(item), F.col("_x.s").alias(score), F.col("_x.z").alias("z"))
+    some = F.collect_list(F.struct(F.col(score).alias("s"), F.col(item).alias("i")))
+    group = scores.where(F.col(score).isNotNull()).groupBy(*keys).agg(F.sort_array(some).alias("_items"))
+    each = group.where(F.size("_items") > 1).select(*keys, F.col("_items.s").cast("array<double>").alias("_all"), F.size("_items").alias("_n"), F.posexplode("_items").alias("_k", "_x"))
+    told = each.withColumn("_m", _middle_without(F.col("_all"), F.col("_n"), F.col("_k")))
+    off = told.withColumn("_off", F.sort_array(F.transform("_all", lambda x: F.abs(x - F.col("_m")))))
+    own = (F.array_position("_off", F.abs(F.col("_x.s").cast("double") - F.col("_m"))) - 1).cast("int")
+    spread = off.withColumn("_own", own).withColumn("_d", _middle_without(F.col("_off"), F.col("_n"), F.col("_own")))
+    z = (F.col("_x.s") - F.col("_m")) / F.greatest("_d", F.lit(FLOOR))
+    return spread.select(*keys, F.col("_x.i").alias(item), F.col("_x.s").alias(score), z.alias("z"))
 
 
 def marked_choices(z: DataFrame, keys: list[str], item: str) -> DataFrame:
