@@ -8,12 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word hashes that a Python worker remembers at most.
-CACHE_WORDS = 100_000
 #: Rows of a batch that are worked on at a time.
 FEW = 400
 
@@ -71,19 +68,6 @@ def table_lower_words() -> bytes:
     )
 
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash, remembered for the words met first."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 #: Bytes of texts whose words are hashed in one go.
 WORD_CHUNK = 1 << 18
 _BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))

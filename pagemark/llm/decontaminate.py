@@ -18,8 +18,9 @@ rows, or rows with nothing hit. Other columns are ignored, or kept as they are b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -161,21 +162,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     mark is a hash of the text.
     """
     given = _documents(docs)
-    found = [_occurrences(given, rows, size) for rows in _parts(benchmark)] or [_occurrences(given, [], size)]
-    if len(found) == 1:
-        merged = found[0].select("*", F.lit(1).alias("times"))
-    else:
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        merged = every.groupBy("doc_id", "mark").agg(
-            F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("starts")).alias("starts"),
-            F.flatten(F.collect_list("lengths")).alias("lengths"),
-            F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"),
-            (F.count("*") / len(found)).cast("int").alias("times"),
-        )
-    return merged.mapInArrow(_runs, "doc_id long, mark long, n_words long, n_hit long, runs array<struct<start:long,length:long>>, item_ids array<string>")
+    parts = _parts(benchmark)
+    first = next(parts, [])
+    second = next(parts, None)
+    if second is None:  # one pass tells all; no second Python worker is needed for its runs
+        return _occurrences(given, first, size, _runs, _RUNS)
+    found = [_occurrences(given, rows, size) for rows in chain([first, second], parts)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    merged = every.groupBy("doc_id", "mark").agg(
+        F.first("n_words").alias("n_words"),
+        F.flatten(F.collect_list("starts")).alias("starts"),
+        F.flatten(F.collect_list("lengths")).alias("lengths"),
+        F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"),
+        (F.count("*") / len(found)).cast("int").alias("times"),
+    )
+    return merged.mapInArrow(_runs, _RUNS)
+
+
+_FOUND = "doc_id long, mark long, n_words long, starts array<long>, lengths array<long>, item_ids array<string>"
+_RUNS = "doc_id long, mark long, n_words long, n_hit long, runs array<struct<start:long,length:long>>, item_ids array<string>"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,14 +198,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     runs.append({"start": start, "length": length})
             row |= {"runs": runs, "n_hit": sum(x["length"] for x in runs), "item_ids": sorted(row["item_ids"])}
             for x in out:
-                out[x] += [row[x]] * row["times"]
+                out[x] += [row[x]] * row.get("times", 1)
         yield pa.RecordBatch.from_arrays(
             [*(pa.array(out[x], pa.int64()) for x in ("doc_id", "mark", "n_words", "n_hit")), pa.array(out["runs"], kind), pa.array(out["item_ids"], pa.list_(pa.string()))], list(out)
         )
 
 
-def _occurrences(given: DataFrame, items: list[tuple[str, bytes]], size: int) -> DataFrame:
-    """doc_id, mark, n_words, starts, lengths, item_ids of one part of the benchmark."""
+def _occurrences(given: DataFrame, items: list[tuple[str, bytes]], size: int, then: Callable = iter, schema: str = _FOUND) -> DataFrame:
+    """doc_id, mark, n_words, starts, lengths, item_ids of one part of the benchmark; or what then makes of them."""
     part = given.sparkSession.sparkContext.broadcast(Part.of(items, size))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +261,7 @@ def _occurrences(given: DataFrame, items: list[tuple[str, bytes]], size: int) ->
                 ["doc_id", "mark", "n_words", "starts", "lengths", "item_ids"],
             )
 
-    return met.mapInArrow(match, "doc_id long, mark long, n_words long, starts array<long>, lengths array<long>, item_ids array<string>")
+    return met.mapInArrow(lambda batches: then(match(batches)), schema)
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, few, join2, keep, mix, partitions
+from .common import few, join2, keep, mix, partitions, word_hashes
 
 BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
@@ -40,19 +40,21 @@ PLACES = BANDS * ROWS
 SLICE = 1 << 15
 #: Documents that are held against a copy of their hub's text.
 SHARE = 256
-_WORDS = WordHashes()
 
 
-def shingles(text: bytes | None, size: int) -> np.ndarray:
-    """Hashes of a text's distinct shingles, sorted."""
-    words = _WORDS.of((text or b"").lower().split())
-    if not len(words):
-        return words
-    k = min(size, len(words))
-    out = mix(words[: len(words) - k + 1] + np.uint64(k))
-    for i in range(1, k):
-        out = join2(out, words[i : len(words) - k + 1 + i])
-    return np.unique(out)
+def shingles(texts: list[bytes | None], size: int) -> list[np.ndarray]:
+    """Hashes of each text's distinct shingles, sorted."""
+    words, counts = word_hashes([(x or b"").lower() for x in texts])
+    out = []
+    for own in np.split(words, np.cumsum(counts)[:-1]) if texts else ():
+        k = min(size, len(own))
+        if k:
+            made = mix(own[: len(own) - k + 1] + np.uint64(k))
+            for i in range(1, k):
+                made = join2(made, own[i : len(own) - k + 1 + i])
+            own = np.unique(made)
+        out.append(own)
+    return out
 
 
 def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
@@ -84,7 +86,7 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches):
-            sets = [shingles(x, size) for x in batch["data"].to_pylist()]
+            sets = shingles(batch["data"].to_pylist(), size)
             bits = signatures(sets).view(np.uint64).reshape(len(sets), BANDS, ROWS)
             key = mix(np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), BANDS)).copy())
             for k in range(ROWS):
@@ -116,13 +118,13 @@ def compared(pairs: DataFrame, docs: DataFrame, size: int, least: int) -> DataFr
         hub_set = np.zeros(0, np.uint64)
         for batch in few(batches):
             out: dict[str, list] = {x: [] for x in ("hub", "doc_id", "linked", "total", "added", "missing", "differ")}
-            for hub, hub_said, part, is_doc, doc_id, text in zip(*(batch[c].to_pylist() for c in ("hub", "hub_said", "part", "is_doc", "doc_id", "data")), strict=True):
+            facts = (batch[c].to_pylist() for c in ("hub", "hub_said", "part", "is_doc", "doc_id"))
+            for hub, hub_said, part, is_doc, doc_id, other in zip(*facts, shingles(batch["data"].to_pylist(), size), strict=True):
                 if not is_doc:  # comes before the documents of the part
-                    now, hub_set = (hub, hub_said, part), shingles(text, size)
+                    now, hub_set = (hub, hub_said, part), other
                     continue
                 if now != (hub, hub_said, part):
                     raise ValueError("a hub is missing")
-                other = shingles(text, size)
                 differ = np.setxor1d(hub_set, other, assume_unique=True)
                 both = (len(hub_set) + len(other) - len(differ)) // 2
                 values = (hub, doc_id, 100 * both >= least * (both + len(differ)) > 0, len(hub_set), len(other) - both, len(hub_set) - both, differ.view(np.int64))

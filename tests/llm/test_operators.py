@@ -204,8 +204,9 @@ def test_one_row_of_each_group_stays(spark, empty):
 
 def test_signatures_estimate_the_similarity():
     rng = random.Random(3)
-    a = minhash.shingles(" ".join(f"a{rng.randrange(10**6)}" for _ in range(300)).encode(), 1)
-    b = minhash.np.concatenate([a[:200], minhash.shingles(" ".join(f"b{i}" for i in range(100)).encode(), 1)])
+    said = lambda words: minhash.shingles([" ".join(words).encode()], 1)[0]
+    a = said(f"a{rng.randrange(10**6)}" for _ in range(300))
+    b = minhash.np.concatenate([a[:200], said(f"b{i}" for i in range(100))])
     x, y = minhash.signatures([a, b, a], 1024)[:2]
     assert abs((x == y).mean() - 0.5) < 0.06 and (minhash.signatures([a])[0] == minhash.signatures([b, a])[1]).all()
 
