@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pagemark import __main__ as job
 from pagemark.operators import grading, reads
 from pagemark.plans import report
 from pagemark.sources import answers
@@ -188,3 +189,18 @@ def test_status_report_and_response(spark, key):
     assert body["workSheetSource"] == "EXAM" and body["counts"] == {"O": 1, "X": 1, "HOLD": 0} and [r["question_no"] for r in body["results"]] == ["1", "2"]
     assert answer["3"] is None
     assert report.health(spark, False, True).first().asDict() == {"status": "ok", "ocr": False, "vlm": True}
+
+
+def test_job(spark, tmp_path):
+    (tmp_path / "books").mkdir()
+    (tmp_path / "books" / "a.json").write_text(json.dumps(BOOK))
+    page_reads(spark, [said("31", {"1": "4", "2": "5"})]).unionByName(page_reads(spark, [said("?", {"1": "4"})], "b")).write.parquet(f"{tmp_path}/reads")
+    asked = spark.createDataFrame([("a", "winter sheets", None), ("b", "winter sheets", None)], "img_id string, book string, page_hint string")
+    asked.write.parquet(f"{tmp_path}/asked")
+    given = ["--answers", f"{tmp_path}/books", "--reads", f"{tmp_path}/reads", "--submissions", f"{tmp_path}/asked", "--out", f"{tmp_path}/out"]
+    total = job.run(spark, job.arguments(given)).first()
+    assert (total.O, total.X, total.HOLD) == (2, 1, 5)
+    text = "".join(r.value for r in spark.read.text(f"{tmp_path}/out/reports").orderBy("value").collect())
+    assert "== a  (p.31)" in text and "== b  (p.31)" in text
+    total = job.run(spark, job.arguments([*given, "--image", "b", "--page", "32"])).first()
+    assert (total.O, total.X, total.HOLD) == (0, 0, 2)
