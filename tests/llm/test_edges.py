@@ -225,3 +225,39 @@ def test_digests_of_removed_text(spark):
     got = {r.doc_id: r for r in suffix_dedup.digest(suffix_dedup.suffix_dedup(df)).collect()}
     assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2, 3)] == [(0, 0), (len(text), 1), (0, 0)]
     assert got[2].kept_sha256 == hashlib.sha256(b"so ").hexdigest()
+
+
+def cheapest(roles):
+    """Least cost of a repair by shortest ways: states after each turn, with messages put in as steps of their own."""
+    ways = {chat.START: 0.0}
+    follows = {chat.START: (chat.SYSTEM, chat.USER), chat.SYSTEM: (chat.USER,), chat.USER: (chat.ASSISTANT,), chat.ASSISTANT: (chat.USER,)}
+
+    def inserted(ways):
+        out = dict(ways)
+        for _ in range(4):
+            for a, cost in list(out.items()):
+                for b in follows[a]:
+                    if b != chat.SYSTEM and cost + chat.INSERT < out.get(b, math.inf):
+                        out[b] = cost + chat.INSERT
+        return out
+
+    for role in roles:
+        known = chat.state_of(role)
+        after: dict = {}
+        for now, base in inserted(ways).items():
+            for new in (chat.SYSTEM, chat.USER, chat.ASSISTANT):
+                own = 0.0 if known == new else chat.RELABEL if known else chat.GUESS
+                step = 0.0 if new in follows[now] else chat.MERGE if new == now and now in ways else None
+                if step is not None:
+                    total = base + own + step if new != now else ways[now] + own + step
+                    after[new] = min(after.get(new, math.inf), total)
+        ways = after
+    return min(cost for state, cost in inserted(ways).items() if state in (chat.ASSISTANT, chat.START))
+
+
+def test_long_repairs_cost_as_little_as_can_be():
+    rng = random.Random(6)
+    for n in (0, 1, 2, 5, 8, 30, 300):
+        for _ in range(20):
+            roles = [rng.choice(["user", "assistant", "system", "gpt", "tool", None]) for _ in range(n)]
+            assert chat.repair(roles)[1] == pytest.approx(cheapest(roles))
