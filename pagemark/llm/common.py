@@ -37,9 +37,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder; what was shuffled for it is let go."""
+#: Shuffle partitions for each file of a slim table.
+SLIM = 4
+
+
+def keep(df: DataFrame, slim: bool = False) -> DataFrame:
+    """df, computed once and written to the shared folder; what was shuffled for it is let go.
+
+    slim: of a few numbers a row, so that a file can take SLIM shuffle partitions.
+    """
     spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    df = df.coalesce(max(1, partitions(spark) // SLIM)) if slim else df
     shared_folder(spark)
     before = spark.conf.get(name, "false")
     spark.conf.set(name, "true")

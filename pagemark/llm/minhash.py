@@ -146,13 +146,13 @@ def compared(pairs: DataFrame, docs: DataFrame, size: int, least: int) -> DataFr
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of all nodes of the edges (low, high)."""
-    both = keep(edges.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(edges.select(F.col("high").alias("u"), F.col("low").alias("v"))))
-    label = keep(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
+    both = keep(edges.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(edges.select(F.col("high").alias("u"), F.col("low").alias("v"))), slim=True)
+    label = keep(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")), slim=True)
     while True:
         seen = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("m"))
         least = label.join(seen, label["node"] == seen["u"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
         root = label.select(F.col("node").alias("root"), F.col("component").alias("above"))
-        jumped = keep(least.join(root, F.col("component") == F.col("root"), "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"), "old"))
+        jumped = keep(least.join(root, F.col("component") == F.col("root"), "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"), "old"), slim=True)
         label = jumped.select("node", "component")
         if jumped.where("component <> old").limit(1).count() == 0:
             return label
@@ -174,10 +174,10 @@ def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
     # of equal sets only the smallest document goes on
     first = F.min(F.struct("doc_id", "said", "bands"))
     classes = keep(sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a", "b", "n_shingles").agg(first.alias("h")).select("a", "b", "h.*"))
-    told = keep(compared(keep(_held_against_hubs(classes)), given.where("doc_id IS NOT NULL"), size, least))
+    told = keep(compared(keep(_held_against_hubs(classes), slim=True), given.where("doc_id IS NOT NULL"), size, least))
     label = components(told.where("linked").select(F.col("hub").alias("low"), F.col("doc_id").alias("high")))
     named = classes.select("a", "b", "doc_id").join(label, classes["doc_id"] == label["node"], "left").select("a", "b", F.coalesce("component", "doc_id").alias("component"))
-    more = keep(_later_links(told, label, least))
+    more = keep(_later_links(told, label, least), slim=True)
     if more.limit(1).count():
         # links between components join them as wholes
         above = components(more).select(F.col("node").alias("component"), F.col("component").alias("_above"))
@@ -191,7 +191,7 @@ def _held_against_hubs(classes: DataFrame) -> DataFrame:
     buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     # at most as many buckets as bands
     met = members.join(buckets, "band").groupBy("doc_id", "said").agg(F.sum("n").alias("weight"), F.collect_list("band").alias("bands"))
-    weighed = keep(met.select("doc_id", "said", "weight", F.explode("bands").alias("band")))
+    weighed = keep(met.select("doc_id", "said", "weight", F.explode("bands").alias("band")), slim=True)
     hubs = weighed.groupBy("band").agg(F.min_by(F.struct("doc_id", "said"), F.struct(-F.col("weight"), "doc_id", "said")).alias("h")).select("band", F.col("h.doc_id").alias("hub"), F.col("h.said").alias("hub_said"))
     other = (F.col("doc_id") != F.col("hub")) | (F.col("said") != F.col("hub_said"))
     return weighed.join(hubs, "band").where(other).select("hub", "hub_said", "doc_id", "said").distinct()
