@@ -55,3 +55,31 @@ c AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string([x FOR x, i IN w IF gone IS NULL OR NOT list_contains(gone, i)], ' '), '')) AS kept_sha256
 FROM d LEFT JOIN c USING (doc_id)"""
+
+OP12 = r"""
+WITH RECURSIVE b AS (
+  SELECT doc_id, source, text, rank() OVER (ORDER BY source NULLS FIRST) AS r,
+    concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+           coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+    list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), c -> [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                (a, x) -> CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS crc
+  FROM documents),
+d AS (SELECT *, dense_rank() OVER (ORDER BY r) AS s, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+        CASE WHEN crc & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS said FROM b),
+k AS (SELECT doc_id, s, leaf, sha256(head || coalesce(strlen(said) || ':' || said, '-')) AS tampered,
+        row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM d),
+t(s, level, i, h, n) AS (SELECT s, 0, i, leaf, n FROM k
+  UNION ALL SELECT s, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY s, level, i // 3, n),
+u AS (SELECT s, level AS top, h AS subroot FROM t WHERE n = 1),
+g(level, i, h, n) AS (SELECT 0, s - 1, subroot, count(*) OVER () FROM u
+  UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM g WHERE n > 1 GROUP BY level, i // 3, n),
+tr AS (SELECT s, level, i // 3 AS p, list(h ORDER BY i) AS hs FROM t WHERE n > 1 GROUP BY s, level, i // 3),
+gr AS (SELECT level, i // 3 AS p, list(h ORDER BY i) AS hs FROM g WHERE n > 1 GROUP BY level, i // 3),
+f(doc_id, s, leaf, level, i, v, sibs) AS (SELECT doc_id, s, leaf, 0, i, tampered, '' FROM k
+  UNION ALL SELECT doc_id, f.s, leaf, f.level + 1, i // 3, sha256(array_to_string(list_concat(hs[:i % 3], [v], hs[i % 3 + 2:]), '')),
+    sibs || array_to_string(list_concat(hs[:i % 3], hs[i % 3 + 2:]), '') FROM f JOIN tr ON tr.s = f.s AND tr.level = f.level AND tr.p = f.i // 3),
+e(doc_id, leaf, subroot, level, i, v, sibs) AS (SELECT doc_id, leaf, subroot, 0, f.s - 1, v, sibs FROM f JOIN u ON u.s = f.s AND u.top = f.level
+  UNION ALL SELECT doc_id, leaf, subroot, e.level + 1, i // 3, sha256(array_to_string(list_concat(hs[:i % 3], [v], hs[i % 3 + 2:]), '')),
+    sibs || array_to_string(list_concat(hs[:i % 3], hs[i % 3 + 2:]), '') FROM e JOIN gr ON gr.level = e.level AND gr.p = e.i // 3)
+SELECT doc_id, leaf, subroot, g.h AS root, sha256(sibs) AS proof_sha256, v AS folded_root, v = g.h AS verified
+FROM e JOIN g ON g.n = 1 AND g.level = e.level"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, language, minhash, oracles, packing, quality, recompress, suffix_dedup, wrappers
+from . import chat, decontaminate, fingerprints, language, merkle, minhash, oracles, packing, quality, recompress, suffix_dedup, wrappers
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -54,11 +54,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.digest(recompress.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_decontaminate, op3_suffix_dedup, op4_language, op5_near_dedup,
-        op6_quality, op7_chat, op8_main_text, op9_packing, op10_substring_dedup,
+        op6_quality, op7_chat, op8_main_text, op9_packing, op10_substring_dedup, op12_merkle,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -66,4 +70,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_suffix_dedup": oracles.OP3,
     "op5_near_dedup": oracles.OP5,
     "op10_substring_dedup": oracles.OP10,
+    "op12_merkle": oracles.OP12,
 }
