@@ -37,6 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that is spent, wherever Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Shuffle partitions for each file of a slim table.
 SLIM = 4
 

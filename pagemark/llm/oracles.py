@@ -61,8 +61,8 @@ WITH RECURSIVE b AS (
   SELECT doc_id, source, text, rank() OVER (ORDER BY source NULLS FIRST) AS r,
     concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
            coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
-    list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), c -> [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
-                (a, x) -> CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS crc
+    list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS crc
   FROM documents),
 d AS (SELECT *, dense_rank() OVER (ORDER BY r) AS s, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
         CASE WHEN crc & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS said FROM b),

@@ -34,6 +34,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": Tr
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
-class _Ids:
+class Coder:
     """Ids of a tokenizer's file, as little-endian bytes.
 
     Texts of ordinary characters are encoded by the faster of two libraries where ranks say that it gives the same
@@ -67,6 +68,13 @@ class _Ids:
         self.odd = re.compile("|".join([f"[^{ORDINARY}]", *map(re.escape, special)]))
         self.fast = None if ranks is None else tiktoken.Encoding("file", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
+    @classmethod
+    def of_file(cls, path: str, ranks: Broadcast[dict[bytes, int] | None]) -> Coder:
+        """The coder of a file, made once in a worker."""
+        if path not in _CODERS:
+            _CODERS[path] = cls(path, ranks.value)
+        return _CODERS[path]
+
     def of(self, text: str) -> bytes:
         if self.fast is None or self.odd.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -111,7 +119,7 @@ def _joined(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-_IDS: dict[str, _Ids] = {}
+_CODERS: dict[str, Coder] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
@@ -121,9 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
     ranks = docs.sparkSession.sparkContext.broadcast(merge_ranks(tokenizer))  # of the file's tokens
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _IDS:
-            _IDS[tokenizer] = _Ids(tokenizer, ranks.value)
-        coder = _IDS[tokenizer]
+        coder = Coder.of_file(tokenizer, ranks)
         end = np.array([END], "<u4").tobytes()
         row = 0
         for batch in few(batches):

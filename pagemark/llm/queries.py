@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, language, merkle, minhash, oracles, packing, quality, recompress, suffix_dedup, wrappers
-from .common import table
+from . import chat, decontaminate, fingerprints, language, merkle, minhash, oracles, packing, quality, recompress, suffix_dedup, token_files, wrappers
+from .common import discard, keep, shared_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -58,11 +59,18 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/ids-{uuid.uuid4()}"
+    found = keep(token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), folder))
+    discard(spark, folder)
+    return found
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_decontaminate, op3_suffix_dedup, op4_language, op5_near_dedup,
-        op6_quality, op7_chat, op8_main_text, op9_packing, op10_substring_dedup, op12_merkle,
+        op6_quality, op7_chat, op8_main_text, op9_packing, op10_substring_dedup, op12_merkle, op13_token_files,
     )
 }
 ORACLE_SQL: dict[str, str] = {

@@ -483,7 +483,7 @@ def test_packing(docs, empty):
 def test_ids_are_those_of_the_file():
     ranks = packing.merge_ranks(TOKENIZER)
     assert ranks is not None  # each token is made of the pair that the file lists
-    coder, rng = packing._Ids(TOKENIZER, ranks), random.Random(7)
+    coder, rng = packing.Coder(TOKENIZER, ranks), random.Random(7)
     texts = []
     for _ in range(400):
         text = "".join(chr(rng.choice([rng.randrange(128), rng.randrange(0x250), 32, 10, rng.randrange(0x2000, 0x2100), rng.randrange(0x4E00, 0x4F00)])) for _ in range(rng.randrange(50)))
@@ -492,7 +492,7 @@ def test_ids_are_those_of_the_file():
         c = chr(code)
         texts += [c, f"a{c}1", f" {c}", f"{c} {c}", f"x{c}{c}'s", f"1{c}\n"]
     want = [struct.pack(f"<{len(i)}I", *i) for i in (coder.tokenizer.encode(x, add_special_tokens=False).ids for x in texts)]
-    slow = packing._Ids(TOKENIZER, None)
+    slow = packing.Coder(TOKENIZER, None)
     assert [coder.of(x) for x in texts] == want == [slow.of(x) for x in texts]
 
 
