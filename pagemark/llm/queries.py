@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, language, merkle, minhash, oracles, packing, quality, recompress, suffix_dedup, token_files, wrappers
+from . import chat, decontaminate, fingerprints, language, merkle, minhash, oracles, packing, quality, recompress, suffix_dedup, token_files, whitening, wrappers
 from .common import discard, keep, shared_folder, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -55,6 +55,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.digest(recompress.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_documents(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_decontaminate, op3_suffix_dedup, op4_language, op5_near_dedup,
-        op6_quality, op7_chat, op8_main_text, op9_packing, op10_substring_dedup, op12_merkle, op13_token_files,
+        op6_quality, op7_chat, op8_main_text, op9_packing, op10_substring_dedup, op11_whitening, op12_merkle, op13_token_files,
     )
 }
 ORACLE_SQL: dict[str, str] = {
