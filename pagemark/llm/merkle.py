@@ -222,7 +222,7 @@ def _dealt(leaves: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 def node_records(leaves: DataFrame) -> DataFrame:
     """tree, height, index, digest of all nodes above the leaves; leaves as for `grown`. For manifests that list their nodes."""
-    return grown(leaves, records=True).shared.select("tree", "height", "index", "digest")
+    return grown(leaves, records=True).shared.where(F.col("kind") == MADE).select("tree", "height", "index", "digest")
 
 
 def grown(leaves: DataFrame, records: bool = False) -> Grown:

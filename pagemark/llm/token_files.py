@@ -39,7 +39,7 @@ from .packing import END, Coder, merge_ranks
 #: Bits of the sum of frequencies; a vocabulary may be half as large.
 SCALE = 19
 #: States that take turns, steps between checkpoints, ids of a block and blocks of a file.
-LANES, CHECKPOINT, BLOCK, FILE_BLOCKS = 1024, 256, 1 << 20, 128
+LANES, CHECKPOINT, BLOCK, FILE_BLOCKS = 2048, 256, 1 << 21, 64
 #: Ids of a lane at least, so that states of short blocks do not outweigh their words.
 LANE_IDS = 64
 #: Least state between steps; a state is less than LOW << WORD.
@@ -76,12 +76,12 @@ class Table:
 
     def __post_init__(self) -> None:
         self.scale = int(self.frequency.sum()).bit_length() - 1
-        first = np.cumsum(self.frequency) - self.frequency
-        self.size = self.frequency.astype(np.float64)
-        self.first = first.astype(np.float64)
-        self.id = np.repeat(np.arange(len(self.frequency), dtype=np.uint32), self.frequency)
-        self.width = self.frequency[self.id]
-        self.offset = np.arange(len(self.id)) - first[self.id]
+        self.first = np.cumsum(self.frequency) - self.frequency
+        self.id = np.repeat(np.arange(len(self.frequency), dtype=np.uint16 if len(self.frequency) <= 1 << 16 else np.uint32), self.frequency)
+        # for coding, in floating point
+        total = float(1 << max(0, self.scale))
+        self.size, self.start = self.frequency.astype(np.float64), self.first.astype(np.float64)
+        self.most, self.rest = self.size * (float(LOW << WORD) / total), total - self.size
 
 
 @dataclass
@@ -94,18 +94,18 @@ class Segment:
 def encoded(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = CHECKPOINT) -> list[Segment]:
     """Segments of a block, in order. States stay below 2**52, so floating point is exact."""
     x = np.full(lanes, float(LOW))
-    total, most = float(1 << table.scale), float(LOW << WORD) / (1 << table.scale)
+    unit = float(1 << WORD)
     steps = -(-len(ids) // lanes)
     out, words = [], []
     for step in range(steps - 1, -1, -1):
         s = ids[step * lanes : (step + 1) * lanes]
         some = x[: len(s)]
-        size = table.size[s]
-        full = some >= size * most
-        high = np.floor(some[full] / (1 << WORD))
-        words.append((some[full] - high * (1 << WORD)).astype(np.uint32))
+        full = np.flatnonzero(some >= table.most.take(s))
+        low = some[full]
+        high = np.floor(low / unit)
+        words.append((low - high * unit).astype(np.uint32))
         some[full] = high
-        some += np.floor(some / size) * (total - size) + table.first[s]
+        some += np.floor(some / table.size.take(s)) * table.rest.take(s) + table.start.take(s)
         if step % every == 0:
             out.append(Segment(x.astype(np.int64), np.concatenate(words[::-1]), min(len(ids), (step + every) * lanes) - step * lanes))
             words = []
@@ -115,19 +115,21 @@ def encoded(ids: np.ndarray, table: Table, lanes: int = LANES, every: int = CHEC
 def decoded(segment: Segment, table: Table) -> np.ndarray:
     """The ids of a segment."""
     x, words, lanes, at = segment.states.copy(), segment.words.astype(np.int64), len(segment.states), 0
-    out = np.empty(segment.n, np.uint32)
+    out = np.empty(segment.n, table.id.dtype)
     mask = (1 << table.scale) - 1
     for k in range(0, segment.n, lanes):
         some = x[: min(lanes, segment.n - k)]
         slot = some & mask
-        out[k : k + len(some)] = table.id[slot]
+        s = table.id.take(slot)
+        out[k : k + len(s)] = s
         some >>= table.scale
-        some *= table.width[slot]
-        some += table.offset[slot]
+        some *= table.frequency.take(s)
+        some += slot
+        some -= table.first.take(s)
         low = np.flatnonzero(some < LOW)
         some[low] = (some[low] << WORD) | words[at : at + len(low)]
         at += len(low)
-    return out
+    return out.astype(np.uint32)
 
 
 # ---------------------------------------------------------------- files
@@ -218,11 +220,11 @@ def read_table(folder: str) -> Table:
 
 # ---------------------------------------------------------------- Spark
 
-_TOKENS = "part long, doc_id long, ids binary"
+_TOKENS = "part long, doc_id long, wide boolean, ids binary"
 
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """part, doc_id, ids (little-endian unsigned 32-bit, with END) of each row: ranges of ids, in order inside a part."""
+    """part, doc_id, ids (little-endian, unsigned, with END; of 16 bits, or where wide of 32) of each row: ranges of ids, in order inside a part."""
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     # rows of one id or one text are told apart, so that no range is all of them
@@ -233,26 +235,36 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = Coder.of_file(tokenizer, ranks), np.array([END], "<u4").tobytes()
         for batch in few(batches):
-            ids = pa.array([coder.of(x) + end for x in batch["text"].to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["part"], batch["doc_id"], ids], ["part", "doc_id", "ids"])
+            wide, narrow = [], []
+            for text in batch["text"].to_pylist():
+                ids = np.frombuffer(coder.of(text) + end, "<u4")
+                wide.append(bool(ids.max() >> 16))
+                narrow.append(ids.tobytes() if wide[-1] else ids.astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch["part"], batch["doc_id"], pa.array(wide), pa.array(narrow, pa.binary())], ["part", "doc_id", "wide", "ids"])
 
     return dealt.mapInArrow(work, _TOKENS)
 
 
+def _ids(wide: bool, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if wide else "<u2")
+
+
 def id_counts(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs; no more rows than the vocabulary come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            own = np.bincount(np.frombuffer(b"".join(batch["ids"].to_pylist()), "<u4")) if len(batch) else total[:0]
-            longer, shorter = (own, total) if len(own) > len(total) else (total, own)
-            longer[: len(shorter)] += shorter
-            total = longer
+            wide, data = batch["wide"].to_pylist(), batch["ids"].to_pylist()
+            for kind in (False, True):
+                own = np.bincount(_ids(kind, b"".join(x for w, x in zip(wide, data, strict=True) if w == kind)))
+                longer, shorter = (own, total) if len(own) > len(total) else (total, own)
+                longer[: len(shorter)] += shorter
+                total = longer
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.select("wide", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(int(rows["id"].to_numpy().max()) + 1 if len(rows) else 0, np.int64)
     out[rows["id"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -276,9 +288,9 @@ def write_ids(tokens: DataFrame, folder: str) -> int:
             held, docs, sizes, size, back = [], [], [], 0, before
 
         for batch in few(batches):
-            for doc_id, data in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+            for doc_id, wide, data in zip(batch["doc_id"].to_pylist(), batch["wide"].to_pylist(), batch["ids"].to_pylist(), strict=True):
                 out = out or Writer(folder, batch["part"][0].as_py(), table)
-                ids, done = np.frombuffer(data, "<u4"), 0
+                ids, done = _ids(wide, data), 0
                 while done < len(ids):
                     some = ids[done : done + BLOCK - size]
                     held.append(some)
@@ -373,7 +385,7 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
         if file is not None:
             file.close()
 
-    found = dealt.mapInArrow(work, _PIECES)
+    found = keep(dealt.mapInArrow(work, _PIECES))  # a few numbers a document, used twice; files are decoded once
     whole = found.where("whole").select("doc_id", "none", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     # documents that several segments share: a few for each segment
     parts = found.where("NOT whole").groupBy("start").agg(
