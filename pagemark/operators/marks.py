@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import HOLD, RIGHT, WRONG
+from ..sources.shared import kept
 
 # Least spread of scores, z of a mark, gap to the runner-up, space between pieces, least side and confidence.
 FLOOR, MARK, GAP, NEAR, SIDE, SURE = 0.02, 2.5, 1.0, 30, 12, 0.5
@@ -167,10 +168,9 @@ def merge_rects(rects: DataFrame, keys: list[str], near: int = NEAR) -> DataFram
     Only rectangles that touch the same cell of a grid, as wide as the largest of the group, are compared.
     """
     sides = ("x1", "y1", "x2", "y2")
-    saved = rects.sparkSession.sparkContext.getCheckpointDir() is not None
-    now, before = rects.select(*keys, *sides).distinct(), None
+    now = rects.select(*keys, *sides).distinct()
     while True:
-        now = now.checkpoint() if saved else now.persist()
+        now = kept(now)
         wide = now.groupBy(*keys).agg(F.greatest(F.lit(near), F.max(F.col("x2") - F.col("x1")), F.max(F.col("y2") - F.col("y1"))).alias("_w"))
         touched = lambda a, b, pad: F.sequence(F.floor((F.col(a) - pad) / F.col("_w")), F.floor((F.col(b) + pad) / F.col("_w")))
         cells = lambda df, pad: df.join(wide, keys).withColumn("_cx", F.explode(touched("x1", "x2", pad))).withColumn("_cy", F.explode(touched("y1", "y2", pad))).drop("_w")
@@ -180,11 +180,9 @@ def merge_rects(rects: DataFrame, keys: list[str], near: int = NEAR) -> DataFram
         hull = met.groupBy(*keys, *sides).agg(F.min("ox1").alias("a"), F.min("oy1").alias("b"), F.max("ox2").alias("c"), F.max("oy2").alias("d"))
         grown = hull.select(*keys, *(F.col(x).alias(y) for x, y in zip("abcd", sides, strict=True)), (F.struct(*"abcd") != F.struct(*sides)).alias("_grew"))
         more = grown.where("_grew").limit(1).count() > 0
-        if before is not None and not saved:
-            before.unpersist()
         if not more:
             return now
-        now, before = grown.drop("_grew").distinct(), now
+        now = grown.drop("_grew").distinct()
 
 
 def answer_area(rects: DataFrame, keys: list[str], least: int = SIDE) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Picture kernels over Spark's image column, in numpy inside tasks, and reader providers.
+"""What turns pictures of Spark's image column into pictures, in numpy inside tasks, and reader providers. What is measured on them is in `capture` and `ink`.
 
 An undecodable picture has height -1. Pictures are expected upright (no EXIF rotation).
 """
@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Least blur score and page share of a capture, share of a page's outline, reader's tries and pause.
-BLUR, PAGE, OUTLINE, TRIES, PAUSE = 60.0, 0.30, 0.30, 2, 1.5
-UNREADABLE, BLURRED, NO_PAGE, FINE = "unreadable picture", "too blurred", "no page found", "ok"
+from .capture import GRAY, page_corners, pixel_rows
+
+# A reader's tries and pause.
+TRIES, PAUSE = 2, 1.5
 
 
 def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
@@ -26,66 +27,16 @@ def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
 
 
 def gray(picture: np.ndarray) -> np.ndarray:
-    return np.rint(picture @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
-
-
-def smoothed(g: np.ndarray) -> np.ndarray:
-    """5 x 5 binomial filter."""
-    k = np.array([1, 4, 6, 4, 1]) / 16
-    wide = np.pad(g.astype(float), 2, mode="reflect") if min(g.shape) > 2 else np.pad(g.astype(float), 2, mode="edge")
-    rows = sum(k[i] * wide[i : i + g.shape[0]] for i in range(5))
-    return np.rint(sum(k[i] * rows[:, i : i + g.shape[1]] for i in range(5))).astype(np.uint8)
-
-
-def otsu(g: np.ndarray) -> int:
-    """Threshold with the largest variance between the two sides."""
-    n = np.bincount(g.ravel(), minlength=256).astype(float)
-    low, total = np.cumsum(n), n.sum()
-    mass = np.cumsum(n * np.arange(256))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        between = (mass[-1] * low / total - mass) ** 2 / (low * (total - low))
-    return int(np.nanargmax(np.where(np.isfinite(between), between, -1)))
-
-
-def blur_score(g: np.ndarray) -> float:
-    """Population variance of the Laplacian."""
-    p = np.pad(g.astype(float), 1, mode="reflect") if min(g.shape) > 1 else np.pad(g.astype(float), 1, mode="edge")
-    return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var())
-
-
-def page_share(g: np.ndarray) -> float:
-    """Share of the bright side of a smoothed picture."""
-    s = smoothed(g)
-    return float((s > otsu(s)).mean()) if s.min() != s.max() else float(s.flat[0] > 0)
-
-
-def ordered_corners(points: np.ndarray) -> np.ndarray:
-    """Top left, top right, bottom right, bottom left of four (x, y)."""
-    total, slope = points.sum(axis=1), points[:, 1] - points[:, 0]
-    return points[[total.argmin(), slope.argmin(), total.argmax(), slope.argmax()]]
-
-
-def page_corners(g: np.ndarray) -> np.ndarray | None:
-    """Corners of the bright region's hull, if it fills OUTLINE of the picture and its four extremes hold most of it."""
-    s = smoothed(g)
-    y, x = np.nonzero(s > otsu(s))
-    if len(x) < OUTLINE * s.size:
-        return None
-    points = np.stack([x, y], axis=1).astype(float)
-    corners = ordered_corners(points)
-    a, b = corners, np.roll(corners, -1, axis=0)
-    area = abs((a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1]).sum()) / 2
-    return corners if area >= max(OUTLINE * s.size, 0.9 * len(x)) else None
+    return ((picture.astype(np.int64) @ np.array(GRAY) + (1 << 13)) >> 14).astype(np.uint8)
 
 
 def warped(picture: np.ndarray, corners: np.ndarray) -> np.ndarray:
-    """The quadrilateral as a rectangle of its longer sides (nearest pixels)."""
-    tl, tr, br, bl = corners
-    w = int(max(np.linalg.norm(br - bl), np.linalg.norm(tr - tl)))
-    h = int(max(np.linalg.norm(tr - br), np.linalg.norm(tl - bl)))
+    """The quadrilateral (from the top left, clockwise) as a rectangle of its longer sides (nearest pixels)."""
+    sides = np.hypot(*(np.roll(corners, -1, axis=0) - corners).T)  # top, right, bottom, left
+    w, h = (int(max(sides[k], sides[k + 2])) for k in (0, 1))
     if w < 2 or h < 2:
         return picture
-    to = np.array([[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]], float)
+    to = np.array([(0, 0), (1, 0), (1, 1), (0, 1)]) * np.array([w - 1.0, h - 1.0])
     rows, right = [], []
     for (u, v), (x, y) in zip(to, corners, strict=True):
         rows += [[u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y]]
@@ -118,62 +69,28 @@ def contrasted(g: np.ndarray, tiles: int = 8, clip: float = 2.0) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
-def preprocessed(picture: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Colour and contrast-normalised gray picture, straightened if a page's outline is found."""
-    corners = page_corners(gray(picture))
-    colour = picture if corners is None else warped(picture, corners)
-    return colour, contrasted(gray(colour))
+def straightened(images: DataFrame, corners: DataFrame | None = None) -> DataFrame:
+    """path, height, width, colour (blue first), gray (contrast-normalised) of pictures (path, image), straightened where corners (img_id, corners) are known.
 
+    corners as of `capture.page_corners`; that is looked up if none are given.
+    """
+    if corners is None:
+        corners = page_corners(pixel_rows(images))
+    given = images.select("path", *(F.col(f"image.{x}") for x in ("height", "width", "nChannels", "data"))).where("height > 0 AND width > 0")
+    both = given.join(corners.select(F.col("img_id").alias("path"), "corners"), "path", "left")
 
-def distances(ink: np.ndarray) -> np.ndarray:
-    """Distance of each ink pixel to the nearest pixel without ink (exact; infinite if there is none)."""
-    h, w = ink.shape
-    down = np.where(ink, np.inf, 0.0)
-    for y in range(1, h):
-        down[y] = np.minimum(down[y], down[y - 1] + 1)
-    for y in range(h - 2, -1, -1):
-        down[y] = np.minimum(down[y], down[y + 1] + 1)
-    across = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2
-    return np.sqrt(np.stack([(row[None, :] ** 2 + across).min(axis=1) for row in down])) if h and w else down
-
-
-def stroke_spread(ink: np.ndarray) -> float:
-    """Population deviation of the ink's distances to its edge; 0 without ink."""
-    found = distances(ink)
-    found = found[(found > 0) & np.isfinite(found)]
-    return float(found.std()) if found.size else 0.0
-
-
-def _each(df: DataFrame, kernel: Callable[[np.ndarray], tuple], schema: str, missing: tuple) -> DataFrame:
-    """path and the kernel's columns for each picture of df (path, image)."""
-    names = [x.split()[0] for x in schema.split(",")]
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, h, w, c, data in frame.itertuples(index=False):
-                rows.append((path, *(kernel(pixels(h, w, c, data)) if h is not None and h > 0 and w > 0 else missing)))
-            yield pd.DataFrame(rows, columns=["path", *names])
-
-    given = df.select("path", *(F.col(f"image.{x}") for x in ("height", "width", "nChannels", "data")))
-    return given.mapInPandas(work, f"path string, {schema}")
-
-
-def capture_check(images: DataFrame) -> DataFrame:
-    """path, ok, reason of each picture (path, image)."""
-
-    def kernel(p: np.ndarray) -> tuple[bool, str]:
-        g = gray(p)
-        if blur_score(g) < BLUR:
-            return False, BLURRED
-        return (True, FINE) if page_share(g) >= PAGE else (False, NO_PAGE)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                picture = pixels(x["height"], x["width"], x["nChannels"], x["data"])
+                if x["corners"] is not None:
+                    picture = warped(picture, np.array([(c["x"], c["y"]) for c in x["corners"]], float))
+                yield pa.RecordBatch.from_pylist([{"path": x["path"], "height": picture.shape[0], "width": picture.shape[1], "colour": picture.tobytes(), "gray": contrasted(gray(picture)).tobytes()}], _STRAIGHT)
 
-    return _each(images, kernel, "ok boolean, reason string", (False, UNREADABLE))
+    return both.mapInArrow(work, "path string, height int, width int, colour binary, gray binary")
 
 
-def scores(images: DataFrame) -> DataFrame:
-    """path, blur, page of each picture; nulls for one that can't be read."""
-    return _each(images, lambda p: (blur_score(gray(p)), page_share(gray(p))), "blur double, page double", (None, None))
+_STRAIGHT = pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("colour", pa.binary()), ("gray", pa.binary())])
 
 
 def crops(images: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import keys as K
 from ..functions.equivalence import with_equality
 from ..operators import grading, layout, marks, reads
 from ..sources.answers import mapped_questions
-from . import mark_queries, page_queries  # noqa: F401  they add their queries
+from . import ink_queries, mark_queries, page_queries  # noqa: F401  they add their queries
 from .registry import ORACLE_SQL, QUERIES, query
 from .registry import table as _table
 

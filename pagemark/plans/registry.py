@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import own_folder
+
+__all__ = ["ORACLE_SQL", "QUERIES", "own_folder", "query", "table"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,13 +27,3 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir; on one machine, where that is not set, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="queries-")
-    return f"{shared}/{name}-{uuid.uuid4()}"

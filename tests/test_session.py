@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemark.operators import vision
+from pagemark.operators import capture, vision
 from pagemark.sources.answers import images
 from pagemark.streaming.session import finish, page_results, start_session
 
@@ -34,14 +34,14 @@ def folder(tmp_path):
 
 
 def test_gate(spark, folder):
-    got = {r.path.rsplit("/", 1)[1]: (r.ok, r.reason) for r in vision.capture_check(images(spark, str(folder / "in"))).collect()}
-    assert got == {"good.png": (True, vision.FINE), "flat.PNG": (False, vision.BLURRED), "broken.jpg": (False, vision.UNREADABLE)}
+    got = {r.path.rsplit("/", 1)[1]: (r.ok, r.reason) for r in capture.capture_check(images(spark, str(folder / "in"))).collect()}
+    assert got == {"good.png": (True, capture.FINE), "flat.PNG": (False, capture.BLURRED), "broken.jpg": (False, capture.UNREADABLE)}
 
 
 @pytest.mark.parametrize("fails", [False, True])
 def test_session(spark, folder, fails):
     def gate(paths):
-        return vision.capture_check(images(spark, str(folder / "in"))).join(paths.select(F.regexp_replace("path", "^file:/+", "/").alias("_p")), F.regexp_replace("path", "^file:/+", "/") == F.col("_p")).drop("_p")
+        return capture.capture_check(images(spark, str(folder / "in"))).join(paths.select(F.regexp_replace("path", "^file:/+", "/").alias("_p")), F.regexp_replace("path", "^file:/+", "/") == F.col("_p")).drop("_p")
 
     def grade(paths):
         if fails:
@@ -74,22 +74,6 @@ def test_a_page_that_fails_is_held_alone(spark, tmp_path):
     assert got == {"a.png": (1, False), "b.png": (0, True), "c.png": (1, False), "d.png": (1, False)}
 
 
-def test_geometry():
-    corners = vision.ordered_corners(np.array([[90, 95], [10, 12], [88, 10], [12, 90]], float))
-    assert corners.tolist() == [[10, 12], [88, 10], [90, 95], [12, 90]]
-    picture = np.zeros((120, 120, 3), np.uint8)
-    picture[10:110, 20:100] = 255
-    colour, gray = vision.preprocessed(picture)
-    assert abs(colour.shape[0] - 100) < 6 and abs(colour.shape[1] - 80) < 6 and gray.shape == colour.shape[:2]
-
-
-def test_strokes():
-    ink = np.zeros((9, 9), bool)
-    ink[2:7, 2:7] = True
-    assert vision.distances(ink)[4, 4] == 3 and vision.distances(ink)[2, 2] == 1 and vision.distances(ink)[0, 0] == 0
-    assert vision.stroke_spread(np.zeros((3, 3), bool)) == 0 and vision.stroke_spread(ink) > 0.5
-
-
 def test_reader_never_raises(spark):
     calls = spark.createDataFrame([("a", "math", "1", b"x"), ("b", "math", "1", b"y")], "img_id string, kind string, question_no string, data binary")
 
