@@ -6,17 +6,22 @@ becomes an optional group, and a text that differs becomes a slot. Wrappers are
 each task folds and aligns the pages that it has of a host, then the partial wrappers of the host
 are aligned with each other, over rounds of fixed fan-in, so no task holds a host's pages.
 
-The main text is found in a tree of the elements that hold sections (div, section, article, main):
-from the page down, as long as one child's whole subtree has more than half of the slot text. Slot
-text of an element is its mean over the host's pages that have it, from the wrapper, without the
-host's own texts; an article or main element counts WEIGHT times. So an article element is one that
-is likely, not one that is taken for itself. Where a page has none of the host's usual elements, its
-own are weighed. Left out are menus, headers of the page, footers, sidebars, notices, adverts, forms,
-reader comments and markup, and outside an article also texts that the wrapper has as
-they stand, outside its optional groups: those that all pages of the host share, if at least SURE of
-them differ. Streams of any length are aligned. What is optional once stays so, and tells neither
-which texts are the host's own nor where the main text is; so a long wrapper keeps of its optional
-groups only that they are there, and grows no longer with the pages of its host. Which pages differ is told by hashes of their texts, a bounded set that is merged over
+The main text is found in a tree of the elements that hold sections (div, section, article, main): from the page down, as long as one
+child's whole subtree has more than half of the slot text. Slot text of an element is its mean over the host's pages that have it, from the
+wrapper, without the host's own texts; an article or main element counts WEIGHT times. So an article element is one
+that is likely, not one that is taken for itself. The way down ends at an article or main element, and at an element that holds
+paragraphs or headings of its own: those are parts of the text, and so are all of its sections. What stands before a
+chosen section with a main heading is its title and is kept. Where a page has none of the host's usual elements, its own are weighed.
+
+Left out are menus, headers of the page, footers, sidebars, notices, adverts, forms and markup, known by their elements and names; what is not
+shown; texts that the wrapper has as they stand, outside its optional groups, also inside an article: those that all pages of the host share, if at least
+SURE of them differ, except a heading with the page's own text below it. By their structure go reader comments, neighbours of one kind that each
+begin with a short line and tell an author and a date, with what little stands around them, and outside an article lists of links. Names that may also
+be those of a text (tags, search, related) only count where there is no sentence that is not a link.
+
+Streams of any length are aligned, by the items that all pages have; what is optional once stays so, and tells neither
+which texts are the host's own nor where the main text is. A gap shows the longest group that a page has there, so a wrapper grows no longer
+with the pages of its host. Which pages differ is told by hashes of their texts, a bounded set that is merged over
 tasks. A page without texts tells nothing of its host and is not aligned.
 
 Very long pages are read whole, a page at a time. Ties between regions go to the first by their labels.
@@ -49,8 +54,10 @@ FAN = 64
 SURE = 4
 #: How much more text in an article or main element counts when the main region is chosen.
 WEIGHT = 2
-#: Items of a wrapper beyond which it forgets what its optional groups hold; that decides nothing.
-LONGEST = 4_000
+#: Words of a sentence, characters of a line with an author or a date, and of what stands around comments.
+SENTENCE, LINE, AROUND = 12, 60, 80
+#: Share of characters in links, and how many links, of a list of links.
+LINKED, LINKS = 0.7, 3
 #: Items that are aligned at once; longer streams are first split where a longest common subsequence allows.
 DIRECT = 400
 
@@ -72,8 +79,11 @@ NOISE = (
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent dialog disqus "
     "footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promoted "
     "related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget widgets "
-    "complementary contentinfo alert disclaimer recommended recommendations"
+    "discussion discussions responses feedback guestbook complementary contentinfo alert disclaimer recommended recommendations"
 ).split()
+# Those of them that may also name a text; words of an author's and of a date's element; what a date looks like.
+WEAK = "tags search related recommended recommendations share sharing social respond reply replies".split()
+AUTHOR, DATED = "author authors byline by user username nick nickname avatar name poster".split(), "date dated time timestamp datetime posted published ago".split()
 LAYOUT = "area bar block bottom box col column container group inner left list main outer right section site top wrap wrapper".split()
 #: Elements whose ids are names of what they say, as headings' ids made from their titles.
 NAMED = ("section", "h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "td", "th", "tr", "pre", "blockquote", "caption", "figcaption", "figure", "summary", "details")
@@ -84,6 +94,8 @@ _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _CLOSERS = {x: re.compile(rf"</{x}\s*(?:>|$)|$", re.I | re.S) for x in RAW}
 _NUMBER = re.compile(r"\d+")
 _NO_MARKS = str.maketrans("<>", "  ")
+_DATE = re.compile(r"\b\d{1,2}[:.]\d{2}\b|\b(?:19|20)\d\d\b|\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b|\b\d+ (?:second|minute|hour|day|week|month|year)s? ago\b", re.I)
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _SIZE = re.compile(r"\d+(?:x\d+)?")
 _CLOSES_P = {*BLOCKS} - {"body", "html", "head", "option"}
@@ -100,6 +112,25 @@ class Text:
     noise: bool
     main: bool
     place: int = 0  #: in the page's stream
+    tag: str = ""  #: of the block around it
+    own: int = -1  #: the section right around it, by number
+    linked: int = 0  #: characters of it in links
+
+
+@dataclass
+class Element:
+    """A block with its texts, from begin to end (not included)."""
+
+    parent: int
+    tag: str
+    kind: str  #: its label without numbers
+    main: bool
+    weak: bool
+    begin: int
+    end: int = 0
+    links: int = 0
+    author: bool = False
+    dated: bool = False
 
 
 @dataclass
@@ -118,20 +149,30 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 @lru_cache(10_000)
-def _says_noise(name: str) -> bool:
-    parts = [x.lower() for x in _PARTS.findall(_SIZE.sub(" ", name))]
-    return any(x in NOISE for x in parts) and all(x in NOISE or x in LAYOUT for x in parts)
+def _words(name: str) -> tuple[str, ...]:
+    return tuple(x.lower() for x in _PARTS.findall(_SIZE.sub(" ", name)))
+
+
+@lru_cache(10_000)
+def _says_noise(name: str) -> tuple[bool, bool]:
+    """Does a name tell of noise, and only by words that may also name a text?"""
+    parts = _words(name)
+    told = [x for x in parts if x in NOISE]
+    noise = bool(told) and all(x in NOISE or x in LAYOUT for x in parts)
+    return noise, noise and all(x in WEAK for x in told)
 
 
-def _is_noise(tag: str, attributes: dict[str, str], main: bool) -> bool:
+def _noise(tag: str, attributes: dict[str, str], main: bool) -> tuple[bool, bool]:
+    """Is an element noise; may it be, if its texts do not speak against it?"""
     if tag in OUTSIDE and not (main and tag == "header"):
-        return True
-    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true":
-        return True
+        return True, False
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or _UNSHOWN.search(attributes.get("style", "")):
+        return True, False
     if tag in ("main", "body", "html"):
-        return False
+        return False, False
     names = [*attributes.get("class", "").split(), *attributes.get("role", "").split()]
-    return any(map(_says_noise, names if tag in NAMED else [*names, attributes.get("id", "").strip()]))
+    told = [_says_noise(x) for x in (names if tag in NAMED else [*names, attributes.get("id", "").strip()])]
+    return any(noise and not weak for noise, weak in told), any(weak for _, weak in told)
 
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
@@ -142,33 +183,55 @@ def _label(tag: str, attributes: dict[str, str]) -> str:
 def read(page: str | None) -> Page:
     """Blocks of text of a page and its stream of block tags and texts, mending unclosed elements."""
     out, source = Page(), page or ""
-    open_: list[tuple[str, str, bool, bool]] = []  # tag, label, noise, main
+    open_: list[tuple[str, str, bool, bool, int]] = []  # tag, label, noise, main, number
+    elements: list[Element] = []
     words: list[str] = []
+    linked = links = 0  # characters of words in links; open links
 
     def flush() -> None:
+        nonlocal linked
         value = " ".join(entities.unescape("".join(words)).split())
         words.clear()
         if value:
-            noise, main = (open_[-1][2], open_[-1][3]) if open_ else (False, False)
-            out.texts.append(Text(value, tuple(x[1] for x in open_), noise, main, len(out.stream)))
+            tag, _, noise, main, _ = open_[-1] if open_ else ("", "", False, False, -1)
+            own = next((x[4] for x in reversed(open_) if x[0] in SECTIONS), -1)
+            out.texts.append(Text(value, tuple(x[1] for x in open_), noise, main, len(out.stream), tag, own, min(linked, len(value))))
             out.stream.append(f"#{xxhash.xxh3_64_hexdigest(value.encode('utf-8', 'replace'))}")
+        linked = 0
 
     def close(k: int) -> None:
         flush()
         while len(open_) > k:
-            out.stream.append(f"</{open_.pop()[1]}>")
+            out.stream.append(f"</{open_[-1][1]}>")
+            elements[open_.pop()[4]].end = len(out.texts)
+
+    def said(some: str) -> None:
+        nonlocal linked
+        words.append(some)
+        if links:
+            linked += len(some)
+
+    def hint(named: dict[str, str], tag: str = "") -> None:
+        """What an element's names tell of an author or a date goes to the block around it."""
+        told = [w for n in ("class", "itemprop", "rel") for x in named.get(n, "").split() for w in _words(x)]
+        if open_:
+            block = elements[open_[-1][4]]
+            block.author |= any(w in AUTHOR for w in told) or tag == "cite"
+            block.dated |= any(w in DATED for w in told) or tag == "time"
 
     at = 0
     for m in _TOKEN.finditer(source):
         if m.start() < at:
             continue
-        words.append(source[at : m.start()])
+        said(source[at : m.start()])
         at = m.end()
         tag, attributes = (m[1] or "").lower(), m[2] or ""
         if not tag:
             continue
         if m[0][1] == "/":
-            if tag in BLOCKS:
+            if tag == "a":
+                links = 0
+            elif tag in BLOCKS:
                 k = next((i for i in reversed(range(len(open_))) if open_[i][0] == tag), None)
                 if k is None:
                     flush()
@@ -192,39 +255,96 @@ def read(page: str | None) -> Page:
                         break
             main = bool(open_ and open_[-1][3]) or tag in MAIN
             named = _attributes(attributes)
-            noise = bool(open_ and open_[-1][2]) or _is_noise(tag, named, main)
+            told, weak = _noise(tag, named, main)
+            noise = bool(open_ and open_[-1][2]) or told
             label = _label(tag, named)
             out.stream.append(f"<{label}>")
             if tag in VOID:
                 out.stream.append(f"</{label}>")
             else:
-                open_.append((tag, label, noise, main))
+                elements.append(Element(open_[-1][4] if open_ else -1, tag, _NUMBER.sub("", label), main, weak, len(out.texts)))
+                open_.append((tag, label, noise, main, len(elements) - 1))
+                hint(named)
         elif tag in VOID:
             words.append(" ")
-    words.append(source[at:])
+        elif tag == "a":
+            links = 1
+            if open_:
+                elements[open_[-1][4]].links += 1
+            hint(_attributes(attributes))
+        elif tag in ("time", "cite", "span", "b", "strong", "em", "i", "small", "abbr"):
+            hint(_attributes(attributes) if attributes else {}, tag)
+    said(source[at:])
     close(0)
+    _judge(out, elements)
     return out
 
 
+def _judge(page: Page, elements: list[Element]) -> None:
+    """Marks as noise what its structure tells: comments, lists of links, and what is named like noise and says nothing."""
+    for x in reversed(elements):  # children before parents
+        if x.parent >= 0:
+            above = elements[x.parent]
+            above.links, above.author, above.dated = above.links + x.links, above.author or x.author, above.dated or x.dated
+    drop = lambda x: [setattr(t, "noise", True) for t in page.texts[x.begin : x.end]]
+    groups: dict[tuple[int, str], list[Element]] = {}
+    for x in elements:
+        texts = [t for t in page.texts[x.begin : x.end] if not t.noise]
+        if not texts:
+            continue
+        if x.weak and not any(len(t.value.split()) >= SENTENCE and 2 * t.linked < len(t.value) for t in texts):
+            drop(x)
+        elif not x.main and x.tag in ("div", "section", "ul", "ol", "table", "dl", "center") and x.links >= LINKS and sum(t.linked for t in texts) >= LINKED * sum(len(t.value) for t in texts):
+            drop(x)
+        elif x.tag in ("div", "section", "article", "li"):
+            groups.setdefault((x.parent, x.kind), []).append(x)
+    for (parent, _), some in groups.items():
+        if len(some) < 2 or 2 * sum(_is_comment(x, page.texts[x.begin : x.end]) for x in some) <= len(some):
+            continue
+        for x in some:
+            drop(x)
+        if parent >= 0 and elements[parent].tag not in ("body", "html", *MAIN):
+            left = [t for t in page.texts[elements[parent].begin : elements[parent].end] if not t.noise]
+            if sum(len(t.value) for t in left) <= AROUND:
+                drop(elements[parent])
+
+
+def _is_comment(x: Element, texts: list[Text]) -> bool:
+    """Does an element begin with a short line, no heading, and tell an author and a date besides what it says?"""
+    if len(texts) < 2 or texts[0].tag in _HEADINGS or len(texts[0].value) > LINE:
+        return False
+    short = [t.value for t in texts if len(t.value) <= LINE]
+    line = texts[0].value
+    names = [w for w in line.split() if w.strip(",.;:()").isalpha()]
+    # a name alone, or one beside a date
+    author = x.author or line[-1] not in ".!?" and (1 <= len(line.split()) == len(names) <= 4 or bool(_DATE.search(line)) and 3 <= len(names) <= 6)
+    return author and (x.dated or any(_DATE.search(v) for v in short))
+
+
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
 # ---------------------------------------------------------------- wrappers
 
-Item = tuple  # ("t", tag) | ("#", text hash or "") | ("+", items) | ("?", items)
+Item = tuple  # ("t", tag) | ("#", hash of a text, or "" for a slot) | ("+", items) | ("?", items)
+
+
+def stripped(items: list[Item], texts: set[str]) -> list[Item]:
+    """Items with slots for all texts but these."""
+    return [("#", x[1] if x[1] in texts else "") if x[0] == "#" else ("+", tuple(stripped(list(x[1]), texts))) if x[0] == "+" else x for x in items]
 
 
 def folded(items: list[Item]) -> list[Item]:
-    """Tandem repeats become repeated groups, short ones first; texts are equal for this."""
+    """Tandem repeats become repeated groups, short ones first. Slots are equal to each other, and a text only to itself, so that it stands out of a repeat."""
     for size in (1, 2, 3, 4, 5, 6, 8, 10, 12):
         k, out = 0, []
-        kinds = [_kind(x) for x in items]
         while k < len(items):
             n = 1
-            while kinds[k : k + size] == kinds[k + n * size : k + (n + 1) * size] and k + (n + 1) * size <= len(items):
+            while items[k : k + size] == items[k + n * size : k + (n + 1) * size] and k + (n + 1) * size <= len(items):
                 n += 1
-            if n > 1 and any(x[0] == "#" or x[0] == "+" or x[1].startswith("<") for x in items[k : k + size] if x[0] != "?"):
-                unit = items[k : k + size]
-                for j in range(1, n):
-                    unit = [_same(a, b) for a, b in zip(unit, items[k + j * size : k + (j + 1) * size], strict=True)]
-                out.append(("+", tuple(unit[0][1] if size == 1 and unit[0][0] == "+" else unit)))
+            unit = items[k : k + size]
+            if n > 1 and all(x[0] != "?" for x in unit) and not (unit[0][0] == "t" and unit[0][1].startswith("</")):
+                out.append(unit[0] if size == 1 and unit[0][0] == "+" else ("+", tuple(unit)))
                 k += n * size
             else:
                 out.append(items[k])
@@ -233,34 +353,18 @@ def folded(items: list[Item]) -> list[Item]:
     return items
 
 
-def _kind(x: Item) -> Item:
-    """An item without what its texts say."""
-    return x if x[0] == "t" else ("#",) if x[0] == "#" else (x[0], tuple(map(_kind, x[1])))
-
-
-def _same(a: Item, b: Item) -> Item:
-    """Two items of one kind as one: different texts become a slot."""
-    if a[0] == "#":
-        return a if a == b else ("#", "")
-    return a if a[0] == "t" else (a[0], tuple(_same(x, y) for x, y in zip(a[1], b[1], strict=True)))
-
-
 def _gathered(items: list[Item], other: list[Item]) -> list[Item]:
     """items with single occurrences of groups that the other repeats made such groups."""
-    units = sorted({tuple(map(_kind, x[1])) for x in other if x[0] == "+"}, key=len, reverse=True)
-    kinds = [_kind(x) for x in items]
-    for unit in units:
-        k, out, known, n = 0, [], [], len(unit)
+    for unit in sorted({x[1] for x in other if x[0] == "+"}, key=len, reverse=True):
+        k, out, n = 0, [], len(unit)
         while k < len(items):
-            if kinds[k] == unit[0] and tuple(kinds[k : k + n]) == unit:
-                out.append(("+", tuple(items[k : k + n])))
-                known.append(("+", unit))
+            if items[k] == unit[0] and tuple(items[k : k + n]) == unit:
+                out.append(("+", unit))
                 k += n
             else:
                 out.append(items[k])
-                known.append(kinds[k])
                 k += 1
-        items, kinds = out, known
+        items = out
     return items
 
 
@@ -309,29 +413,36 @@ def common(a: list[Item], b: list[Item]) -> list[tuple[int, int, int]]:
 
 
 def aligned(a: list[Item], b: list[Item]) -> list[Item]:
-    """The wrapper of two: common items, and optional groups for what only one has."""
+    """The wrapper of two: common items, and optional groups for what only one has; in a gap the longer group of the two.
+
+    Texts that only one has are slots from here on; those of both hold the two together, and stay out of repeats.
+    """
+    there = set(texts_of(a))
+    both = there & set(texts_of(b))
+    a = folded(stripped(a, both)) if there != both else a
+    b = folded(stripped(b, both))
     a, b = _gathered(a, b), _gathered(b, a)
-    flat = lambda items: [y for x in items for y in (x[1] if x[0] == "?" else (x,))]
-    optional = lambda items: [x[0] == "?" for x in items for _ in (x[1] if x[0] == "?" else (x,))]
-    xs, ys, oa, ob = flat(a), flat(b), optional(a), optional(b)
-    out: list[tuple[bool, Item]] = []
-    i = j = 0
-    for at, to, size in [*common([_kind(x) for x in xs], [_kind(y) for y in ys]), (len(xs), len(ys), 0)]:
-        out += [(True, x) for x in xs[i:at]] + [(True, y) for y in ys[j:to]]
-        out += [(oa[at + k] or ob[to + k], _same(xs[at + k], ys[to + k])) for k in range(size)]
-        i, j = at + size, to + size
-    merged: list[Item] = []
-    for may, x in out:
-        if may and merged and merged[-1][0] == "?":
-            merged[-1][1].append(x)
-        else:
-            merged.append(("?", [x]) if may else x)
-    long = len(out) > LONGEST
-    return [("?", () if long else tuple(x[1])) if x[0] == "?" else x for x in merged]
+    xs, ys = [k for k, x in enumerate(a) if x[0] != "?"], [k for k, y in enumerate(b) if y[0] != "?"]
+    out: list[Item] = []
+    i = j = 0  # in a and in b
+
+    def gap(to: int, at: int) -> None:
+        found = [[y for x in items for y in (x[1] if x[0] == "?" else (x,))] for items in (a[i:to], b[j:at])]
+        if to > i or at > j:
+            out.append(("?", tuple(max(found, key=lambda g: (len(g), g)))))
+
+    for at, to, size in common([a[k] for k in xs], [b[k] for k in ys]):
+        for k in range(size):
+            x, y = xs[at + k], ys[to + k]
+            gap(x, y)
+            out.append(a[x])
+            i, j = x + 1, y + 1
+    gap(len(a), len(b))
+    return out
 
 
 def stream_items(page: Page) -> list[Item]:
-    return folded([("#", x[1:]) if x[0] == "#" else ("t", x) for x in page.stream])
+    return [("#", x[1:]) if x[0] == "#" else ("t", x) for x in page.stream]
 
 
 def texts_of(items: list[Item]) -> Iterator[str]:
@@ -402,9 +513,10 @@ def _paths(page: Page) -> dict[str, tuple[int, int]]:
     return {k: (n, 1) for k, n in _sizes(page.texts).items()}
 
 
-def main_region(page: Page, fixed: set[str], slots: dict[str, tuple[int, int]]) -> tuple[str, ...]:
-    """The section of the page that holds its main text, by the slot text of the host's pages."""
-    own = _sizes([x for x in page.texts if page.stream[x.place][1:] in fixed])
+def main_region(page: Page, fixed: set[str], slots: dict[str, tuple[int, int]]) -> list[tuple[str, ...]]:
+    """The sections of the page that hold its main text, by the slot text of the host's pages: the region, and titles before it."""
+    is_fixed = lambda x: page.stream[x.place][1:] in fixed
+    own = _sizes([x for x in page.texts if is_fixed(x)])
     below: dict[tuple[str, ...], float] = {}
     for key, here in _sizes(page.texts).items():
         size, pages = slots.get(key, (here, 1))
@@ -412,11 +524,21 @@ def main_region(page: Page, fixed: set[str], slots: dict[str, tuple[int, int]])
         weight = WEIGHT if any(x.split(".")[0] in MAIN for x in path) else 1
         for k in range(len(path) + 1):
             below[path[:k]] = below.get(path[:k], 0) + weight * max(0.0, size / pages - own.get(key, 0))
+    good = [x for x in page.texts if not x.noise and not is_fixed(x)]
+    direct = {_region(x.path) for x in good if x.tag not in SECTIONS}
     top: tuple[str, ...] = ()
+    titles: list[tuple[str, ...]] = []
     while True:
-        child = max((x for x in sorted(below) if len(x) == len(top) + 1 and x[:-1] == top), key=below.get, default=None)
+        children = [x for x in sorted(below) if len(x) == len(top) + 1 and x[:-1] == top]
+        child = max(children, key=below.get, default=None)
         if child is None or 2 * below[child] <= below[top]:
-            return top
+            return [top, *titles]
+        if top in direct or any(x.split(".")[0] in MAIN for x in top):
+            # an article, or an element with text of its own: nothing is lost if all the rest is in the child
+            if any(_region(x.path)[: len(top)] == top and _region(x.path)[: len(child)] != child for x in good):
+                return [top, *titles]
+        first = next((x.place for x in good if _region(x.path)[: len(child)] == child), 0)
+        titles += dict.fromkeys(_region(x.path) for x in good if x.tag == "h1" and x.place < first and _region(x.path)[: len(top)] == top and len(_region(x.path)) > len(top))
         top = child
 
 
@@ -482,9 +604,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def main_text(page: Page, fixed: set[str], slots: dict[str, tuple[int, int]]) -> str:
     """Blocks of a page's main text in page order, two line breaks between."""
-    top = main_region(page, fixed, slots)
-    good = [x for x in page.texts if not x.noise and (x.main or page.stream[x.place][1:] not in fixed)]
-    return "\n\n".join(x.value for x in good if _region(x.path)[: len(top)] == top)
+    regions = main_region(page, fixed, slots)
+    out: list[str] = []
+    heading: Text | None = None  # of the host's own, if it is followed by a text of the page
+    for x in page.texts:
+        if x.noise or not any(_region(x.path)[: len(r)] == r for r in regions):
+            continue
+        if page.stream[x.place][1:] not in fixed:
+            out += [heading.value] if heading is not None else []
+            out.append(x.value)
+            heading = None
+        elif x.tag in _HEADINGS:
+            heading = x if x.main else None
+    return "\n\n".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:
