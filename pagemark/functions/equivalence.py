@@ -9,6 +9,8 @@ integers. What does not parse, or is too large, is null.
 from __future__ import annotations
 
 import ast
+from collections.abc import Callable
+from dataclasses import dataclass
 from fractions import Fraction
 from functools import lru_cache
 
@@ -16,9 +18,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Safety limits, which a caller may set: longest text, largest exponent and most terms that are worked on, and the
-#: largest number that is searched for squares. Beyond them an answer is held for a person, never graded wrong.
-LONGEST, POWER, TERMS, SQUARES = 200, 64, 400, 10**10
+@dataclass(frozen=True)
+class Limits:
+    """Safety limits, which a caller may set and which go to the workers with the comparison.
+
+    Beyond them an answer is held for a person, never graded wrong.
+    """
+
+    length: int = 200  #: of a text
+    power: int = 64  #: largest exponent
+    terms: int = 400  #: most terms of a polynomial
+    squares: int = 10**10  #: largest number that is searched for squares
+
+
+LIMITS = Limits()
 # What names an answer, as in `x =`, and what stands for an operator or a constant in answers.
 NAMED, NAMES_NEXT = r"^[a-zA-Z](?U)\w*=", r"\s+(?=[a-zA-Z](?U)\w*=)"
 SIGNS = (("×", "*"), ("÷", "/"), ("−", "-"), ("π", "pi"), ("^", "**"), (" ", ""))
@@ -44,7 +57,7 @@ class Unclear(Exception):
     """Not provable either way."""
 
 
-def _mul(a: Poly, b: Poly) -> Poly:
+def _mul(a: Poly, b: Poly, limits: Limits) -> Poly:
     out: Poly = {}
     for x, m in a.items():
         for y, n in b.items():
@@ -57,12 +70,12 @@ def _mul(a: Poly, b: Poly) -> Poly:
                 factor *= Fraction(int(name[5:])) ** whole
             term = tuple(sorted((s, k) for s, k in powers.items() if k))
             out[term] = out.get(term, Fraction(0)) + factor
-    if len(out) > TERMS:
+    if len(out) > limits.terms:
         raise Unclear
-    return _merged_roots({t: c for t, c in out.items() if c})
+    return _merged_roots({t: c for t, c in out.items() if c}, limits)
 
 
-def _merged_roots(p: Poly) -> Poly:
+def _merged_roots(p: Poly, limits: Limits) -> Poly:
     """Products of roots as one root."""
     out: Poly = {}
     for term, c in p.items():
@@ -71,7 +84,7 @@ def _merged_roots(p: Poly) -> Poly:
             inside = 1
             for r in roots:
                 inside *= r
-            outer, free = _square_free(inside)
+            outer, free = _square_free(inside, limits)
             rest = [(s, k) for s, k in term if not s.startswith("sqrt:")]
             term, c = tuple(sorted([*rest, *([(f"sqrt:{free}", 1)] if free > 1 else [])])), c * outer
         out[term] = out.get(term, Fraction(0)) + c
@@ -85,9 +98,9 @@ def _add(a: Poly, b: Poly, sign: int = 1) -> Poly:
     return {t: c for t, c in out.items() if c}
 
 
-def _square_free(n: int) -> tuple[int, int]:
+def _square_free(n: int, limits: Limits) -> tuple[int, int]:
     """a, b with n = a * a * b and b square-free."""
-    if n > SQUARES:
+    if n > limits.squares:
         raise Unclear
     a, d = 1, 2
     while d * d <= n:
@@ -102,33 +115,33 @@ Ratio = tuple[Poly, Poly]
 _ONE: Poly = {(): Fraction(1)}
 
 
-def _value(node: ast.AST) -> Ratio:
+def _value(node: ast.AST, limits: Limits) -> Ratio:
     if isinstance(node, ast.Expression):
-        return _value(node.body)
+        return _value(node.body, limits)
     if isinstance(node, ast.Constant) and type(node.value) in (int, float):
         number = Fraction(str(node.value))
         return ({(): number} if number else {}), _ONE
     if isinstance(node, ast.Name):
         return {((node.id, 1),): Fraction(1)}, _ONE
     if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.UAdd, ast.USub)):
-        top, bottom = _value(node.operand)
+        top, bottom = _value(node.operand, limits)
         return (top if isinstance(node.op, ast.UAdd) else _add({}, top, -1)), bottom
     if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "sqrt" and len(node.args) == 1 and not node.keywords:
-        return _root(_value(node.args[0]))
+        return _root(_value(node.args[0], limits), limits)
     if isinstance(node, ast.BinOp):
-        a, b = _value(node.left), _value(node.right)
+        a, b = _value(node.left, limits), _value(node.right, limits)
         if isinstance(node.op, ast.Add):
-            return _add(_mul(a[0], b[1]), _mul(b[0], a[1])), _mul(a[1], b[1])
+            return _add(_mul(a[0], b[1], limits), _mul(b[0], a[1], limits)), _mul(a[1], b[1], limits)
         if isinstance(node.op, ast.Sub):
-            return _add(_mul(a[0], b[1]), _mul(b[0], a[1]), -1), _mul(a[1], b[1])
+            return _add(_mul(a[0], b[1], limits), _mul(b[0], a[1], limits), -1), _mul(a[1], b[1], limits)
         if isinstance(node.op, ast.Mult):
-            return _mul(a[0], b[0]), _mul(a[1], b[1])
+            return _mul(a[0], b[0], limits), _mul(a[1], b[1], limits)
         if isinstance(node.op, ast.Div):
             if not b[0]:
                 raise Unclear
-            return _mul(a[0], b[1]), _mul(a[1], b[0])
+            return _mul(a[0], b[1], limits), _mul(a[1], b[0], limits)
         if isinstance(node.op, ast.Pow):
-            return _power(a, b)
+            return _power(a, b, limits)
     raise Unclear
 
 
@@ -140,22 +153,22 @@ def _number(x: Ratio) -> Fraction:
     return top.get((), Fraction(0)) / bottom[()]
 
 
-def _root(x: Ratio) -> Ratio:
+def _root(x: Ratio, limits: Limits) -> Ratio:
     number = _number(x)
     if number < 0:
         raise Unclear
-    outer, free = _square_free(number.numerator * number.denominator)
+    outer, free = _square_free(number.numerator * number.denominator, limits)
     scale = Fraction(outer, number.denominator)
     if not number:
         return {}, _ONE
     return {((f"sqrt:{free}", 1),) if free > 1 else (): scale}, _ONE
 
 
-def _power(a: Ratio, b: Ratio) -> Ratio:
+def _power(a: Ratio, b: Ratio, limits: Limits) -> Ratio:
     k = _number(b)
     if k == Fraction(1, 2):
-        return _root(a)
-    if k.denominator != 1 or abs(k) > POWER:
+        return _root(a, limits)
+    if k.denominator != 1 or abs(k) > limits.power:
         raise Unclear
     if k < 0:
         if not a[0]:
@@ -163,41 +176,41 @@ def _power(a: Ratio, b: Ratio) -> Ratio:
         a = (a[1], a[0])
     out: Ratio = (_ONE, _ONE)
     for _ in range(abs(int(k))):
-        out = (_mul(out[0], a[0]), _mul(out[1], a[1]))
+        out = (_mul(out[0], a[0], limits), _mul(out[1], a[1], limits))
         if any(max(c.numerator.bit_length(), c.denominator.bit_length()) > 4096 for p in out for c in p.values()):
             raise Unclear
     return out
 
 
 @lru_cache(maxsize=50_000)
-def parsed(text: str) -> Ratio | None:
+def parsed(text: str, limits: Limits = LIMITS) -> Ratio | None:
     """A text as a quotient of polynomials; null if it is none, or too large."""
-    if len(text) > LONGEST or "//" in text:
+    if len(text) > limits.length or "//" in text:
         return None
     try:
-        return _value(ast.parse(text, mode="eval"))
+        return _value(ast.parse(text, mode="eval"), limits)
     except (Unclear, SyntaxError, ValueError, RecursionError, MemoryError, ZeroDivisionError):
         return None
 
 
-def same(a: Ratio, b: Ratio) -> bool | None:
+def same(a: Ratio, b: Ratio, limits: Limits = LIMITS) -> bool | None:
     try:
-        return not _add(_mul(a[0], b[1]), _mul(b[0], a[1]), -1)
+        return not _add(_mul(a[0], b[1], limits), _mul(b[0], a[1], limits), -1)
     except Unclear:
         return None
 
 
-def same_sets(got: list[str] | None, want: list[str] | None) -> bool | None:
+def same_sets(got: list[str] | None, want: list[str] | None, limits: Limits = LIMITS) -> bool | None:
     """Do two lists match one to one? Null if a part does not parse or a match is not provable."""
     if got is None or want is None or not len(got) or not len(want):
         return None
-    left, right = [parsed(x) for x in got], [parsed(x) for x in want]
+    left, right = [parsed(x, limits) for x in got], [parsed(x, limits) for x in want]
     if None in left or None in right:
         return None
     if len(left) != len(right):
         return False
     for x in left:
-        answers = [same(x, y) for y in right]
+        answers = [same(x, y, limits) for y in right]
         if True in answers:
             del right[answers.index(True)]
         else:
@@ -210,21 +223,54 @@ BETWEEN = "\x1f"
 
 
 @lru_cache(maxsize=100_000)
-def _same_parts(got: str, want: str) -> bool | None:
-    return same_sets(got.split(BETWEEN), want.split(BETWEEN))
+def _same_parts(got: str, want: str, limits: Limits) -> bool | None:
+    return same_sets(got.split(BETWEEN), want.split(BETWEEN), limits)
+
+
+# What columns compare: a whole number, a decimal or a short product, or one over a whole number or such a product in parentheses; of so few digits that
+# the products of tops and bottoms below fit 38.
+_WHOLE = r"(?:0|[1-9]\d{0,4})"
+_SHORT = rf"{_WHOLE}(?:\*{_WHOLE}){{0,2}}"
+_PLAIN = rf"^(?:[+-]?(?:0|[1-9]\d{{0,7}})(?:\.\d{{1,4}})?|[+-]?{_SHORT}|\({_SHORT}\))(?:/(?:{_WHOLE}|\({_SHORT}\)))?$"
+
+
+def _plain(part: Column) -> Column:
+    """top and bottom of a plain number, as decimals; null if it is none, or divides by zero."""
+    sides = F.split(F.when(part.rlike(_PLAIN), F.translate(part, "()+-", "")), "/")
+
+    def product(side: Column) -> Column:
+        factors = F.split(side, r"\*")
+        one = lambda k: F.coalesce(F.get(factors, F.lit(k)).try_cast("long"), F.lit(1).cast("long"))
+        return F.when(F.size(factors) > 1, (one(0) * one(1) * one(2)).cast("decimal(19,4)")).otherwise(side.try_cast("decimal(19,4)"))
+
+    top, bottom = product(F.get(sides, F.lit(0))), F.coalesce(product(F.get(sides, F.lit(1))), F.lit(1)).cast("decimal(15,0)")
+    signed = F.when(F.startswith(part, F.lit("-")), -top).otherwise(top).cast("decimal(19,4)")
+    return F.when(sides.isNotNull() & (bottom != 0), F.struct(signed.alias("top"), bottom.alias("bottom")))
+
+
+def plain_equal(student: Column, answer: Column) -> Column:
+    """Are two solution sets of one plain number each equal? Null where one is something else."""
+    a, b = _plain(F.get(student, F.lit(0))), _plain(F.get(answer, F.lit(0)))
+    return F.when((F.size(student) == 1) & (F.size(answer) == 1), a["top"] * b["bottom"] == b["top"] * a["bottom"])
 
 
-def _equal(got: pd.Series, want: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else _same_parts(a, b) for a, b in zip(got, want, strict=True)], dtype="object")
+def _algebra(limits: Limits) -> Callable[[Column, Column], Column]:
+    def equal(got: pd.Series, want: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else _same_parts(a, b, limits) for a, b in zip(got, want, strict=True)], dtype="object")
 
+    return F.pandas_udf(equal, "boolean")
 
-def math_equal(student: Column, answer: Column) -> Column:
-    """Are two arrays of answers the same solution set? Workers remember the pairs that they have compared."""
-    listed = lambda answers: F.array_join(F.transform(solution_set(answers), lambda p: F.translate(p, BETWEEN, "")), BETWEEN)
-    return F.pandas_udf(_equal, "boolean")(listed(student), listed(answer))
 
+def with_equality(df: DataFrame, student: str, answer: str, out: str, limits: Limits = LIMITS) -> DataFrame:
+    """df with a column out: are two array columns of answers the same solution set? Row by row where they are, without a shuffle; null if either is.
 
-def with_equality(df: DataFrame, student: str, answer: str, out: str) -> DataFrame:
-    """df with a column out: the comparison of two array columns, row by row where they are, without a shuffle; null if either is."""
+    Plain numbers are compared by columns; only what is left goes to workers, which remember the pairs that they have compared.
+    """
+    taken = "_" + max([*df.columns, out], key=len)
+    a, b, plain = f"{taken}_a", f"{taken}_b", f"{taken}_plain"
     both = F.col(student).isNotNull() & F.col(answer).isNotNull()
-    return df.withColumn(out, math_equal(F.when(both, F.col(student)), F.when(both, F.col(answer))))
+    sets = df.withColumns({a: F.when(both, solution_set(F.col(student))), b: F.when(both, solution_set(F.col(answer)))})
+    short = (F.length(F.get(F.col(a), F.lit(0))) <= limits.length) & (F.length(F.get(F.col(b), F.lit(0))) <= limits.length)
+    told = sets.withColumn(plain, F.when(short, plain_equal(F.col(a), F.col(b))))
+    listed = lambda c: F.when(F.col(plain).isNull(), F.array_join(F.transform(F.col(c), lambda p: F.translate(p, BETWEEN, "")), BETWEEN))
+    return told.withColumn(out, F.coalesce(F.col(plain), _algebra(limits)(listed(a), listed(b)))).drop(a, b, plain)

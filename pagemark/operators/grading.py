@@ -29,30 +29,47 @@ def mcq_equal(picked: Column, answer: Column) -> Column:
     return F.when(usable, F.sort_array(picked) == F.sort_array(F.array_distinct(key)))
 
 
+def page_classes(answer_key: DataFrame) -> DataFrame:
+    """book_key, qkey, pages: for each question of a book the pages that have it, of pages with the same questions only the smallest.
+
+    They always get the same votes and the smallest wins, so a book whose numbers begin anew on every page has as many pages here as there are different
+    sets of numbers. A page's numbers are a page's size; a question's pages are the book's classes at most.
+    """
+    page = answer_key.where("qkey IS NOT NULL").groupBy("book_key", "page").agg(F.array_sort(F.collect_set("qkey")).alias("_set"))
+    first = page.groupBy("book_key", "_set").agg(F.min("page").alias("_page"))
+    return first.select("book_key", "_page", F.explode("_set").alias("qkey")).groupBy("book_key", "qkey").agg(F.collect_list("_page").alias("pages"))
+
+
 def infer_page(reads: DataFrame, answer_key: DataFrame) -> DataFrame:
-    """img_id, book_key, inferred: the page that most of the read keys are on; of equal ones the smallest. reads: img_id, book_key, qkey."""
-    there = answer_key.where("qkey IS NOT NULL").select("book_key", F.col("page").alias("_page"), "qkey").distinct()
-    hits = reads.select("img_id", "book_key", "qkey").distinct().join(there, ["book_key", "qkey"]).groupBy("img_id", "book_key", "_page").agg(F.count("*").alias("n"))
+    """img_id, book_key, inferred: the page that most of the read keys are on; of equal ones the smallest. reads: img_id, book_key, qkey.
+
+    A read meets one row of the key; votes are summed in the tasks before they are shuffled.
+    """
+    met = reads.select("img_id", "book_key", "qkey").distinct().join(page_classes(answer_key), ["book_key", "qkey"])
+    hits = met.select("img_id", "book_key", F.explode("pages").alias("_page")).groupBy("img_id", "book_key", "_page").agg(F.count("*").alias("n"))
     return hits.groupBy("img_id", "book_key").agg(F.min_by("_page", F.struct(-F.col("n"), F.col("_page"))).alias("inferred"))
 
 
+def _answers() -> Column:
+    """A map of values by question key; of several values of one key the smallest."""
+    listed = F.sort_array(F.collect_list(F.when(F.col("qkey").isNotNull(), F.struct("qkey", "value"))))
+    once = F.filter(listed, lambda x, k: (k == 0) | (F.get(listed, k - 1)["qkey"] != x["qkey"]))
+    return F.map_from_entries(once)
+
+
 def resolve_page(submissions: DataFrame, merged: DataFrame, answer_key: DataFrame) -> DataFrame:
     """img_id, book_key, page_no, known, read, answers: hint, else inferred, else stated page; known if the book has it.
 
-    read: there is a read of the image; answers: its values by question key. The merged reads are gone through once, each
-    image's as one row (a page's answers).
+    read: there is a read of the image; answers: its values by question key, attached once the page is chosen.
     """
     asked = submissions.select("img_id", book_key(F.col("book")).alias("book_key"), F.nullif("page_hint", F.lit("")).alias("hint"))
-    said = F.when(F.col("qkey").isNotNull(), F.struct("qkey", "value"))
-    each = merged.groupBy("img_id").agg(F.first("page", True).alias("stated"), F.map_from_entries(F.collect_list(said)).alias("answers"))
-    rows = asked.join(each, "img_id", "left").select("img_id", F.struct("book_key", "hint", "stated", "answers").alias("f"), F.explode_outer(F.map_keys("answers")).alias("qkey"))
-    there = answer_key.where("qkey IS NOT NULL").select(F.col("book_key").alias("_book"), F.col("page").alias("_page"), F.col("qkey").alias("_qkey")).distinct()
-    hits = rows.join(there, (rows["f.book_key"] == there["_book"]) & (rows["qkey"] == there["_qkey"]), "left").groupBy("img_id", "f.book_key", "_page").agg(F.count("*").alias("n"), F.any_value("f").alias("f"))
-    best = F.min_by("_page", F.when(F.col("_page").isNotNull(), F.struct(-F.col("n"), F.col("_page")))).alias("inferred")
-    one = hits.groupBy("img_id", "book_key").agg(best, F.any_value("f").alias("f"))
+    each = merged.groupBy("img_id").agg(F.first("page", True).alias("stated"), _answers().alias("answers"))
+    # a hint decides without votes
+    votes = asked.where("hint IS NULL").select("img_id", "book_key").distinct().join(merged.where("qkey IS NOT NULL").select("img_id", "qkey"), "img_id")
     pages = answer_key.select("book_key", F.col("page").alias("page_no")).distinct().withColumn("known", F.lit(True))
-    named = one.select("img_id", "book_key", F.coalesce("f.hint", "inferred", "f.stated").alias("page_no"), F.col("f.answers").alias("answers"))
-    return named.join(pages, ["book_key", "page_no"], "left").select("img_id", "book_key", "page_no", F.coalesce("known", F.lit(False)).alias("known"), F.col("answers").isNotNull().alias("read"), "answers")
+    named = asked.join(each, "img_id", "left").join(infer_page(votes, answer_key), ["img_id", "book_key"], "left")
+    chosen = named.select("img_id", "book_key", F.coalesce("hint", "inferred", "stated").alias("page_no"), "answers")
+    return chosen.join(pages, ["book_key", "page_no"], "left").select("img_id", "book_key", "page_no", F.coalesce("known", F.lit(False)).alias("known"), F.col("answers").isNotNull().alias("read"), "answers")
 
 
 def grade_questions(questions: DataFrame) -> DataFrame:

@@ -356,3 +356,28 @@ def _session(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     running = session.run_session(rows, f"{folder}/state", gate, grade, accepted, rejected)
     running.awaitTermination()
     return accepted, rejected
+
+
+@query("""
+WITH k AS (SELECT c_nationkey AS book, CAST(c_custkey AS VARCHAR) AS page, unnest(range(1, 3 + c_custkey % 6)) AS q FROM customer),
+a AS (SELECT o_orderkey AS img_id, c_nationkey AS book, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN 'x' || o_custkey WHEN 2 THEN '' END AS hint FROM orders JOIN customer ON o_custkey = c_custkey),
+r AS (SELECT l_orderkey AS img_id, l_linenumber + l_suppkey % 3 AS q, CASE WHEN l_orderkey % 5 = 0 THEN CAST(l_orderkey % 7 AS VARCHAR) END AS stated FROM lineitem),
+h AS (SELECT a.img_id, k.page, count(*) AS n FROM a JOIN (SELECT DISTINCT img_id, q FROM r) USING (img_id) JOIN k USING (book, q) GROUP BY 1, 2),
+v AS (SELECT img_id, page, row_number() OVER (PARTITION BY img_id ORDER BY n DESC, page) AS i FROM h),
+s AS (SELECT img_id, min(stated) AS stated FROM r GROUP BY 1)
+SELECT a.img_id, coalesce(nullif(hint, ''), v.page, stated) AS page_no, EXISTS (SELECT 1 FROM k WHERE k.book = a.book AND k.page = coalesce(nullif(hint, ''), v.page, stated)) AS known,
+  s.img_id IS NOT NULL AS read, coalesce((SELECT count(DISTINCT q) FROM r WHERE r.img_id = a.img_id), 0) AS answers
+FROM a LEFT JOIN v ON v.img_id = a.img_id AND i = 1 LEFT JOIN s ON s.img_id = a.img_id""")
+def page_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of books whose question numbers begin anew on every page, by hints, valid or not, by votes, or as stated."""
+    customer, orders, line = (table(spark, sf_dir, x) for x in ("customer", "orders", "lineitem"))
+    book = F.concat(F.lit("Book "), F.col("c_nationkey"))
+    number = F.explode(F.sequence(F.lit(1).cast("long"), 2 + F.col("c_custkey") % 6)).alias("n")
+    key = customer.select(K.book_key(book).alias("book_key"), F.col("c_custkey").cast("string").alias("page"), number).withColumn("qkey", F.col("n").cast("string"))
+    who = F.col("o_custkey").cast("string")
+    hint = F.when(F.col("o_orderkey") % 4 == 0, who).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("x"), who)).when(F.col("o_orderkey") % 4 == 2, F.lit(""))
+    asked = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).select(F.col("o_orderkey").alias("img_id"), book.alias("book"), hint.alias("page_hint"))
+    stated = F.when(F.col("l_orderkey") % 5 == 0, (F.col("l_orderkey") % 7).cast("string"))
+    merged = line.select(F.col("l_orderkey").alias("img_id"), stated.alias("page"), (F.col("l_linenumber") + F.col("l_suppkey") % 3).cast("string").alias("qkey"), F.col("l_partkey").cast("string").alias("value"))
+    found = grading.resolve_page(asked, merged, key)
+    return found.select("img_id", "page_no", "known", "read", F.when(F.col("read"), F.size("answers")).otherwise(0).cast("long").alias("answers"))

@@ -55,6 +55,26 @@ def test_math_equality(spark):
     assert E.with_equality(nulls, "s", "w", "e").first().e is None
 
 
+NUMBERS = ["0", "-0", "7", "+7", "007", "0.50", "1/2", "-3/6", "(2*3)/(4*3)", "2*3/4", "2*3*5*7", "1/2*3", "3/0", "0/5", "(0*3)/(0*2)", "12345678.1234", "123456789", "-99999*99999*99999", "1.00005", "(-2)", "1/(3)", "2/(1*4)", ".5", "1e2", "1_0", "1//2", "99999/99999"]
+
+
+def test_columns_and_algebra_agree_on_numbers(spark):
+    pairs = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in NUMBERS for b in NUMBERS)]
+    df = spark.createDataFrame(pairs, "i int, a string, b string").withColumns({"s": F.array("a"), "w": F.array("b")})
+    plain = {r.i: r.p for r in df.select("i", E.plain_equal(F.col("s"), F.col("w")).alias("p")).collect()}
+    got = {r.i: r.e for r in E.with_equality(df, "s", "w", "e").collect()}
+    for i, a, b in pairs:
+        assert got[i] == E.same_sets([a], [b])
+        assert plain[i] in (None, got[i])
+    assert sum(v is not None for v in plain.values()) > 200
+
+
+def test_limits_go_to_the_workers(spark):
+    rows = spark.createDataFrame([("2**100", "2**100"), ("x+1", "x + 1"), ("12345", "12345.0")], "a string, b string").withColumns({"s": F.array("a"), "w": F.array("b")})
+    told = lambda **limits: [r.e for r in E.with_equality(rows, "s", "w", "e", E.Limits(**limits)).collect()]
+    assert told() == [None, True, True] and told(power=1000) == [True, True, True] and told(length=2) == [None, None, None] and told(length=4) == [None, True, None]
+
+
 parts = st.lists(st.sampled_from(["1/2", "0.5", "-3", "sqrt(2)", "x+1", "2*x", "pi", "7"]), min_size=1, max_size=4)
 
 
