@@ -227,31 +227,36 @@ def _same_parts(got: str, want: str, limits: Limits) -> bool | None:
     return same_sets(got.split(BETWEEN), want.split(BETWEEN), limits)
 
 
-# What columns compare: a whole number, a decimal or a short product, or one over a whole number or such a product in parentheses; of so few digits that
-# the products of tops and bottoms below fit 38.
+# What columns compare, spaces left out: with or without a name, a whole number, a decimal or a short product, or one over a whole number or such a product in
+# parentheses; of so few digits that the products of tops and bottoms below fit 38.
 _WHOLE = r"(?:0|[1-9]\d{0,4})"
 _SHORT = rf"{_WHOLE}(?:\*{_WHOLE}){{0,2}}"
-_PLAIN = rf"^(?:[+-]?(?:0|[1-9]\d{{0,7}})(?:\.\d{{1,4}})?|[+-]?{_SHORT}|\({_SHORT}\))(?:/(?:{_WHOLE}|\({_SHORT}\)))?$"
+_PLAIN = rf"^(?:[a-zA-Z](?U)\w*(?-U)=)?(?:[+-]?(?:0|[1-9]\d{{0,7}})(?:\.\d{{1,4}})?|[+-]?{_SHORT}|\({_SHORT}\))(?:/(?:{_WHOLE}|\({_SHORT}\)))?$"
+_AROUND = r"^[a-zA-Z](?U)\w*=|[()+]"
 
 
-def _plain(part: Column) -> Column:
-    """top and bottom of a plain number, as decimals; null if it is none, or divides by zero."""
-    sides = F.split(F.when(part.rlike(_PLAIN), F.translate(part, "()+-", "")), "/")
+def _product(factors: Column) -> Column:
+    one = lambda k: F.coalesce(F.get(factors, F.lit(k)).cast("long"), F.lit(1).cast("long"))
+    return F.when(F.size(factors) > 1, (one(0) * one(1) * one(2)).cast("decimal(19,4)")).otherwise(F.get(factors, F.lit(0)).cast("decimal(19,4)"))
 
-    def product(side: Column) -> Column:
-        factors = F.split(side, r"\*")
-        one = lambda k: F.coalesce(F.get(factors, F.lit(k)).try_cast("long"), F.lit(1).cast("long"))
-        return F.when(F.size(factors) > 1, (one(0) * one(1) * one(2)).cast("decimal(19,4)")).otherwise(side.try_cast("decimal(19,4)"))
 
-    top, bottom = product(F.get(sides, F.lit(0))), F.coalesce(product(F.get(sides, F.lit(1))), F.lit(1)).cast("decimal(15,0)")
-    signed = F.when(F.startswith(part, F.lit("-")), -top).otherwise(top).cast("decimal(19,4)")
-    return F.when(sides.isNotNull() & (bottom != 0), F.struct(signed.alias("top"), bottom.alias("bottom")))
+def with_plain_equality(df: DataFrame, student: str, answer: str, out: str, limits: Limits = LIMITS) -> DataFrame:
+    """df with a column out: are two arrays of one plain number each equal? Null where one is something else.
 
-
-def plain_equal(student: Column, answer: Column) -> Column:
-    """Are two solution sets of one plain number each equal? Null where one is something else."""
-    a, b = _plain(F.get(student, F.lit(0))), _plain(F.get(answer, F.lit(0)))
-    return F.when((F.size(student) == 1) & (F.size(answer) == 1), a["top"] * b["bottom"] == b["top"] * a["bottom"])
+    Step by step, so that nothing is worked out twice: the text, the number in it, its top and bottom.
+    """
+    own = "_" + max([*df.columns, out], key=len)
+    names = {f"{x}{k}": f"{own}_{x}{k}" for x in ("text", "number", "top", "bottom") for k in (1, 2)}
+    col = lambda x: F.col(names[x])
+    for k, given in ((1, student), (2, answer)):
+        df = df.withColumn(names[f"text{k}"], F.when(F.size(given) == 1, F.replace(F.get(F.col(given), F.lit(0)), F.lit(" "), F.lit(""))))
+    both = col("text2").rlike(_PLAIN) & col("text1").rlike(_PLAIN) & (F.greatest(F.length(names["text1"]), F.length(names["text2"])) <= limits.length)
+    df = df.withColumn(names["number1"], F.when(both, F.split(F.regexp_replace(col("text1"), _AROUND, ""), "/")))
+    df = df.withColumn(names["number2"], F.when(col("number1").isNotNull(), F.split(F.regexp_replace(col("text2"), _AROUND, ""), "/")))
+    df = df.withColumns({names[f"{x}{k}"]: F.split(F.get(col(f"number{k}"), F.lit(at)), r"\*") for k in (1, 2) for at, x in enumerate(("top", "bottom"))})
+    df = df.withColumns({names[f"top{k}"]: _product(col(f"top{k}")) for k in (1, 2)} | {names[f"bottom{k}"]: F.when(col(f"bottom{k}").isNull(), F.lit(1)).otherwise(_product(col(f"bottom{k}"))).cast("decimal(15,0)") for k in (1, 2)})
+    told = F.when((col("bottom1") != 0) & (col("bottom2") != 0), col("top1") * col("bottom2") == col("top2") * col("bottom1"))
+    return df.withColumn(out, told).drop(*names.values())
 
 
 def _algebra(limits: Limits) -> Callable[[Column, Column], Column]:
@@ -264,13 +269,10 @@ def _algebra(limits: Limits) -> Callable[[Column, Column], Column]:
 def with_equality(df: DataFrame, student: str, answer: str, out: str, limits: Limits = LIMITS) -> DataFrame:
     """df with a column out: are two array columns of answers the same solution set? Row by row where they are, without a shuffle; null if either is.
 
-    Plain numbers are compared by columns; only what is left goes to workers, which remember the pairs that they have compared.
+    Plain numbers are compared by columns; only what is left is taken apart and goes to workers, which remember the pairs that they have compared.
     """
-    taken = "_" + max([*df.columns, out], key=len)
-    a, b, plain = f"{taken}_a", f"{taken}_b", f"{taken}_plain"
-    both = F.col(student).isNotNull() & F.col(answer).isNotNull()
-    sets = df.withColumns({a: F.when(both, solution_set(F.col(student))), b: F.when(both, solution_set(F.col(answer)))})
-    short = (F.length(F.get(F.col(a), F.lit(0))) <= limits.length) & (F.length(F.get(F.col(b), F.lit(0))) <= limits.length)
-    told = sets.withColumn(plain, F.when(short, plain_equal(F.col(a), F.col(b))))
-    listed = lambda c: F.when(F.col(plain).isNull(), F.array_join(F.transform(F.col(c), lambda p: F.translate(p, BETWEEN, "")), BETWEEN))
-    return told.withColumn(out, F.coalesce(F.col(plain), _algebra(limits)(listed(a), listed(b)))).drop(a, b, plain)
+    plain = "_" + max([*df.columns, out], key=len)
+    left = F.col(plain).isNull() & F.col(student).isNotNull() & F.col(answer).isNotNull()
+    listed = lambda c: F.when(left, F.array_join(F.transform(solution_set(F.col(c)), lambda p: F.translate(p, BETWEEN, "")), BETWEEN))
+    told = with_plain_equality(df, student, answer, plain, limits)
+    return told.withColumn(out, F.coalesce(F.col(plain), _algebra(limits)(listed(student), listed(answer)))).drop(plain)
