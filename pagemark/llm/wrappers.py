@@ -95,6 +95,7 @@ _CLOSERS = {x: re.compile(rf"</{x}\s*(?:>|$)|$", re.I | re.S) for x in RAW}
 _NUMBER = re.compile(r"\d+")
 _NO_MARKS = str.maketrans("<>", "  ")
 _DATE = re.compile(r"\b\d{1,2}[:.]\d{2}\b|\b(?:19|20)\d\d\b|\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b|\b\d+ (?:second|minute|hour|day|week|month|year)s? ago\b", re.I)
+_TELLS, _INLINE = re.compile(r"\b(?:class|itemprop|rel)\b", re.I), ("time", "cite", "span", "b", "strong", "em", "i", "small", "abbr")
 _UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _SIZE = re.compile(r"\d+(?:x\d+)?")
@@ -264,16 +265,18 @@ def read(page: str | None) -> Page:
             else:
                 elements.append(Element(open_[-1][4] if open_ else -1, tag, _NUMBER.sub("", label), main, weak, len(out.texts)))
                 open_.append((tag, label, noise, main, len(elements) - 1))
-                hint(named)
+                if named:
+                    hint(named)
         elif tag in VOID:
             words.append(" ")
         elif tag == "a":
             links = 1
             if open_:
                 elements[open_[-1][4]].links += 1
-            hint(_attributes(attributes))
-        elif tag in ("time", "cite", "span", "b", "strong", "em", "i", "small", "abbr"):
-            hint(_attributes(attributes) if attributes else {}, tag)
+            if _TELLS.search(attributes):
+                hint(_attributes(attributes))
+        elif tag in _INLINE and (tag in ("time", "cite") or _TELLS.search(attributes)):
+            hint(_attributes(attributes), tag)
     said(source[at:])
     close(0)
     _judge(out, elements)
@@ -339,6 +342,10 @@ def folded(items: list[Item]) -> list[Item]:
     for size in (1, 2, 3, 4, 5, 6, 8, 10, 12):
         k, out = 0, []
         while k < len(items):
+            if k + size >= len(items) or items[k] != items[k + size]:
+                out.append(items[k])
+                k += 1
+                continue
             n = 1
             while items[k : k + size] == items[k + n * size : k + (n + 1) * size] and k + (n + 1) * size <= len(items):
                 n += 1
