@@ -238,19 +238,17 @@ def digest(result: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, least: int = 80) -> DataFrame:
-    """One row, all columns, of each group of docs: its smallest doc_id.
+    """One row, all columns, of each group of docs: of its smallest doc_id, null last.
 
-    Repeated rows of that id give one row. Unlike texts under one doc_id each give a row for each set
-    of shingles. Rows with a null doc_id stay only if no other document has their set, one row of
-    equal sets. Texts without words are in no group and give a row of equal ids and texts.
+    Every text of every id is on its own in this, so near copies under one doc_id, and rows without an id, are grouped like all others, and
+    unlike texts under one id stay. Of rows of one id and text one stays, the same whatever the order. Texts without words are in no
+    group and give a row of equal ids and texts.
     """
-    some = F.col("n_shingles") > 0
-    rows = _grouped(docs, size, least).where("doc_id = component_id OR component_id IS NULL")
-    # what has no words is told apart by id and text, all else by its set
-    heads = rows.groupBy("component_id", "a", "b", "n_shingles", F.when(~some, F.col("said")).alias("empty")).agg(F.min("said").alias("_said"))
-    chosen = heads.select(F.coalesce("component_id", F.lit(0)).alias("_id"), F.col("component_id").isNull().alias("_none"), "_said").distinct()
     doc_id = F.col("doc_id").cast("long")
-    # the rows as one column, whatever the names in them
-    named = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_none"), _said().alias("_said"), F.xxhash64(*docs.columns).alias("_all"))
-    equal = Window.partitionBy("_id", "_none", "_said").orderBy("_all")
-    return named.join(chosen, ["_id", "_none", "_said"], "left_semi").withColumn("_row", F.row_number().over(equal)).where("_row = 1").select("doc.*")
+    node = F.xxhash64(F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), F.col("text").cast("binary"))
+    label = _grouped(docs.select(node.alias("doc_id"), "text"), size, least).select(F.col("doc_id").alias("_node"), "component_id")
+    ids = docs.select(node.alias("_node"), doc_id.isNull().alias("_none"), doc_id.alias("_id")).distinct()
+    heads = label.distinct().join(ids, "_node").groupBy("component_id").agg(F.min(F.struct("_none", "_id", "_node")).alias("h")).select(F.col("h._node").alias("_node"))
+    # the rows as one column, whatever the names in them; equal ones are few before they are shuffled
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), node.alias("_node"), F.xxhash64(*docs.columns).alias("_all"))
+    return rows.groupBy("_node").agg(F.min_by("doc", "_all").alias("doc")).join(heads, "_node", "left_semi").select("doc.*")

@@ -7,8 +7,10 @@ enumerate, by rising waste, the undominated fillings of the rest of its sequence
 dominated if some of its pieces can give way to one longer piece that is left, or several to one as
 long. Best-fit packing gives the first incumbent; branch and bound over the fillings, each repeated as often
 as the counts allow or less often, looks for a better one and drops a branch as soon as its waste
-cannot beat the incumbent. It stops when a lower bound is met, or after STEPS fillings; a Plan tells
-its sequences and the bound, so that the gap is known. A plan is a list of sequence shapes with a
+cannot beat the incumbent. It stops when a lower bound is met, or after STEPS fillings. As the search from the top never comes back
+to its first sequences, the best plan so far is then completed anew in places, RESTARTS times: a few of its sequences, a loose one among them, are taken
+apart and filled again around the largest piece each time, by fillings of least waste; what needs fewer sequences, or as many
+with the waste more in one place, takes their place, and where it needs fewer in all copies of them. A Plan tells its sequences and the bound, so that the gap is known. A plan is a list of sequence shapes with a
 number of copies each: its size does not grow with the corpus. Every piece then finds its place
 from its rank among the pieces of its length, by shuffles alone.
 
@@ -24,9 +26,11 @@ from __future__ import annotations
 
 import json
 import logging
+import random
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -44,6 +48,8 @@ END = 2
 ROOM = 1024
 #: Fillings that branch and bound looks at; the incumbent stands if they run out, and the gap to the bound is told.
 STEPS = 20_000
+#: Times that some sequences are filled again, how many at most, how many of the loosest one is chosen from, and rounds between looking for those.
+RESTARTS, SOME, LOOSEST, LOOK = 4_000, 8, 6, 20
 # How byte-level BPE parts a text before it merges; equal in both libraries for all characters up to U+024F.
 PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ORDINARY = "\x00-ɏ‐-‧"
@@ -317,9 +323,71 @@ def complete(counts: dict[int, int], room: int = ROOM, steps: int = STEPS) -> Pl
             open_.append(_choices(left, room))
         else:
             take(choice[0], -choice[1])
+    if best > bound:
+        shapes = refilled(shapes, room, bound)
+        best = sum(n for _, n in shapes)
     return Plan(shapes, best, bound)
 
 
+def _filled(pool: dict[int, int], room: int, rng: random.Random) -> list[Shape]:
+    """Sequences for a few pieces: around the largest one left, by one of the fillings of least waste."""
+    left, out = dict(pool), []
+    while there := [x for x, n in left.items() if n]:
+        longest = max(there)
+        left[longest] -= 1
+        found = fillings(room - longest, left)
+        best = next(found)
+        for _ in range(rng.randrange(4)):
+            other = next(found, None)
+            if other is None or _size(other) < _size(best):
+                break
+            best = other
+        shape = Counter({longest: 1})
+        for x, m in best:
+            left[x] -= m
+            shape[x] += m
+        out.append(tuple(sorted(shape.items(), reverse=True)))
+    return out
+
+
+def _size(shape: Shape) -> int:
+    return sum(x * m for x, m in shape)
+
+
+def refilled(plan: list[tuple[Shape, int]], room: int, bound: int, restarts: int = RESTARTS) -> list[tuple[Shape, int]]:
+    """A plan of as many sequences or fewer, by filling a few of them again at a time. The same plan gives the same result."""
+    rng, held = random.Random(1), Counter()
+    for shape, n in plan:
+        held[shape] += n
+    total = held.total()
+    for k in range(restarts):
+        if total <= bound:
+            break
+        if k % LOOK == 0:
+            keys = sorted(s for s in held if s != ((room, 1),))
+            loose = sorted(keys, key=_size)[:LOOSEST]
+        some = Counter(s for s in (rng.choice(loose), *(rng.choice(keys) for _ in range(rng.randrange(2, SOME)))) if held[s])
+        some = Counter({s: min(m, held[s]) for s, m in some.items()})
+        pool: Counter[int] = Counter()
+        for shape, n in some.items():
+            for x, m in shape:
+                pool[x] += m * n
+        new = Counter(_filled(pool, room, rng))
+        tight = lambda plan: sum(_size(s) ** 2 * n for s, n in plan.items())
+        fewer = some.total() - new.total()
+        if fewer < 0 or fewer == 0 and tight(new) < tight(some):
+            continue
+        times = min(held[s] // n for s, n in some.items()) if fewer else 1
+        for s, n in some.items():
+            held[s] -= n * times
+        for s in [s for s in some if not held[s]]:
+            del held[s]
+        for s, n in new.items():
+            held[s] += n * times
+        total -= fewer * times
+    return sorted(held.items())
+
+
 def pack(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
     cut = keep(pieces(docs, tokenizer, room).withColumn("part", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(4 * partitions(docs.sparkSession))).cast("int")))

@@ -14,6 +14,7 @@ import struct
 import zlib
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -559,3 +560,41 @@ def test_plans_hold_all_pieces_and_are_best_where_small(seed):
 
     search(0, [])
     assert sum(n for _, n in plan.shapes) == plan.sequences == best[0] >= plan.bound
+
+
+def test_filling_again_needs_fewer_sequences():
+    rng = random.Random(3)
+    for n in (30, 200, 1200):
+        for _ in range(4):
+            counts = collections.Counter(rng.choice([rng.randrange(1, 100), rng.randrange(20, 60), rng.randrange(51, 80)]) for _ in range(n))
+            before = packing.best_fit(counts, 100)
+            bound = packing.lower_bound(counts, 100)
+            after = packing.refilled(before, 100, bound, 600)
+            assert after == packing.refilled(before, 100, bound, 600)
+            held = collections.Counter()
+            for shape, copies in after:
+                assert sum(x * m for x, m in shape) <= 100 and copies > 0
+                for x, m in shape:
+                    held[x] += m * copies
+            assert held == counts
+            total = sum(c for _, c in after)
+            assert bound <= total <= sum(c for _, c in before)
+    coder, sizes = packing.Coder(TOKENIZER, packing.merge_ranks(TOKENIZER)), collections.Counter()
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        n = len(coder.of(text or "")) // 4 + 1
+        sizes.update([1024] * (n // 1024) + [n % 1024] * (n % 1024 > 0))
+    plan = packing.complete(sizes)
+    assert plan.sequences < sum(c for _, c in packing.best_fit(sizes, 1024)) and plan.gap <= 1
+    # copies of one plan are all filled again at once
+    many = [(((60, 1), (30, 1)), 10**9), (((50, 1), (20, 1)), 10**9), (((40, 1), (10, 1)), 10**9)]
+    assert sum(c for _, c in packing.refilled(many, 100, 0, 200)) < 3 * 10**9
+
+
+def test_near_copies_under_one_id_are_one(spark):
+    words = [f"w{k}" for k in range(300)]
+    near = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in (10, 200)]
+    rows = [(5, near[0], "a"), (5, near[1], "b"), (5, near[1], "b"), (None, near[0], "c"), (7, near[1], "d"), (None, " ".join(words[::-1]), "e"), (9, "", "f"), (9, "", "f"), (9, None, "g"), (5, "quite another text that stays under the id that it has", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own string").repartition(3)
+    got = sorted(minhash.one_of_each(df).collect(), key=str)
+    assert collections.Counter(r.doc_id for r in got) == {5: 2, 9: 2, None: 1}
+    assert {r.own for r in got if r.doc_id == 5} in ({"a", "h"}, {"b", "h"}) and {r.own for r in got if r.doc_id is None} == {"e"}
