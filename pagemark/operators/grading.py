@@ -176,13 +176,20 @@ def grade_blocks(blocks: DataFrame, page_holds: DataFrame, model_reads: DataFram
     return results, page_counts(page_holds.select("img_id", F.coalesce("page_no", F.lit("")).alias("page_no"), F.coalesce("hold_reason", F.lit("")).alias("hold_reason")), results)
 
 
-def status(request: DataFrame, answer_key: DataFrame) -> DataFrame:
-    """request with status: 422 for a missing field or unknown source, 400 for bad base64, 404 for an unknown book, else 200."""
+def status(request: DataFrame, answer_key: DataFrame, pictures: bool = False) -> DataFrame:
+    """request with status: 422 for a missing field or unknown source, 400 for bad base64, 404 for an unknown book, else 200.
+
+    pictures: bytes that are no picture by their header give 400 too.
+    """
     from ..sources.answers import decoded_base64
+    from ..sources.pictures import picture_header
 
     books = answer_key.select(F.col("book_key").alias("_book")).distinct()
     source = F.upper(F.coalesce("workSheetSource", F.lit("WORKBOOK")))
     out = request.join(books, book_key(F.col("name")) == books["_book"], "left")
     missing = F.col("name").isNull() | F.col("image_base64").isNull() | ~source.isin("WORKBOOK", "EXAM")
-    code = F.when(missing, 422).when(decoded_base64(F.col("image_base64")).isNull(), 400).when(F.col("_book").isNull(), 404).otherwise(200)
+    # bytes of requests that are refused before are not looked at
+    data = F.when(~missing, decoded_base64(F.col("image_base64")))
+    unreadable = picture_header(data)["kind"].isNull() if pictures else data.isNull()
+    code = F.when(missing, 422).when(unreadable, 400).when(F.col("_book").isNull(), 404).otherwise(200)
     return out.select(*request.columns, code.alias("status"))

@@ -250,8 +250,3 @@ def paired(truths: DataFrame, guesses: DataFrame, path: str = "path") -> DataFra
     """stem, truth, guess: what files of two folders (path, text) with the same stem say; files without a partner are left out."""
     said = lambda df, name: df.select(stem(F.col(path)).alias("stem"), F.col("text").alias(name))
     return said(truths, "truth").join(said(guesses, "guess"), "stem")
-
-
-def write_labels(boxes: DataFrame, folder: str) -> None:
-    """A text file of label lines for each picture (img_id and what yolo_boxes takes), in a folder of its own."""
-    yolo_boxes(boxes).select("img_id", "label_line").repartition("img_id").sortWithinPartitions("img_id", "label_line").write.partitionBy("img_id").text(folder)

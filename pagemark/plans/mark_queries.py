@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import marks
-from .registry import query, table
+from ..sources import labels
+from .registry import own_folder, query, table
 
 _LINES = "SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, CAST(round(l_tax * 100) AS INT) AS t, l_suppkey AS s, l_partkey AS p FROM lineitem"
 
@@ -56,13 +57,13 @@ def extra_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT l_suppkey % 50 AS k, l_partkey % 700 AS x, l_orderkey % 900 AS y FROM lineitem WHERE l_suppkey % 50 < 49 OR l_linenumber = 1),
+WITH p AS (SELECT CAST(floor(sqrt(l_partkey)) AS BIGINT) AS k, l_suppkey * 7 % 700 AS x, l_orderkey % 900 AS y FROM lineitem),
 c AS (SELECT k, count(*) AS n, trunc(quantile_cont(x, 0.02)) AS a, trunc(quantile_cont(y, 0.02)) AS b, trunc(quantile_cont(x, 0.98)) AS c, trunc(quantile_cont(y, 0.98)) AS d FROM p GROUP BY k)
 SELECT k, CAST(greatest(0, a - 30) AS INT) AS x1, CAST(greatest(0, b - 30) AS INT) AS y1, CAST(c + 30 AS INT) AS x2, CAST(d + 30 AS INT) AS y2 FROM c WHERE n >= 50""")
 def ink_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crops between the percentiles of ink."""
-    line = table(spark, sf_dir, "lineitem").where("l_suppkey % 50 < 49 OR l_linenumber = 1")  # what ink there is
-    pixels = line.select((F.col("l_suppkey") % 50).alias("k"), (F.col("l_partkey") % 700).alias("x"), (F.col("l_orderkey") % 900).alias("y"))
+    # parts' numbers between squares: the first of these groups has too little ink
+    pixels = table(spark, sf_dir, "lineitem").select(F.floor(F.sqrt("l_partkey")).alias("k"), (F.col("l_suppkey") * 7 % 700).alias("x"), (F.col("l_orderkey") % 900).alias("y"))
     return marks.ink_box(pixels, ["k"])
 
 
@@ -160,3 +161,14 @@ def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = _share(F.col("o_orderkey")), _share(F.col("o_custkey"))
     boxes = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("class_id"), x.alias("x1"), y.alias("y1"), (x + 10).alias("x2"), (y + 20).alias("y2"), F.lit(500.0).alias("w"), F.lit(500.0).alias("h"))
     return marks.yolo_boxes(boxes).select("o_orderkey", "label_line")
+
+
+@query("""
+SELECT 'train' AS split, CAST(o_custkey AS VARCHAR) AS img_id, CAST(o_orderkey % 5 AS INT) AS class_id, round((o_orderkey % 900 * 2 + 20) / 2.0 / 1000, 6) AS cx, round((o_orderkey % 400 * 2 + 60) / 2.0 / 500, 6) AS cy, 0.02::DOUBLE AS w, 0.12::DOUBLE AS h FROM orders""")
+def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes written as label files, a file a picture, and read back."""
+    x, y = (F.col("o_orderkey") % 900).cast("double"), (F.col("o_orderkey") % 400).cast("double")
+    boxes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("img_id"), (F.col("o_orderkey") % 5).alias("class_id"), x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 60).alias("y2"), F.lit(1000.0).alias("w"), F.lit(500.0).alias("h"))
+    folder = own_folder(spark, "labels")
+    labels.write_labels(boxes, folder, list("01234"))
+    return labels.read_labels(spark, folder)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.equivalence import with_equality
-from ..operators import grading, layout, marks
-from ..sources import answers
+from ..operators import grading, layout, marks, providers
+from ..sources import answers, pictures
 from ..streaming import session
 from . import report
 from .registry import own_folder, query, table
@@ -381,3 +381,67 @@ def page_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = line.select(F.col("l_orderkey").alias("img_id"), stated.alias("page"), (F.col("l_linenumber") + F.col("l_suppkey") % 3).cast("string").alias("qkey"), F.col("l_partkey").cast("string").alias("value"))
     found = grading.resolve_page(asked, merged, key)
     return found.select("img_id", "page_no", "known", "read", F.when(F.col("read"), F.size("answers")).otherwise(0).cast("long").alias("answers"))
+
+
+def _picture(k: Column) -> Column:
+    """Bytes by a part's number: PNGs, JPEGs that stand, lie or have no frame, bitmaps, and what is cut off or spoilt."""
+    hex_ = lambda c, n: F.lpad(F.hex(c), n, "0")
+    w, h = 1 + k % 900, 2 + k % 77
+    header = F.concat(F.lit("49484452"), hex_(w, 8), hex_(h, 8), F.lit("0802000000"))
+    png = lambda spoilt: F.concat(F.lit("89504E470D0A1A0A0000000D"), header, hex_(F.crc32(F.unhex(header)).bitwiseXOR(spoilt), 8))
+    pixels = F.lit("0000000149444154" + "00" * 5)
+    exif = F.concat(F.lit("FFE1001E457869660000" + "4D4D002A00000008" + "0001" + "011200030000000100"), hex_(1 + k % 8, 2), F.lit("0000"))
+    frame = F.concat(F.lit("FFC0000B08"), hex_(h, 4), hex_(w, 4), F.lit("01011100"))
+    scan = F.lit("FFDA0008010100003F00" + "FFD9")
+    turned = lambda n: F.concat(*(F.substring(hex_(n, 8), i, 2) for i in (7, 5, 3, 1)))
+    bitmap = F.concat(F.lit("424D" + "00" * 12 + "28000000"), turned(w), turned(h), F.lit("00" * 28))
+    made = [F.concat(png(0), pixels), F.concat(F.lit("FFD8"), exif, frame, scan), bitmap, F.concat(F.lit("FFD8"), exif, scan), png(0), F.concat(png(1), pixels), F.concat(F.lit("FFD8FFFF"), F.substring(frame, 3, 99), scan), F.lit("6869")]
+    return F.unhex(F.element_at(F.array(*made), (k % 8 + 1).cast("int")))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_partkey % 8 AS c, CAST(1 + p_partkey % 900 AS INT) AS w, CAST(2 + p_partkey % 77 AS INT) AS h FROM part),
+n AS (SELECT k, CASE c WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'bmp' WHEN 6 THEN 'jpeg' END AS kind, w, h, CASE WHEN c = 1 THEN CAST(1 + k % 8 AS INT) ELSE 1 END AS turn FROM p)
+SELECT k, kind, CASE WHEN kind IS NULL THEN NULL WHEN turn >= 5 THEN h ELSE w END AS width, CASE WHEN kind IS NULL THEN NULL WHEN turn >= 5 THEN w ELSE h END AS height, CASE WHEN kind IS NOT NULL THEN turn END AS orientation,
+  CASE WHEN k % 11 = 0 THEN 422 WHEN kind IS NULL OR k % 13 = 0 THEN 400 WHEN k % 5 = 0 THEN 404 ELSE 200 END AS status FROM n""")
+def picture_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures by their headers, upright, and the status of requests with them."""
+    k = F.col("k")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).withColumn("data", _picture(k))
+    name = F.when(k % 11 == 0, None).when(k % 5 == 0, "nobody").otherwise("The book")
+    sent = F.when(k % 13 == 0, "not base64").otherwise(F.regexp_replace(F.base64("data"), r"\s", ""))
+    requests = part.select("k", "data", name.alias("name"), F.lit(None).cast("string").alias("workSheetSource"), sent.alias("image_base64"))
+    key = table(spark, sf_dir, "region").select(F.lit("the book").alias("book_key")).distinct()
+    told = grading.status(requests, key, pictures=True).withColumn("header", pictures.picture_header(F.col("data")))
+    size = pictures.upright_size(F.col("header"))
+    return told.select("k", "header.kind", size["width"].alias("width"), size["height"].alias("height"), "header.orientation", "status")
+
+
+@query("""
+WITH e AS (SELECT event_id // 4 AS r, CAST(1 + event_id % 4 // 2 AS INT) AS t, event_id % 2 AS second, user_id % 7 AS u, event_id // 4 % 4 AS p, user_id AS n FROM events),
+o AS (SELECT r, t, second, p, CASE WHEN u = 0 THEN 'fail' WHEN u = 1 THEN 'late' WHEN u = 2 THEN 'bad' WHEN u = 3 THEN 'none' ELSE 'said' END AS kind, n FROM e WHERE p <= 2 AND (p = 0 OR second = 0)),
+a AS (SELECT o.r, o.t, o.second, o.kind, o.n, row_number() OVER (PARTITION BY o.r ORDER BY o.t, o.second) AS i FROM o LEFT JOIN o f ON f.r = o.r AND f.t = o.t AND f.second = 0 AND o.second = 1
+      WHERE o.second = 0 OR f.kind = 'late'),
+d AS (SELECT r, min(i) AS i FROM a WHERE kind IN ('none', 'said') GROUP BY r),
+c AS (SELECT a.r, max(a.i) AS calls, max(CASE WHEN a.i = d.i AND kind = 'said' THEN 'reply ' || n END) AS reply FROM a LEFT JOIN d USING (r) WHERE d.i IS NULL OR a.i <= d.i GROUP BY a.r)
+SELECT q.r, reply, CAST(coalesce(calls, 0) AS INT) AS calls FROM (SELECT DISTINCT r FROM e) q LEFT JOIN c USING (r)""")
+def provider_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls to providers as they were answered: retries, the second endpoint, refusals and unknown providers."""
+    e, u = F.col("event_id"), F.col("user_id") % 7
+    provider = F.element_at(F.array(*(F.lit(x) for x in (providers.OPENAI, providers.GEMINI, providers.ANTHROPIC, "other"))), (F.floor(e / 4) % 4 + 1).cast("int"))
+    text = F.concat(F.lit(" `reply "), F.col("user_id"), F.lit("` "))
+    chat = F.when(e % 2 == 1, providers.CHAT).otherwise(providers.RESPONSES)
+    q = lambda start, end: F.concat(F.lit(start), text, F.lit(end))
+    said = (
+        F.when((provider == providers.OPENAI) & (e % 2 == 1), q('{"choices":[{"message":{"content":"', '"}}]}'))
+        .when(provider == providers.OPENAI, q('{"output":[{"type":"reasoning"},{"type":"message","content":[{"type":"other"},{"type":"output_text","text":"', '"}]}]}'))
+        .when(provider == providers.GEMINI, q('{"candidates":[{"content":{"parts":[{"text":"', '"}]}}]}'))
+        .otherwise(q('{"stop_reason":"end","content":[{"type":"thinking"},{"type":"text","text":"', '"}]}'))
+    )
+    silent = (
+        F.when((provider == providers.OPENAI) & (e % 2 == 1), F.lit('{"choices":[{"message":{"content":null}}]}')).when(provider == providers.OPENAI, F.lit('{"output":[{"type":"message","content":[]}]}'))
+        .when(provider == providers.GEMINI, F.lit('{"candidates":[{"content":{"parts":[{"text":""}]}}]}')).otherwise(F.lit('{"stop_reason":"refusal","content":[{"type":"text","text":"no"}]}'))
+    )
+    status, body = F.when(u == 0, None).when(u == 1, 503).otherwise(200), F.when(u == 2, "{broken").when(u == 3, silent).when(u > 3, said)
+    attempts = table(spark, sf_dir, "events").select(F.floor(e / 4).alias("r"), provider.alias("provider"), (1 + F.floor(e % 4 / 2)).cast("int").alias("try"), chat.alias("endpoint"), status.alias("status"), body.alias("body"))
+    return providers.replies(attempts, ["r"])

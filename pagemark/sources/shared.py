@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,3 +31,9 @@ def kept(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_root(df.sparkSession, "checkpoint-"))
     return df.checkpoint()
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system, and the path in it, of a path or URI as Spark writes it; for files that Spark's own writers do not make."""
+    path = re.sub(r"^file:/+", "/", path)
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)

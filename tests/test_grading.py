@@ -66,6 +66,26 @@ def test_a_title_is_asked_of_the_database(spark, tmp_path):
     assert answers.read_answer_key(spark, "jdbc", url=url, title="none", **driver).count() == 0
 
 
+def test_spellings_ranges_and_failures_of_a_database(spark, tmp_path, monkeypatch):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    sheets = [(1, "Winter  SHEETS"), (2, " winter sheets "), (3, "Winter Sheets 2"), (4, "It's 100% 'Ä'"), (40, "other")]
+    spark.createDataFrame(sheets, "id long, title string").write.option("createTableColumnTypes", "title VARCHAR(99)").jdbc(url, "worksheet", properties=driver)
+    rows = [(i, 1, f"{i}", "SUBJECTIVE", "9", 5) for i, _ in sheets]
+    spark.createDataFrame(rows, "worksheet_id long, page int, question_number string, type string, correct_answer string, num_choices int").write.jdbc(url, "question", properties=driver)
+    told = lambda title=None: {r.question_no for r in answers.read_answer_key(spark, "jdbc", url=url, **({"title": title} if title else {}), **driver).collect()}
+    assert told("winter sheets") == {"1", "2"} and told("it's  100% 'ä'") == {"4"} and told("%") == set() and told("'; DROP TABLE worksheet; --") == set()
+    assert told() == {"1", "2", "3", "4", "40"}
+    everything = answers.read_answer_key(spark, "jdbc", url=url, **driver)
+    plan = everything._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(worksheet_id,1)" in plan and "LessThanOrEqual(worksheet_id,40)" in plan
+    monkeypatch.setattr(answers, "WORKSHEETS", 1)
+    assert told("winter sheets") == {"1", "2"}
+    with pytest.warns(UserWarning, match="could not be read"):
+        none = answers.read_answer_key(spark, "jdbc", url=f"jdbc:derby:{tmp_path}/nowhere", title="winter sheets", **driver)
+    assert none.count() == 0 and none.columns == everything.columns
+
+
 def test_mapped_questions(spark):
     questions = spark.createDataFrame(
         [(1, 12, "46", "MULTIPLE_CHOICE", "2,4", 4), (1, 13, "47", "SUBJECTIVE", "1/2", None), (2, 1, "1", "SUBJECTIVE", "9", None)],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemark.operators import capture, vision
 from pagemark.sources.answers import images
-from pagemark.streaming.session import finish, page_results, start_session
+from pagemark.streaming.session import Metrics, finish, page_results, start_session
 
 
 def png(path, picture):
@@ -48,11 +48,13 @@ def test_session(spark, folder, fails):
             raise RuntimeError("reader gone")
         return paths.select(F.col("path").alias("img_id"), F.lit("1").alias("page_no"), F.lit("").alias("hold_reason"), F.lit(1).cast("long").alias("O"), F.lit(0).cast("long").alias("X"), F.lit(0).cast("long").alias("HOLD"))
 
-    out, told = [str(folder / x) for x in ("checkpoint", "accepted", "rejected")], []
-    query = start_session(spark, str(folder / "in"), out[0], gate, grade, out[1], out[2], on_result=lambda pages: told.extend(pages.collect()))
+    out, told, metrics = [str(folder / x) for x in ("checkpoint", "accepted", "rejected")], [], Metrics()
+    query = start_session(spark, str(folder / "in"), out[0], gate, grade, out[1], out[2], on_result=lambda pages: told.extend(pages.collect()), metrics=metrics)
     query.awaitTermination()
     assert finish(spark, query, out[1]).first().O == (0 if fails else 1)
     assert spark.read.parquet(out[2]).count() == 2
+    figures = metrics.summary(0.0)
+    assert [figures[x] for x in ("pages", "accepted", "rejected", "held")] == [3, 1, 2, int(fails)] and 0 < figures["mean_seconds"] <= figures["max_seconds"] < figures["wait"]
     pages = page_results(spark, out[1]).collect()
     assert ("reader gone" in pages[0].hold_reason) == fails and sorted(told) == sorted(pages)
 
