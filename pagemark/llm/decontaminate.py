@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, keep, table_lower_words
+from .common import few, group_starts, keep, table_lower_words
 
 SHINGLE = 5
 PART_CHARS = 8_000_000
@@ -47,11 +47,10 @@ class Tokens:
     first: list[int]  #: for each length from 1: number of the first token of the length
 
     @staticmethod
-    def of(items: list[list[bytes]]) -> Tokens:
-        words = {w: i + 1 for i, w in enumerate(sorted({w for item in items for w in item}))}
+    def of(words: dict[bytes, int], codes: list[np.ndarray]) -> Tokens:
+        """codes: the items' words by number."""
         levels: list[np.ndarray] = []
-        first, codes = [0], [np.array([words[w] for w in item], np.int64) for item in items]
-        now, count = codes, len(words) + 1
+        now, first, count = codes, [0], len(words) + 1
         for k in range(2, SHINGLE + 1):
             first.append(first[-1] + count)
             pairs = [n[: max(0, len(c) - k + 1)] * (len(words) + 1) + c[k - 1 :] if len(c) >= k else c[:0] for n, c in zip(now, codes, strict=True)]
@@ -60,6 +59,11 @@ class Tokens:
             count = len(levels[-1]) + 1
         return Tokens(words, levels, first)
 
+    @property
+    def total(self) -> int:
+        """Numbers of all tokens are below."""
+        return self.first[-1] + len(self.levels[-1]) + 2
+
     def at(self, codes: np.ndarray, lengths: set[int]) -> dict[int, np.ndarray]:
         """For each length: the token that starts at each word, -1 where there is none."""
         out, now, start = {}, codes, np.flatnonzero(codes)
@@ -80,62 +84,98 @@ class Tokens:
         return out
 
 
+@dataclass
+class Prefixes:
+    """Windows by their rarest token."""
+
+    tokens: np.ndarray  #: sorted, each once
+    starts: np.ndarray  #: where each one's windows begin, and where the last one's end
+    windows: np.ndarray
+    offsets: np.ndarray  #: of the token in each window
+
+
 @dataclass
 class Part:
-    """Windows of some items. Windows of the same words are one."""
+    """Windows of some items, as arrays. Windows of the same words are one."""
 
     tokens: Tokens
     windows: np.ndarray  #: tokens at offsets 0, 1, ... of each window; -1 beyond its last
     sizes: np.ndarray  #: words in each window
-    items: list[tuple[int, ...]]  #: numbers of the items that have the window
+    owners: np.ndarray  #: numbers of the items that have each window, window by window
+    starts: np.ndarray  #: where each window's owners begin, and where the last one's end
     ids: list[str]
     lengths: set[int]  #: of tokens
 
     @staticmethod
     def of(rows: list[tuple[str, bytes]], size: int) -> Part:
-        texts = [(i, words_of(t)) for i, t in rows]
-        texts = [(i, w) for i, w in texts if w]
-        tokens = Tokens.of([w for _, w in texts])
-        lengths = {min(SHINGLE, size, len(w)) for _, w in texts}
-        ids = sorted({i for i, _ in texts})
+        words: dict[bytes, int] = {}
+        names, codes = [], []
+        for i, text in sorted(rows):
+            found = words_of(text)
+            if found:
+                names.append(i)
+                codes.append(np.fromiter((words.setdefault(w, len(words) + 1) for w in found), np.int64, len(found)))
+        tokens = Tokens.of(words, codes)
+        ids = sorted(set(names))
         number = {x: k for k, x in enumerate(ids)}
-        found: dict[tuple[int, tuple[int, ...]], set[int]] = {}
-        for i, w in texts:
-            n, k = min(size, len(w)), min(SHINGLE, size, len(w))
-            at = tokens.at(np.array([tokens.words[x] for x in w], np.int64), lengths)[k]
-            for s in range(len(w) - n + 1):
-                found.setdefault((n, tuple(at[s : s + n - k + 1].tolist())), set()).add(number[i])
-        windows = np.full((len(found), size), -1, np.int64)
-        for k, (_, row) in enumerate(found):
-            windows[k, : len(row)] = row
-        return Part(tokens, windows, np.array([n for n, _ in found], np.int64), [tuple(sorted(x)) for x in found.values()], ids, lengths)
-
-    def prefixes(self, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """Rarest token -> windows that have it as such, and its offset there."""
-        out: dict[int, list[tuple[int, int]]] = {}
-        for w, row in enumerate(self.windows):
-            offset = min(range(int((row >= 0).sum())), key=lambda j: (counts.get(int(row[j]), 0), j))
-            if row[offset] in counts:  # else no document holds the window
-                out.setdefault(int(row[offset]), []).append((w, offset))
-        return out
-
-
-    def verified(
-        self, at: np.ndarray, token: np.ndarray, n_words: int, rarest: np.ndarray, prefix: dict[int, list[tuple[int, int]]]
-    ) -> tuple[dict[int, int], set[int]]:
+        lengths = {min(SHINGLE, size, len(c)) for c in codes}
+        # by words in a window: the windows of all items that have such, a row each
+        rows_of: dict[int, list[np.ndarray]] = {}
+        owner_of: dict[int, list[np.ndarray]] = {}
+        for i, c in zip(names, codes, strict=True):
+            n = min(size, len(c))
+            k = min(SHINGLE, n)
+            at = tokens.at(c, {k})[k][: len(c) - k + 1].astype(np.int32)
+            rows_of.setdefault(n, []).append(np.lib.stride_tricks.sliding_window_view(at, n - k + 1))
+            owner_of.setdefault(n, []).append(np.full(len(c) - n + 1, number[i], np.int64))
+        wide = max((x[0].shape[1] for x in rows_of.values()), default=1)
+        parts, owners, before = [], [], 0
+        for n in sorted(rows_of):
+            every = np.ascontiguousarray(np.concatenate(rows_of.pop(n)))
+            keys, which = np.unique(every.view(f"V{4 * every.shape[1]}").ravel(), return_inverse=True)
+            one = np.full((len(keys), wide), -1, np.int32)
+            one[:, : every.shape[1]] = keys.view(np.int32).reshape(len(keys), -1)
+            parts.append((one, np.full(len(keys), n, np.int32)))
+            owners.append(np.unique((which.ravel() + before) * max(1, len(ids)) + np.concatenate(owner_of.pop(n))))
+            before += len(keys)
+        pairs = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        window, owner = np.divmod(pairs, max(1, len(ids)))
+        empty = np.zeros((0, wide), np.int32)
+        return Part(
+            tokens, np.concatenate([x for x, _ in parts]) if parts else empty, np.concatenate([n for _, n in parts]) if parts else empty[:, 0],
+            owner.astype(np.int32), np.searchsorted(window, np.arange(before + 1)), ids, lengths,
+        )
+
+    def prefixes(self, counts: np.ndarray) -> Prefixes:
+        """Windows by their rarest token (of equally rare ones the first); counts: how many each token has. Windows that no document can hold are left out."""
+        some = [np.zeros(0, np.int64)] * 3
+        for at in range(0, len(self.windows), 1 << 16):
+            rows = self.windows[at : at + (1 << 16)]
+            offset = np.argmin(np.where(rows >= 0, counts[rows], np.iinfo(np.int64).max), axis=1)
+            token = rows[np.arange(len(rows)), offset]
+            there = np.flatnonzero(counts[token])
+            some = [np.append(a, b) for a, b in zip(some, (token[there], there + at, offset[there]), strict=True)]
+        order = np.argsort(some[0], kind="stable")
+        token = some[0][order]
+        starts = group_starts(token)
+        return Prefixes(token[starts], np.append(starts, len(token)), some[1][order], some[2][order])
+
+    def verified(self, at: np.ndarray, token: np.ndarray, n_words: int, prefixes: Prefixes) -> tuple[dict[int, int], set[int]]:
         """Start -> length of the windows that a document holds, and the items' numbers."""
         hits: dict[int, int] = {}
         got: set[int] = set()
-        pairs = set(zip(at.tolist(), token.tolist(), strict=True))
-        found = np.minimum(np.searchsorted(rarest, token), len(rarest) - 1)
-        for i in np.flatnonzero(rarest[found] == token):
-            for w, offset in prefix[int(token[i])]:
-                start, n = int(at[i]) - offset, int(self.sizes[w])
+        found = np.minimum(np.searchsorted(prefixes.tokens, token), len(prefixes.tokens) - 1)
+        met = np.flatnonzero(prefixes.tokens[found] == token)
+        pairs = set(zip(at.tolist(), token.tolist(), strict=True)) if len(met) else set()
+        for i, r in zip(met.tolist(), found[met].tolist(), strict=True):
+            for p in range(prefixes.starts[r], prefixes.starts[r + 1]):
+                w = prefixes.windows[p]
+                start, n = int(at[i] - prefixes.offsets[p]), int(self.sizes[w])
                 if start < 0 or start + n > n_words:
                     continue
-                if all((start + j, int(x)) in pairs for j, x in enumerate(self.windows[w]) if x >= 0):
+                if all((start + j, x) in pairs for j, x in enumerate(self.windows[w].tolist()) if x >= 0):
                     hits[start] = max(n, hits.get(start, 0))
-                    got.update(self.items[w])
+                    got.update(self.owners[self.starts[w] : self.starts[w + 1]].tolist())
         return hits, got
 
 
@@ -242,17 +282,18 @@ def _occurrences(given: DataFrame, items: list[tuple[str, bytes]], size: int, th
             yield pa.RecordBatch.from_pydict({"token": pa.array(tokens, pa.int64()), "n": pa.array(n, pa.int64())})
 
     # as many rows as the part has tokens, at most
-    counts = dict(met.select("token").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n")).collect())
+    counted = met.select("token").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(part.value.tokens.total, np.int64)
+    counts[counted["token"].to_numpy()] = counted["n"].to_numpy()
     prefixes = given.sparkSession.sparkContext.broadcast(part.value.prefixes(counts))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, prefix = part.value, prefixes.value
-        rarest = np.array(sorted(prefix), np.int64)
         for batch in few(batches):
             starts, lengths, items = [], [], []
             for n_words, a, t in zip(*(batch[x].to_pylist() for x in ("n_words", "at", "token")), strict=True):
                 at, token = np.frombuffer(a, "<i8"), np.frombuffer(t, "<i8")
-                hits, got = p.verified(at, token, n_words, rarest, prefix) if len(at) and len(rarest) else ({}, set())
+                hits, got = p.verified(at, token, n_words, prefix) if len(at) and len(prefix.tokens) else ({}, set())
                 starts.append(list(hits))
                 lengths.append(list(hits.values()))
                 items.append([p.ids[k] for k in got])
