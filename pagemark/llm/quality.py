@@ -211,6 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
             yield pa.RecordBatch.from_arrays([batch["id"], batch["quality"], batch["mark"], *made], ["id", "quality", "mark", "own", "lengths"])
 
     text = F.col("text").cast("binary")
+    docs = docs.select("doc_id", "text")  # whatever else is there
     joined = docs.join(known, docs["doc_id"] == known["id"]).select("id", "quality", text.alias("data"), F.xxhash64(text).alias("mark"))
     made = joined.mapInArrow(described, "id long, quality int, mark long, own binary, lengths binary")
     # one row of each id: sample rows at most

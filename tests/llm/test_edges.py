@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
+import re
 import zlib
 
 import corpus_pipeline
@@ -13,6 +15,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pagemark.llm import chat, decontaminate, fingerprints, language, minhash, packing, quality, recompress, suffix_dedup, wrappers
 
@@ -161,6 +164,84 @@ def test_odd_documents_in_every_operator(spark, odd, tables):
     assert words.where("doc_id = 5").first().n_removed == 200
 
 
+def test_values_of_odd_documents(spark, odd, tables):
+    """What the operators say of nulls, empty, very long and repeated texts, by plain steps."""
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    known = [(str(r.item_id), r.text or "") for r in tables["benchmark"].collect()]
+    long, said = (next(t for d, t in rows if d == k) for k in (7, 5))
+    known += [("long", " ".join(long.split()[40_000:40_010])), ("said", said), ("line", "line " * 3), ("nothing", " - ")]
+    items = spark.createDataFrame(known, "item_id string, text string")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    # benchmark windows
+    windows = collections.defaultdict(set)
+    for i, t in known:
+        w = words(t)
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if w else 0):
+            windows[tuple(w[k : k + n])].add(i)
+    want = collections.Counter()
+    for d, t in rows:
+        w, hit, got = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if (found := windows.get(tuple(w[k : k + n]))) is not None:
+                    got |= found
+                    hit |= set(range(k, k + n))
+        want[d, len(w), len(hit), tuple(sorted(got))] += 1
+    found = decontaminate.decontaminate(odd, items).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in found) == want and any("long" in x[3] for x in want)
+
+    # near copies
+    shingles = []
+    for d, t in rows:
+        w = (t or "").translate({c: c + 32 for c in range(65, 91)}).split()
+        shingles.append((d, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()))
+    parent = {d: d for d, _ in rows if d is not None}
+
+    def top(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for (a, x), (b, y) in itertools.combinations([s for s in shingles if s[0] is not None and s[1]], 2):
+        if 100 * len(x & y) >= 80 * len(x | y):
+            low, high = sorted((top(a), top(b)))
+            parent[high] = low
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(odd).where("doc_id IS NOT NULL").collect())
+    assert got == collections.Counter((d, len(x), top(d)) for d, x in shingles if d is not None)
+
+    # quality and language
+    fold = quality.bucket_of_id("doc_id", 5) == 0
+    field = quality.learn(odd, tables["labels"].where(~fold))
+    want = sorted(((d is not None, d or 0), round(slow_quality(field, t), 5)) for d, t in rows)
+    assert [((r.doc_id is not None, r.doc_id or 0), round(r.score, 5)) for r in sorted(quality.held_out(odd, tables["labels"]).collect(), key=lambda r: ((r.doc_id is not None, r.doc_id or 0), round(r.score, 5)))] == want
+    model = language.learn(tables["documents"])
+    short = [(d, t) for d, t in rows if t is None or len(t) < 2_000]
+    asked = spark.createDataFrame(short, "doc_id long, text string")
+    want = collections.Counter()
+    for d, t in short:
+        grams, ends = language.trigrams([t])
+        want[d, model.languages[slow_mixture(model, grams)[0]] if ends[-1] else "und"] += 1
+    assert collections.Counter((r.doc_id, r.lang_pred) for r in language.identify(asked, model).collect()) == want
+
+    # pieces
+    coder = Tokenizer.from_file(TOKENIZER)
+    want = collections.Counter()
+    for d, t in rows:
+        ids = [*coder.encode(t or "", add_special_tokens=False).ids, 2]
+        at, k, size = 0, 0, len(ids) % 1024 or 1024
+        while at < len(ids):
+            want[d, k, at, size, zlib.crc32(np.array(ids[at : at + size], "<u4").tobytes())] += 1
+            at, k, size = at + size, k + 1, 1024
+    placed = packing.pack(odd, TOKENIZER).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in placed) == want
+    taken = collections.defaultdict(list)
+    for r in placed:
+        taken[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in sorted(x)[:k]) == o for x in taken.values() for k, (o, _) in enumerate(sorted(x))) and all(sum(n for _, n in x) <= 1024 for x in taken.values())
+
+
 def test_odd_documents_in_every_stage(spark, odd, tmp_path):
     docs, columns = odd, odd.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import os
+
 import corpus_pipeline
 from pagemark.llm import decontaminate, minhash
+from pagemark.llm.common import shared_folder
 
 DATA = "/root/testdata/sf0.001"
 
@@ -19,6 +22,7 @@ def test_stages(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     assert {r.doc_id for r in last} == {r.doc_id for r in docs.collect()}
     run = corpus_pipeline.run(spark, DATA)
+    assert not [x for x in os.listdir(shared_folder(spark).removeprefix("file:")) if x.startswith("pipeline-")]
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in run.collect()) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in last)
     assert decontaminate.decontaminate(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).where("n_hit > 0").count() == 0
     dedup = spark.read.parquet(f"{tmp_path}/near_dedup")
