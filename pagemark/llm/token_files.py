@@ -144,9 +144,10 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 class Writer:
     """Files of one range, block by block."""
 
-    def __init__(self, folder: str, part: int, table: Table):
+    def __init__(self, folder: str, part: int, table: Table, every: int = CHECKPOINT, most: int = FILE_BLOCKS):
         self.system, self.folder = opened(folder)
         self.part, self.table, self.number = part, table, 0
+        self.every, self.most = every, most
         self.out = None
         self.index: list[dict] = []
 
@@ -164,12 +165,12 @@ class Writer:
         head = b"".join([np.array([x or 0 for x in docs], "<i8").tobytes(), np.array([x is None for x in docs], np.uint8).tobytes(), np.array(sizes, "<u4").tobytes()])
         entry = {"docs": len(docs), "ids": len(ids), "back": back, "ends": ends, "head": self._write(zlib.compress(head, 1)), "segments": []}
         done = 0
-        for x in encoded(ids, self.table, min(LANES, max(1, len(ids) // LANE_IDS))):
+        for x in encoded(ids, self.table, min(LANES, max(1, len(ids) // LANE_IDS)), self.every):
             place = self._write(x.states.astype("<u8").tobytes() + x.words.astype("<u4").tobytes())
             entry["segments"].append(place | {"lanes": len(x.states), "ids": x.n, "ids_crc": zlib.crc32(np.ascontiguousarray(ids[done : done + x.n], "<u4"))})
             done += x.n
         self.index.append(entry)
-        if len(self.index) == FILE_BLOCKS:
+        if len(self.index) == self.most:
             self.close()
 
     def close(self) -> None:
@@ -270,8 +271,8 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def write_ids(tokens: DataFrame, folder: str) -> int:
-    """Writes tokens (of `tokenised`, kept) to a folder; how many files there are."""
+def write_ids(tokens: DataFrame, folder: str, block: int = BLOCK, every: int = CHECKPOINT, most: int = FILE_BLOCKS) -> int:
+    """Writes tokens (of `tokenised`, kept) to a folder; how many files there are. block: ids of a block; every: steps between checkpoints; most: blocks of a file."""
     table = Table(normalised(id_counts(tokens)))
     write_table(folder, table)
     frequency = tokens.sparkSession.sparkContext.broadcast(table.frequency)  # as long as the vocabulary
@@ -289,15 +290,15 @@ def write_ids(tokens: DataFrame, folder: str) -> int:
 
         for batch in few(batches):
             for doc_id, wide, data in zip(batch["doc_id"].to_pylist(), batch["wide"].to_pylist(), batch["ids"].to_pylist(), strict=True):
-                out = out or Writer(folder, batch["part"][0].as_py(), table)
+                out = out or Writer(folder, batch["part"][0].as_py(), table, every, most)
                 ids, done = _ids(wide, data), 0
                 while done < len(ids):
-                    some = ids[done : done + BLOCK - size]
+                    some = ids[done : done + block - size]
                     held.append(some)
                     docs.append(doc_id)
                     sizes.append(len(some))
                     size, done = size + len(some), done + len(some)
-                    if size == BLOCK:
+                    if size == block:
                         flush(done if done < len(ids) else 0)
         if out is not None:
             flush(0)

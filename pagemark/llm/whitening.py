@@ -5,7 +5,7 @@ gathered from pairs of dimensions on the driver's side of the data: each pass mu
 over all centred rows c, in tasks that send one matrix each, and these are added up in a shuffle by the matrices' rows. A random start of
 RANK + OVER columns goes through POWERS passes, each made orthonormal on the driver (a matrix of the vectors' dimension, not of
 the rows). Rayleigh-Ritz then takes components from the small matrix Q' V Q. Their residuals V q - e q
-are of the same pass; where one is above SURE of the least eigenvalue the range did not hold the components to double precision, and the basis is
+are of the same pass; where one is above SURE of its eigenvalue, and above what rounding leaves of the first, the range did not hold the components to double precision, and the basis is
 expanded to the full dimension, where the same two steps are exact. Spectra that fall fast end early, flat ones expand.
 A last pass measures the covariance of the whitened rows.
 
@@ -33,8 +33,8 @@ from .common import few
 RANK, OVER, POWERS = 32, 16, 3
 #: Entries are 64ths, moved up by this.
 STEPS, SHIFT = 64, 1_000_000
-#: Residuals of the least eigenvalue that is kept, and eigenvalues of the largest, up to which they count as none.
-SURE, TINY = 1e-12, 1e-12
+#: Residuals of their eigenvalue, what rounding leaves of the largest one, and eigenvalues of the largest, up to which they count as none.
+SURE, ROUNDING, TINY = 1e-12, 1e-14, 1e-12
 #: Rows that are worked on at a time.
 ROWS = 4_096
 
@@ -136,24 +136,24 @@ def fit(vectors: DataFrame, rank: int = RANK, over: int = OVER, powers: int = PO
 
         return added(vectors, work, (d, q.shape[1] + 1)) / n
 
-    def ritz(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
-        """Components and eigenvalues in the span of q, the largest residual and the trace."""
+    def ritz(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Components and eigenvalues in the span of q, their residuals and the trace."""
         y = times(q)
         y, trace = y[:, :-1], float(y[0, -1])
         small = q.T @ y
         e, u = np.linalg.eigh((small + small.T) / 2)
         order = np.argsort(-e, kind="stable")[:rank]
         e, u = e[order], u[:, order]
-        residual = np.linalg.norm(y @ u - (q @ u) * e, axis=0).max(initial=0.0)
-        return q @ u, e, float(residual), trace
+        return q @ u, e, np.linalg.norm(y @ u - (q @ u) * e, axis=0), trace
 
     width = min(d, rank + over)
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((d, width)))[0]
     for _ in range(powers if width < d else 0):
         q = np.linalg.qr(times(q)[:, :-1])[0]
     components, e, residual, trace = ritz(q)
-    there = e > TINY * max(e.max(initial=0.0), 0.0)
-    expanded = width < d and residual > sure * e[there].min(initial=np.inf) if there.any() else width < d
+    first = max(e.max(initial=0.0), 0.0)
+    there = e > TINY * first
+    expanded = width < d and (not there.any() or bool((residual > np.maximum(sure * e, ROUNDING * first))[there].any()))
     if expanded:
         # the rest of the space, orthogonal to what there is
         more = np.linalg.qr(np.hstack([q, np.random.default_rng(8).standard_normal((d, d - width))]))[0]

@@ -68,7 +68,7 @@ def test_documents(spark):
     assert same(spark.read.parquet(f"{DATA}/documents.parquet"))
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 9, 10, 28, 82, 250])
+@pytest.mark.parametrize("n", [0, 1, 3, 10, 82, 250])
 def test_odd_rows_over_many_partitions_and_rounds(spark, n, monkeypatch):
     monkeypatch.setattr(merkle, "RUN", 4)
     monkeypatch.setattr(merkle, "FAN", 3)

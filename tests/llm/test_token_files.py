@@ -33,10 +33,9 @@ def plain(rows, tokenizer):
     return sorted(out, key=str)
 
 
-@pytest.fixture
-def small(monkeypatch):
-    for name, value in (("BLOCK", 5_000), ("CHECKPOINT", 4), ("FILE_BLOCKS", 4)):
-        monkeypatch.setattr(token_files, name, value)
+def written(spark, df, folder, **sizes):
+    token_files.write_ids(keep(token_files.tokenised(df, TOKENIZER)), folder, **sizes)
+    return token_files.read_ids(spark, folder)
 
 
 def test_documents(spark, tokenizer):
@@ -44,23 +43,24 @@ def test_documents(spark, tokenizer):
     assert sorted(map(tuple, queries.op13_token_files(spark, DATA).collect()), key=str) == plain(rows, tokenizer)
 
 
-def test_odd_documents_in_small_blocks(spark, tokenizer, small, tmp_path):
+def test_odd_documents_in_small_blocks(spark, tokenizer, tmp_path):
     rng = random.Random(3)
     long = " ".join(f"w{rng.randrange(900)}" for _ in range(12_000))
     rows = [(None, None), (None, "a"), (3, None), (3, "x"), (3, "x"), (1, long), (0, ""), (7, "é€𝄞<|endoftext|> \n"), *((i, long[: rng.randrange(4_000)]) for i in range(10, 40)), (50, long * 3)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, part long").repartition(3)
     folder = str(tmp_path / "ids")
-    assert sorted(map(tuple, token_files.round_trip(df, TOKENIZER, folder).collect()), key=str) == plain(rows, tokenizer)
+    assert sorted(map(tuple, written(spark, df, folder, block=5_000, every=4, most=3).collect()), key=str) == plain(rows, tokenizer)
     names = sorted(x for x in os.listdir(folder) if x.startswith("ids-"))
-    assert len(names) > 4 and len(token_files.index_of(f"{folder}/{names[0]}")["blocks"]) > 1 and not [x for x in os.listdir(folder) if x.startswith("_")]
+    index = token_files.index_of(f"{folder}/{names[0]}")
+    assert len(names) > 4 and not [x for x in os.listdir(folder) if x.startswith("_")] and max(len(b["segments"]) for b in index["blocks"]) > 10
     none = str(tmp_path / "none")
     assert token_files.round_trip(df.limit(0), TOKENIZER, none).count() == 0 and os.listdir(none) != []
 
 
-def test_damage_is_found(spark, small, tmp_path):
+def test_damage_is_found(spark, tmp_path):
     df = spark.createDataFrame([(i, f"some words {i} " * 400) for i in range(20)], "doc_id long, text string")
     folder = str(tmp_path / "ids")
-    token_files.write_ids(keep(token_files.tokenised(df, TOKENIZER)), folder)
+    written(spark, df, folder, block=5_000, every=4)
     name = f"{folder}/{sorted(x for x in os.listdir(folder) if x.startswith('ids-'))[0]}"
     with open(name, "rb") as file:
         data = file.read()
