@@ -183,8 +183,8 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     said = F.when(F.col("l_linenumber") % 2 == 0, F.concat((F.col("l_partkey") % 40).cast("string"), F.lit(" | unit"))).otherwise(F.concat(F.lit("unit "), (F.col("l_partkey") % 40).cast("string")))
     boxes = _boxes(line.select(F.col("l_orderkey").alias("img_id"), place.alias("box_id"), said.alias("text"), (cx - 5).alias("x1"), (cy - 5).alias("y1"), (cx + 5).alias("x2"), (cy + 5).alias("y2")))
-    dims = line.select(F.col("l_orderkey").alias("img_id"), F.lit(1400).alias("img_h"), F.lit(1000).alias("img_w")).distinct()
-    pages = dims.select("img_id", F.explode(F.sequence(F.lit(0), F.lit(29)).cast("array<string>")).alias("page"))
+    dims = line.select(F.col("l_orderkey").alias("img_id"), F.lit("b").alias("book_key"), F.lit(1400).alias("img_h"), F.lit(1000).alias("img_w")).distinct()
+    pages = spark.range(30).select(F.lit("b").alias("book_key"), F.col("id").cast("string").alias("page"))
     return layout.read_page_number(boxes, dims, pages)
 
 

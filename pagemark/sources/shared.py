@@ -33,6 +33,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tasks(df: DataFrame, rows: int) -> int:
+    """How many tasks df is dealt to, so that each gets about so many rows whatever the size of the table; every core has one at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system, and the path in it, of a path or URI as Spark writes it; for files that Spark's own writers do not make."""
     path = re.sub(r"^file:/+", "/", path)

@@ -127,3 +127,24 @@ def test_templates(spark):
 def test_print_masks(spark):
     df = spark.createDataFrame([("p", 0, "a", 0.75, 10.0, 10.0, 20.0, 20.0), ("p", 1, "b", 0.74, 0.0, 0.0, 1.0, 1.0)], SCHEMA)
     assert [tuple(r) for r in marks.print_masks(df).collect()] == [("p", 0, 6.0, 6.0, 24.0, 24.0)]
+
+
+def test_pages_of_a_book_for_all_its_images(spark):
+    """The pages are those of a book, named once, not once for each image."""
+    rows = [(f"p{i}", 0, f"{i} | unit", 0.9, 10.0, 1300.0, 50.0, 1320.0) for i in range(6)]
+    dims = spark.createDataFrame([(f"p{i}", "ab"[i % 2], 1400, 1000) for i in range(6)], "img_id string, book_key string, img_h int, img_w int")
+    pages = spark.createDataFrame([("a", "0"), ("a", "4"), ("b", "1"), ("b", "2")], "book_key string, page string")
+    got = {(r.img_id, r.page_no) for r in layout.read_page_number(spark.createDataFrame(rows, SCHEMA), dims, pages).collect()}
+    assert got == {("p0", "0"), ("p4", "4"), ("p1", "1")}
+
+
+def test_images_of_a_task(spark, monkeypatch):
+    """More images are more tasks, each of as many images, and no image is lost."""
+    monkeypatch.setattr(layout, "IMAGES", 5)
+    rows = [(f"p{i}", 0, "7", 0.9, 10.0, 1300.0, 50.0, 1320.0) for i in range(60)] + [(f"p{i}", 1, "1.", 0.9, 60.0, 100.0, 100.0, 120.0) for i in range(60)]
+    dims = spark.createDataFrame([(f"p{i}", 1400, 1000) for i in range(60)], "img_id string, img_h int, img_w int")
+    key = spark.createDataFrame([("b", "7", 0, "1")], "book_key string, page string, ord int, question_no string")
+    asked = spark.createDataFrame([(f"p{i}", "B", None) for i in range(60)], "img_id string, book string, page_hint string")
+    blocks, holds = layout.analyze_layout(spark.createDataFrame(rows, SCHEMA), dims, key, asked)
+    assert holds.rdd.getNumPartitions() >= 12
+    assert {r.hold_reason for r in holds.collect()} == {""} and holds.count() == blocks.count() == 60
