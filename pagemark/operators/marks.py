@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import HOLD, RIGHT, WRONG
-from ..sources.shared import kept
+from ..sources.shared import kept, tasks
 
 # Least spread of scores, z of a mark, gap to the runner-up, space between pieces, least side and confidence.
 FLOOR, MARK, GAP, NEAR, SIDE, SURE = 0.02, 2.5, 1.0, 30, 12, 0.5
@@ -14,6 +14,8 @@ FLOOR, MARK, GAP, NEAR, SIDE, SURE = 0.02, 2.5, 1.0, 30, 12, 0.5
 SAMPLES, DARKER, MASK_PAD, PRINTED = 5, 40, 4, 0.75
 # Printed choice markers.
 CIRCLED, BRACKETED = "①②③④⑤⑥⑦⑧⑨⑩", r"\(?[1-9]\)"
+#: Questions that a task works on.
+QUESTIONS = 50_000
 # Names of symbols.
 SYMBOLS = {"pi": "π"}
 
@@ -95,37 +97,64 @@ def find_markers(boxes: DataFrame, blocks: DataFrame) -> DataFrame:
     return rects.groupBy("img_id", "question_no", "n").agg(F.min_by(F.struct("x1", "y1", "x2", "y2"), F.struct("box_id", "pos")).alias("r")).select("img_id", "question_no", "n", "r.x1", "r.y1", "r.x2", "r.y2")
 
 
+def _middle(values: Column) -> Column:
+    """Median of an array that is not empty."""
+    v = F.sort_array(values)
+    return (F.get(v, F.floor((F.size(values) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(values) / 2).cast("int"))) / 2
+
+
 def extrapolate_markers(markers: DataFrame, choices: DataFrame) -> DataFrame:
     """Markers (img_id, question_no, n, x1..y2) with missing numbers put on the grid that fits best.
 
     choices: img_id, question_no, num_choices. For each number of columns, column and row fit the
-    centres in straight lines; the residue may be a marker's height at most.
+    centres in straight lines; the residue may be a marker's height at most. A question is one row with an array of its
+    markers, so both tables are shuffled once and the fits are not.
     """
-    keys = ["img_id", "question_no"]
-    grid = choices.select(*keys, "num_choices", F.explode(F.sequence(F.lit(1), F.col("num_choices"))).alias("cols"))
-    spot = lambda n: ((n - 1) % F.col("cols"), F.floor((n - 1) / F.col("cols")))
-    seen = markers.select(*keys, "n", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
-    col, row = spot(F.col("n"))
-    told = seen.join(grid, keys).withColumn("c", col.cast("double")).withColumn("r", row.cast("double"))
-    size = seen.groupBy(*keys).agg(F.median("w").alias("w"), F.median("h").alias("h"))
-
-    def line(y: str, x: str) -> tuple[Column, Column]:
-        flat = F.min(x) == F.max(x)
-        return F.when(flat, 0.0).otherwise(F.regr_slope(y, x)), F.when(flat, F.median(y)).otherwise(F.regr_intercept(y, x))
-
-    (ax, bx), (ay, by) = line("cx", "c"), line("cy", "r")
-    fits = told.groupBy(*keys, "num_choices", "cols").agg(ax.alias("ax"), bx.alias("bx"), ay.alias("ay"), by.alias("by"), F.collect_set("c").alias("cs"), F.collect_set("r").alias("rs"))
-    off = F.greatest(F.abs(F.col("ax") * F.col("c") + F.col("bx") - F.col("cx")), F.abs(F.col("ay") * F.col("r") + F.col("by") - F.col("cy")))
-    residue = told.join(fits.drop("num_choices"), [*keys, "cols"]).groupBy(*keys, "cols").agg(F.max(off).alias("residue"))
-    need = fits.select("*", F.explode(F.sequence(F.lit(1), F.col("num_choices"))).alias("n")).join(markers.select(*keys, "n"), [*keys, "n"], "left_anti")
-    c, r = spot(F.col("n"))
-    need = need.withColumn("c", c.cast("double")).withColumn("r", r.cast("double"))
-    lone_ok = ((F.size("cs") > 1) | F.array_contains("cs", F.col("c"))) & ((F.size("rs") > 1) | F.array_contains("rs", F.col("r")))
-    usable = need.groupBy(*keys, "cols").agg(F.every(lone_ok).alias("ok")).where("ok")
-    best = residue.join(usable, [*keys, "cols"]).join(size, keys).where("residue <= h").groupBy(*keys).agg(F.min_by("cols", F.struct("residue", "cols")).alias("cols"))
-    x, y = F.col("ax") * F.col("c") + F.col("bx"), F.col("ay") * F.col("r") + F.col("by")
-    made = need.join(best, [*keys, "cols"]).join(size, keys).select(*keys, "n", (x - F.col("w") / 2).alias("x1"), (y - F.col("h") / 2).alias("y1"), (x + F.col("w") / 2).alias("x2"), (y + F.col("h") / 2).alias("y2"))
-    return markers.select(*keys, "n", "x1", "y1", "x2", "y2").unionByName(made)
+    keys, sides = ["img_id", "question_no"], ("x1", "y1", "x2", "y2")
+    kind = dict(markers.dtypes)["n"]
+    marker = F.struct("n", *(F.col(c).cast("double").alias(c) for c in sides))
+    asked = F.lit(None).cast(dict(choices.dtypes)["num_choices"])
+    rows = markers.select(*keys, marker.alias("m"), asked.alias("num_choices")).unionByName(choices.select(*keys, "num_choices"), allowMissingColumns=True)
+    each = rows.repartition(tasks(choices, QUESTIONS), *keys).groupBy(*keys).agg(F.collect_list("m").alias("_ms"), F.max("num_choices").alias("_num"))
+
+    numbers = F.when((F.col("_num") >= 1) & (F.size("_ms") > 0), F.sequence(F.lit(1), F.col("_num").cast("int")))
+    need = F.filter(numbers, lambda n: ~F.exists("_ms", lambda m: m["n"] == n))
+    spot = lambda n, cols: (((n - 1) % cols).cast("double").alias("c"), F.floor((n - 1) / cols).cast("double").alias("r"))
+    point = lambda m, cols: F.struct(*spot(m["n"], cols), ((m["x1"] + m["x2"]) / 2).alias("x"), ((m["y1"] + m["y2"]) / 2).alias("y"))
+    mean = lambda p, a: F.aggregate(p, F.lit(0.0), lambda t, q: t + q[a]) / F.size(p)
+    product = lambda g, a, b: F.aggregate(g["p"], F.lit(0.0), lambda t, q: t + (q[a] - g[f"m{a}"]) * (q[b] - g[f"m{b}"]))
+    placed = F.transform(numbers, lambda cols: F.struct(cols.alias("cols"), F.transform("_ms", lambda m: point(m, cols)).alias("p")))
+    centred = F.transform(placed, lambda g: F.struct(g["cols"].alias("cols"), g["p"].alias("p"), *(mean(g["p"], a).alias(f"m{a}") for a in "crxy")))
+    summed = F.transform(centred, lambda g: F.struct(g.alias("g"), product(g, "c", "c").alias("cc"), product(g, "c", "x").alias("cx"), product(g, "r", "r").alias("rr"), product(g, "r", "y").alias("ry")))
+
+    def line(s: Column, x: str, y: str) -> tuple[Column, Column]:
+        """Slope and start of y along x; flat where all stand at one x."""
+        g, flat = s["g"], s[x + x] == 0
+        slope = F.when(flat, 0.0).otherwise(s[x + y] / s[x + x])
+        return slope.alias(f"a{y}"), F.when(flat, _middle(F.transform(g["p"], lambda q: q[y]))).otherwise(g[f"m{y}"] - slope * g[f"m{x}"]).alias(f"b{y}")
+
+    fitted = F.transform(summed, lambda s: F.struct(s["g"]["cols"].alias("cols"), s["g"]["p"].alias("p"), *line(s, "c", "x"), *line(s, "r", "y"), (s["cc"] == 0).alias("one_c"), (s["rr"] == 0).alias("one_r")))
+    away = lambda f, q: F.greatest(F.abs(f["ax"] * q["c"] + f["bx"] - q["x"]), F.abs(f["ay"] * q["r"] + f["by"] - q["y"]))
+    # what is equal but for rounding is a tie
+    told = lambda f: F.struct(F.round(F.array_max(F.transform(f["p"], lambda q: away(f, q))), 9).alias("residue"), *(f[c].alias(c) for c in ("cols", "ax", "bx", "ay", "by")))
+
+    def reached(f: Column, n: Column) -> Column:
+        """A lone column or row says nothing of others."""
+        c, r = spot(n, f["cols"])
+        return (~f["one_c"] | (c == f["p"][0]["c"])) & (~f["one_r"] | (r == f["p"][0]["r"]))
+
+    usable = F.filter(F.col("_fits"), lambda f: F.forall("_need", lambda n: reached(f, n)))
+    best = F.array_min(F.filter(F.transform(usable, told), lambda t: t["residue"] <= F.col("_h")))
+    rows = each.select(*keys, "_ms", need.alias("_need"), fitted.alias("_fits"), *(F.when(F.size("_ms") > 0, _middle(F.transform("_ms", lambda m: m[b] - m[a]))).alias(f"_{c}") for c, a, b in (("w", "x1", "x2"), ("h", "y1", "y2"))))
+    rows = rows.withColumn("_best", F.when(F.size("_need") > 0, best))
+
+    def made(n: Column) -> Column:
+        (c, r), t = spot(n, F.col("_best.cols")), F.col("_best")
+        x, y, w, h = t["ax"] * c + t["bx"], t["ay"] * r + t["by"], F.col("_w") / 2, F.col("_h") / 2
+        return F.struct(n.cast(kind).alias("n"), (x - w).alias("x1"), (y - h).alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"))
+
+    every = F.when(F.col("_best").isNotNull(), F.concat("_ms", F.transform("_need", made))).otherwise(F.col("_ms"))
+    return rows.select(*keys, F.explode(every).alias("m")).select(*keys, "m.*")
 
 
 def assemble(detections: DataFrame, keys: list[str], x: str, label: str, conf: str) -> DataFrame:

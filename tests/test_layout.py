@@ -148,3 +148,11 @@ def test_images_of_a_task(spark, monkeypatch):
     blocks, holds = layout.analyze_layout(spark.createDataFrame(rows, SCHEMA), dims, key, asked)
     assert holds.rdd.getNumPartitions() >= 12
     assert {r.hold_reason for r in holds.collect()} == {""} and holds.count() == blocks.count() == 60
+
+
+def test_marker_grid_moves_each_table_once(spark):
+    markers = spark.createDataFrame([("p", "1", n, 100.0 * n, 0.0, 100.0 * n + 20, 10.0) for n in (1, 2, 4)], "img_id string, question_no string, n int, x1 double, y1 double, x2 double, y2 double")
+    choices = spark.createDataFrame([("p", "1", 5), ("p", "2", 5)], "img_id string, question_no string, num_choices int")
+    made = marks.extrapolate_markers(markers, choices)
+    assert {(r.n, r.x1, r.y1) for r in made.collect()} == {(n, 100.0 * n, 0.0) for n in range(1, 6)}
+    assert made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
