@@ -14,8 +14,8 @@ FLOOR, MARK, GAP, NEAR, SIDE, SURE = 0.02, 2.5, 1.0, 30, 12, 0.5
 SAMPLES, DARKER, MASK_PAD, PRINTED = 5, 40, 4, 0.75
 # Printed choice markers.
 CIRCLED, BRACKETED = "①②③④⑤⑥⑦⑧⑨⑩", r"\(?[1-9]\)"
-#: Questions that a task works on.
-QUESTIONS = 50_000
+#: Questions, and rectangles, that a task works on.
+QUESTIONS, RECTS = 50_000, 500_000
 # Names of symbols.
 SYMBOLS = {"pi": "π"}
 
@@ -191,9 +191,36 @@ def merge_spans(spans: DataFrame, keys: list[str], near: int = NEAR) -> DataFram
     return marked.withColumn("_g", F.sum("_new").over(order)).groupBy(*keys, "_g").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_g")
 
 
+def _islands(rects: DataFrame, by: list[str], low: str, high: str, near: int, name: str) -> DataFrame:
+    """rects with name: the number of its island along one direction; between islands the gap is more than near."""
+    order = Window.partitionBy(*by).orderBy(low, high)
+    before = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rects.withColumn(name, F.when(F.col(low) <= before + near, 0).otherwise(1))
+    return marked.withColumn(name, F.sum(name).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def merge_rects(rects: DataFrame, keys: list[str], near: int = NEAR) -> DataFrame:
     """keys, x1, y1, x2, y2: rectangles that are near each other in both directions become their hull, until none are.
 
+    A group falls into islands, by rows, columns, rows and columns again, which nothing merges across. Where all of an island are near each other in
+    height they are one hull, as columns leave no gap between them; only the rest are compared.
+    """
+    sides, own = ("x1", "y1", "x2", "y2"), ["_i1", "_i2", "_i3", "_i4"]
+    now = rects.select(*keys, *sides).repartition(tasks(rects, RECTS), *keys).distinct()
+    for k, name in enumerate(own):
+        now = _islands(now, [*keys, *own[:k]], *(("y1", "y2") if k % 2 == 0 else ("x1", "x2")), near, name)
+    island = Window.partitionBy(*keys, *own)
+    now = now.withColumn("_one", F.max("y1").over(island) - near <= F.min("y2").over(island))
+    done = now.where("_one").groupBy(*keys, *own).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    rest = kept(now.where("NOT _one").drop("_one"))
+    if rest.isEmpty():
+        return done.drop(*own)
+    return done.unionByName(_merged(rest, [*keys, *own], near)).drop(*own)
+
+
+def _merged(rects: DataFrame, keys: list[str], near: int = NEAR) -> DataFrame:
+    """keys, x1, y1, x2, y2, by rounds.
+
     Only rectangles that touch the same cell of a grid, as wide as the largest of the group, are compared.
     """
     sides = ("x1", "y1", "x2", "y2")

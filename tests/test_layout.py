@@ -156,3 +156,33 @@ def test_marker_grid_moves_each_table_once(spark):
     made = marks.extrapolate_markers(markers, choices)
     assert {(r.n, r.x1, r.y1) for r in made.collect()} == {(n, 100.0 * n, 0.0) for n in range(1, 6)}
     assert made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
+
+
+def slow_merge(rects, near):
+    rects = set(rects)
+    while True:
+        for a in rects:
+            b = next((b for b in rects if b != a and a[0] - near <= b[2] and b[0] - near <= a[2] and a[1] - near <= b[3] and b[1] - near <= a[3]), None)
+            if b:
+                rects = rects - {a, b} | {(min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))}
+                break
+        else:
+            return rects
+
+
+def test_rectangles_of_many_shapes(spark):
+    import random
+
+    rnd = random.Random(5)
+    groups = {g: [(x := rnd.randrange(400), y := rnd.randrange(400), x + rnd.randrange(1, 90), y + rnd.randrange(1, 90)) for _ in range(rnd.randrange(1, 14))] for g in range(60)}
+    rows = [(g, *r) for g, rects in groups.items() for r in rects]
+    got: dict = {}
+    for r in marks.merge_rects(spark.createDataFrame(rows, "k int, x1 int, y1 int, x2 int, y2 int"), ["k"], 8).collect():
+        got.setdefault(r.k, set()).add((r.x1, r.y1, r.x2, r.y2))
+    assert got == {g: slow_merge(rects, 8) for g, rects in groups.items()}
+
+
+def test_rows_of_rectangles_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(marks, "_merged", None)
+    rects = spark.createDataFrame([("p", x, 1000 * b, x + 20, 1000 * b + 40) for x in (0, 40, 300) for b in (0, 1)], "k string, x1 int, y1 int, x2 int, y2 int")
+    assert {(r.x1, r.y1, r.x2, r.y2) for r in marks.merge_rects(rects, ["k"]).collect()} == {(0, 0, 60, 40), (0, 1000, 60, 1040), (300, 0, 320, 40), (300, 1000, 320, 1040)}
