@@ -11,6 +11,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,6 +26,8 @@ NAME = "label_files"
 SCHEMA = "split string, img_id string, class_id int, cx double, cy double, w double, h double"
 #: Files that one task reads, at least.
 FILES = 64
+#: Tasks that read a folder, at most, and moves of a commit at once.
+TASKS, MOVES = 1024, 32
 _UNSAFE = re.compile(r"[^\w.\- ]")
 
 
@@ -90,8 +93,9 @@ class _Writer(DataSourceWriter):
             system.delete_dir(f"{root}/labels")
         for folder in sorted({name.split("/")[0] for _, name in files}):
             system.create_dir(f"{root}/labels/{folder}", recursive=True)
-        for place, name in files:
-            system.move(place, f"{root}/labels/{name}")
+        with ThreadPoolExecutor(MOVES) as pool:
+            for _ in pool.map(lambda k: [system.move(place, f"{root}/labels/{name}") for place, name in files[k : k + FILES]], range(0, len(files), FILES)):
+                pass
         told = [f"path: {root}", "train: images/train", "val: images/val", f"nc: {len(self.classes)}", "names:", *(f"  {k}: {json.dumps(c, ensure_ascii=False)}" for k, c in enumerate(self.classes))]
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/data.yaml") as out:
@@ -125,7 +129,8 @@ class _Reader(DataSourceReader):
         system, root = opened(self.path)
         found = system.get_file_info(fs.FileSelector(f"{root}/labels", recursive=True, allow_not_found=True))
         files = sorted(x.path for x in found if x.is_file and x.path.endswith(".txt"))
-        return [_Some(files[k : k + FILES]) for k in range(0, len(files), FILES)] or [_Some([])]
+        some = max(FILES, -(-len(files) // TASKS))
+        return [_Some(files[k : k + some]) for k in range(0, len(files), some)] or [_Some([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         system, _ = opened(self.path)

@@ -107,3 +107,14 @@ def test_label_files(spark, tmp_path):
     assert sorted(os.listdir(folder)) == ["data.yaml", "labels"] and labels.read_labels(spark, folder).count() == 40
     labels.write_labels(df.limit(0), folder, ["a"])
     assert labels.read_labels(spark, folder).count() == 0
+
+
+def test_tasks_of_many_label_files(monkeypatch, tmp_path):
+    """However many files there are, TASKS tasks read them at most, and each file once."""
+    monkeypatch.setattr(labels, "FILES", 2)
+    monkeypatch.setattr(labels, "TASKS", 4, raising=False)
+    (tmp_path / "labels/val").mkdir(parents=True)
+    for k in range(33):
+        (tmp_path / f"labels/val/{k}.txt").write_text("")
+    parts = labels._Reader(str(tmp_path)).partitions()
+    assert len(parts) <= 4 and len({f for p in parts for f in p.files}) == sum(len(p.files) for p in parts) == 33
